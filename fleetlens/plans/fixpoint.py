@@ -28,25 +28,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def closure(edges: DataFrame, key: str, max_depth: int = 50) -> DataFrame:
+def closure(start: DataFrame, step: DataFrame, key: str, max_depth: int = 50) -> DataFrame:
     """(key, source, target, depth): every target reachable from a source.
 
-    Semi-naive: each round extends only the pairs found in the round before,
-    and pairs already known are removed, so cycles end by themselves.
+    `start` and `step` have (key, source, target); paths begin with a row of
+    `start` and go on through rows of `step`.  Semi-naive: each round extends
+    only the pairs found in the round before, and pairs already known are
+    removed, so cycles end by themselves.  The depth is the shortest one.
     """
-    edges = edges.select(key, "source", "target").distinct()
-    step = edges.select(key, F.col("source").alias("target"), F.col("target").alias("reached"))
-    # the first round's rows are the edges: materialise them once, both as the
-    # starting pairs and as the step table
-    frontier = cut_lineage(edges.withColumn("depth", F.lit(1)))
-    step = frontier.select(key, F.col("source").alias("target"), F.col("target").alias("reached"))
+    columns = [key, "source", "target"]
+    step = cut_lineage(
+        step.select(key, F.col("source").alias("target"), F.col("target").alias("reached")).distinct()
+    )
+    frontier = cut_lineage(start.select(*columns).distinct().withColumn("depth", F.lit(1)))
     known = frontier
     for depth in range(2, max_depth + 1):
         grown = (
             frontier.join(step, [key, "target"])
             .select(key, "source", F.col("reached").alias("target"))
             .distinct()
-            .join(known.select(key, "source", "target"), [key, "source", "target"], "left_anti")
+            .join(known.select(*columns), columns, "left_anti")
             .withColumn("depth", F.lit(depth))
         )
         frontier = cut_lineage(grown)

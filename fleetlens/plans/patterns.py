@@ -45,6 +45,6 @@ def match_patterns(
     matched = probe.join(heads, [*keys, "__head"])
     for name, pattern in pairs:
         matched = matched.filter(
-            F.col(pattern).isNull() | F.rtrim(name).rlike(like_regex(F.col(pattern)))
+            F.col(pattern).isNull() | F.rlike(F.rtrim(name), like_regex(F.col(pattern)))
         )
     return matched.drop("__head", "__length")

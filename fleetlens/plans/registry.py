@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import semantics
-from ..operators import charts, checks, history, policy, reports
+from ..operators import (
+    activity, advice, charts, checks, compliance, facts, history, policy, reports,
+)
 from ..sources.adapters import AS_OF, AS_OF_EVENTS, adapt
-from ..sources.tables import prepare
+from ..sources.exchange import read_collected, route_by_dataset, shred_events_xml, write_dataset
+from ..sources.tables import prepare, stream_table
+from ..streaming import streams
+from .fixpoint import shared_folder
+
+
+class Inputs:
+    """Operator inputs by name, as tables or as streams."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return adapt(self.spark, self.folder, name)
+
+    def stream(self, name: str) -> DataFrame:
+        return adapt(self.spark, self.folder, name, read=stream_table)
+
+    def scratch(self) -> str:
+        """A new folder of this run in the shared folder."""
+        return f"{shared_folder(self.spark)}/fleetlens-{uuid.uuid4().hex}"
 
-Inputs = Callable[[str], DataFrame]
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -29,7 +51,7 @@ def query(name: str):
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Columns as plain values: decimals as double, instants as text."""
+    """Columns as plain values: decimals as double, instants and arrays as text."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
@@ -37,6 +59,8 @@ def present(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         elif isinstance(field.dataType, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        elif isinstance(field.dataType, T.ArrayType):
+            c = F.to_json(c, {"ignoreNullFields": "false"})
         out.append(c.alias(field.name))
     return df.select(*out)
 
@@ -44,7 +68,7 @@ def present(df: DataFrame) -> DataFrame:
 def runner(build: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         prepare(spark)
-        return present(build(lambda name: adapt(spark, folder, name)))
+        return present(build(Inputs(spark, folder)))
 
     return run
 
@@ -350,3 +374,256 @@ query("job_failure_report_daily")(
     )
 )
 query("version_report")(lambda i: reports.version_report(i("instances")))
+
+
+# ---- facts ----------------------------------------------------------------
+
+query("fact_job")(
+    lambda i: facts.fact_job(
+        i("jobs"), i("job_steps"), i("proxies"), i("operators"), i("schedules"), i("job_schedules")
+    )
+)
+query("schedule_description")(
+    lambda i: i("schedules").select(
+        "instance_guid", "schedule_id", facts.schedule_description().alias("schedule_desc")
+    )
+)
+query("fact_replica_group")(
+    lambda i: facts.fact_replica_group(
+        i("ag_groups"), i("ag_replicas"), i("ag_listeners"), i("ag_listener_ips"),
+        i("group_databases"), i("policy_replica_group"),
+    )
+)
+query("fact_database")(lambda i: facts.fact_database(i("databases")))
+query("fact_database_file")(lambda i: facts.fact_database_file(i("db_files"), i("databases")))
+query("fact_mail")(
+    lambda i: facts.fact_mail(
+        i("mail_profiles"), i("mail_profile_accounts"), i("mail_accounts"), i("mail_principals")
+    )
+)
+query("fact_parameters")(
+    lambda i: facts.fact_parameters(
+        i("parameters"),
+        {
+            "config_database": (i("policy_database"), ["database_id", "db_name", "is_enabled"]),
+            "config_job": (i("policy_job"), ["job_id", "job_name", "max_exec_time_min"]),
+            "config_replica_group": (i("policy_replica_group"), ["ag_id", "ag_name", "ag_role"]),
+        },
+        ["DEFAULT_BACKUP_FREQ", "DEFAULT_DB_STATE", "SANITIZE_DATASET", "TENANT_NAME"],
+    )
+)
+query("fact_instance_options")(lambda i: facts.fact_instance_options(i("instance_options")))
+query("fact_logshipping_primary")(lambda i: facts.fact_logshipping_primary(i("logship_primary")))
+query("fact_logshipping_secondary")(
+    lambda i: facts.fact_logshipping_secondary(i("logship_secondary"), i("secondary_config"))
+)
+query("fact_maintenance_plan")(
+    lambda i: facts.fact_maintenance_plan(i("plans"), i("subplans"), i("jobs"))
+)
+query("fact_mirroring")(lambda i: facts.fact_mirroring(i("mirror_state")))
+query("fact_replication_publisher")(
+    lambda i: facts.fact_replication_publisher(i("publications"), i("articles"), i("subscriptions"))
+)
+query("fact_replication_subscriber")(
+    lambda i: facts.fact_replication_subscriber(i("replication_subscriptions"))
+)
+query("fact_resource_governor")(
+    lambda i: facts.fact_resource_governor(
+        i("governor_config"), i("resource_pools"), i("workload_groups")
+    )
+)
+query("fact_security")(
+    lambda i: facts.fact_security(
+        i("principals"), i("server_role_members"), i("permissions"), i("group_members"),
+        i("database_principals"),
+    )
+)
+query("role_membership_closure")(
+    lambda i: facts.role_membership_closure(i("role_principals"), i("role_members"))
+)
+query("fact_server_object")(
+    lambda i: facts.fact_server_object(
+        i("linked_servers"), i("linked_logins"), i("principals"), i("server_triggers")
+    )
+)
+query("fact_service")(
+    lambda i: facts.fact_service(
+        i("instance_properties"), i("service_eav"), i("trace_flags"), i("instances")
+    )
+)
+
+# ---- compliance -----------------------------------------------------------
+
+
+@query("cis_rules")
+def _cis_rules(i: Inputs) -> DataFrame:
+    return compliance.cis_rules(
+        i("instances"), i("instance_options"), i("instance_properties"), i("service_accounts"),
+        i("principals"), i("permissions"), i("server_role_members"), i("database_flags"),
+        i("database_security"), i("assemblies"), i("audit_actions"), i("proxy_grants"),
+    )
+
+
+query("cis_admin_accounts")(lambda i: compliance.cis_admin_accounts(i("service_accounts")))
+query("cis_score")(lambda i: compliance.cis_score(_cis_rules(i)))
+query("cis_filter_failed")(lambda i: compliance.cis_filter(_cis_rules(i), "failed"))
+query("cis_filter_notscored")(lambda i: compliance.cis_filter(_cis_rules(i), "notscored"))
+query("cis_cross_db_evidence")(lambda i: compliance.cis_cross_db_evidence(i("database_security")))
+
+# ---- activity -------------------------------------------------------------
+
+query("session_filter")(
+    lambda i: activity.session_filter(i("sessions"), "program", "app[_]1%", "host", "%7")
+)
+query("session_interest")(lambda i: activity.session_interest(i("sessions")))
+query("session_delta")(
+    lambda i: activity.session_delta(
+        i("sessions"), from_ts="1998-06-01 00:00:00", to_ts="2000-06-01 00:00:00"
+    )
+)
+
+
+@query("wait_rollup")
+def _wait_rollup(i: Inputs) -> DataFrame:
+    return activity.wait_rollup(i("waits"))
+
+
+query("wait_format")(lambda i: activity.wait_format(_wait_rollup(i)))
+query("block_leaders")(lambda i: activity.block_leaders(i("sessions")))
+query("lock_rollup")(lambda i: activity.lock_rollup(i("locks")))
+query("tran_log_rollup")(lambda i: activity.tran_log_rollup(i("tran_log")))
+query("tran_log_format")(
+    lambda i: activity.tran_log_format(activity.tran_log_rollup(i("tran_log")))
+)
+query("avg_elapsed")(
+    lambda i: activity.avg_elapsed(i("requests"), i("statement_stats")).select(
+        "instance_guid", "request_id", "statement_id", "avg_elapsed_ms"
+    )
+)
+query("activity_view")(
+    lambda i: activity.activity_view(
+        i("sessions"), "[instance_guid][snapshot_ts][session%][no such][%name]", "[reads] DESC[session_id]"
+    )
+)
+query("duration_format")(
+    lambda i: i("requests").select(
+        "request_id", activity.duration_format(F.col("total_elapsed_time") * 1009).alias("elapsed")
+    )
+)
+query("running_requests")(
+    lambda i: activity.running_requests(i("requests"), i("session_info"), i("connections"), own_id=7)
+)
+
+# ---- advice ---------------------------------------------------------------
+
+
+@query("select_objects")
+def _select_objects(i: Inputs) -> DataFrame:
+    objects = advice.selectable_databases(i("databases"), i("group_databases"))
+    return advice.select_objects(
+        objects, "AVAILABILITY_GROUP_DATABASES, [Customer#000000%],-%7,-%_0,USER_DATABASES"
+    )
+
+
+def _ranked(i: Inputs, order: str | None) -> DataFrame:
+    sizes = i("db_files").groupBy("instance_guid", "database_id").agg(F.sum("size_pages").alias("size_mb"))
+    commands = advice.last_successful_command(i("command_log")).withColumnRenamed("database_name", "name")
+    objects = (
+        _select_objects(i)
+        .join(sizes, ["instance_guid", "database_id"], "left")
+        .join(commands, ["instance_guid", "name"], "left")
+    )
+    return advice.rank_objects(objects, order)
+
+
+query("rank_objects")(lambda i: _ranked(i, None))
+query("rank_objects_by_size")(lambda i: _ranked(i, "DATABASE_SIZE_DESC"))
+query("rank_objects_by_command")(lambda i: _ranked(i, "REPLICA_LAST_GOOD_CHECK_ASC"))
+
+
+@query("fragmentation_action")
+def _fragmentation_action(i: Inputs) -> DataFrame:
+    return advice.fragmentation_action(i("index_stats"), max_pages=4900)
+
+
+query("stats_update_due")(lambda i: advice.stats_update_due(_fragmentation_action(i), "INDEX", level=5))
+query("backup_type_choice")(lambda i: advice.backup_type_choice(i("db_stats"), "LOG", level=50))
+query("log_backup_due")(lambda i: advice.log_backup_due(i("db_stats"), 40, 30000, as_of=AS_OF))
+query("last_successful_command")(lambda i: advice.last_successful_command(i("command_log")))
+
+# ---- exchange -------------------------------------------------------------
+
+
+@query("read_collected")
+def _(i: Inputs) -> DataFrame:
+    """Written per instance and run, then read back."""
+    rows = i("command_log").select("instance_guid", "database_name", "command_type", "start_time", "error_number")
+    return read_collected(i.spark, write_dataset(rows, i.scratch(), "[log].[command]", "20010802000000"))
+
+
+query("route_by_dataset")(
+    lambda i: route_by_dataset(
+        i("file_names"), {"*_log_backup_*": "backup", "*_log_job_*": "job", "*_fact_*": "fact"}
+    )
+)
+query("shred_events_xml")(lambda i: shred_events_xml(i("raw_events")))
+
+# ---- streams --------------------------------------------------------------
+
+
+def _drain(df: DataFrame, folder: str) -> DataFrame:
+    started = streams.stream_extract(df, f"{folder}/out", f"{folder}/checkpoint")
+    started.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def _drained(started, spark: SparkSession, folder: str) -> DataFrame:
+    started.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+query("stream_login_failures")(
+    lambda i: _drain(streams.stream_login_failures(i.stream("login_events"), threshold=2), i.scratch())
+)
+query("stream_login_failures_minute")(
+    lambda i: _drain(
+        streams.stream_login_failures(
+            i.stream("login_events"), threshold=1, window="1 minute", slide=None
+        ),
+        i.scratch(),
+    )
+)
+query("stream_dedupe_events")(
+    lambda i: _drain(
+        streams.stream_dedupe_events(i.stream("login_events")).select(
+            "instance_guid", "event_id", "event_ts", "login_name"
+        ),
+        i.scratch(),
+    )
+)
+query("stream_extract")(lambda i: _drain(i.stream("backup_history"), i.scratch()))
+
+
+@query("stream_counter_rate")
+def _(i: Inputs) -> DataFrame:
+    folder = i.scratch()
+    return _drained(streams.stream_counter_rate(i.stream("counter_samples"), folder), i.spark, folder)
+
+
+@query("stream_error_pairs")
+def _(i: Inputs) -> DataFrame:
+    folder = i.scratch()
+    return _drained(streams.stream_error_pairs(i.stream("error_log"), folder), i.spark, folder)
+
+
+@query("stream_eav_upsert")
+def _(i: Inputs) -> DataFrame:
+    folder = i.scratch()
+    streams.stream_eav_upsert(i.stream("service_eav"), folder, as_of="2024-02-10 00:00:00").awaitTermination()
+    return i.spark.read.parquet(f"{folder}/state").drop("version")
+
+
+@query("stream_alert_transitions")
+def _(i: Inputs) -> DataFrame:
+    folder = i.scratch()
+    return _drained(streams.stream_alert_transitions(i.stream("check_results"), folder), i.spark, folder)

@@ -570,6 +570,16 @@ ADAPTERS: dict[str, str] = {
         SELECT {_guid('p_partkey')} AS instance_guid, p_partkey AS group_id, CONCAT('group ', CAST(p_partkey AS STRING)) AS name, p_brand AS importance FROM {{part}}""",
     "governor_config": """
         SELECT n_name AS instance_guid, n_regionkey <> 3 AS is_enabled, CASE WHEN n_regionkey = 1 THEN NULL ELSE CONCAT('CREATE FUNCTION ', n_name) END AS classifier FROM {nation}""",
+    "role_principals": f"""
+        SELECT {_guid('c_custkey')} AS instance_guid, c_custkey AS principal_id, CASE WHEN FLOOR(c_custkey / 25) < 20 THEN 'R' ELSE 'S' END AS type FROM {{customer}}""",
+    "file_names": f"""
+        SELECT o_orderkey AS file_id, CONCAT('[NATION_', CAST(o_custkey % 25 AS STRING), ']_', CASE o_orderpriority WHEN '1-URGENT' THEN 'log_backup' WHEN '2-HIGH' THEN 'LOG_JOB'
+               WHEN '3-MEDIUM' THEN 'fact_security' ELSE 'health' END, '_', CAST(CAST(o_orderdate AS DATE) AS STRING), '.xml') AS name
+        FROM {{orders}}""",
+    "check_results": f"""
+        SELECT {_guid('user_id')} AS instance_guid, event_type AS check, CONCAT('db', CAST(user_id AS STRING)) AS object, ts AS checked_at, event_id AS seq,
+               CASE WHEN value < 20 THEN 'OK' WHEN value < 60 THEN 'WARNING' ELSE 'CRITICAL' END AS state
+        FROM {{events}}""",
     "raw_events": f"""
         SELECT {_guid('user_id')} AS instance_guid, event_id,
                CONCAT('<event name="error_reported" timestamp="', CAST(CAST(ts AS DATE) AS STRING), 'T00:00:', LPAD(CAST(event_id % 60 AS STRING), 2, '0'), 'Z"><data name="destination"><type name="error_destination"/><value>',
@@ -590,11 +600,11 @@ def needed(name: str) -> list[str]:
     return [*out, name]
 
 
-def adapt(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def adapt(spark: SparkSession, folder: str, name: str, read=table) -> DataFrame:
     """An operator input built from the base tables in `folder`."""
     sql = ADAPTERS[name]
     refs = {
-        ref: table(spark, folder, ref) if ref in TABLES else adapt(spark, folder, ref)
+        ref: read(spark, folder, ref) if ref in TABLES else adapt(spark, folder, ref, read)
         for ref in set(_MARK.findall(sql))
     }
     return spark.sql(sql, **refs)

@@ -35,7 +35,10 @@ def clean(expr: str) -> str:
 
 def sql(name: str, inputs: str, body: str) -> None:
     """Register `body`; it may start with further CTEs followed by `SELECT`."""
-    ORACLE[name] = duckdb_ctes(*inputs.split()) + body
+    text = duckdb_ctes(*inputs.split()) + body
+    if "RECURSIVE_MARK" in text:
+        text = text.replace("RECURSIVE_MARK ", "").replace("WITH ", "WITH RECURSIVE ", 1)
+    ORACLE[name] = text
 
 
 def check(name: str, inputs: str, rows: str, summary: str, extra: str = "") -> None:
