@@ -414,7 +414,8 @@ ADAPTERS: dict[str, str] = {
                CAST(FLOOR(MAX(o_orderkey) / 10) % 2 AS INT) AS value_in_use
         FROM {{orders}} GROUP BY o_custkey % 25, o_orderkey % 10""",
     "instance_properties": f"""
-        SELECT {_guid('o_custkey')} AS instance_guid, 'SqlServiceInstanceProperty/MSSQLSERVER' AS hierarchy,
+        SELECT {_guid('o_custkey')} AS instance_guid,
+               CASE o_orderkey % 10 WHEN 9 THEN 'HOST/SQLService/SQLBrowser' ELSE 'SqlServiceInstanceProperty/MSSQLSERVER' END AS hierarchy,
                CASE o_orderkey % 10 WHEN 0 THEN 'Shared Memory' WHEN 1 THEN 'TcpPort' WHEN 2 THEN 'HideInstance' WHEN 3 THEN 'IsIntegratedSecurityOnly' WHEN 4 THEN 'NumErrorLogs'
                     WHEN 5 THEN 'audit level' WHEN 6 THEN 'LicenseType' WHEN 7 THEN 'ProcessID' WHEN 8 THEN 'Collation' ELSE 'StartMode' END AS property,
                CASE o_orderkey % 10 WHEN 0 THEN CASE WHEN FLOOR(MAX(o_orderkey) / 10) % 2 = 0 THEN 'True' ELSE 'False' END

@@ -24,5 +24,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a stream of the files at its path."""
-    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet")
+    """The same table as a stream of the files at its path.
+
+    The path is given as a glob: it may be one file or a folder of files.
+    """
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")

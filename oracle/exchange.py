@@ -1,5 +1,6 @@
 """Statements for exchange and the streams."""
 
+from . import policy  # noqa: F401
 from .charts import RATE
 from .common import ORACLE, sql, ts
 

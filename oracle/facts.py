@@ -31,7 +31,7 @@ sql("schedule_description", "schedules", f" SELECT instance_guid, schedule_id, {
 sql("fact_job", "jobs job_steps proxies operators schedules job_schedules", f"""
 , st AS (SELECT s.instance_guid, s.job_id, step_id, step_name, subsystem, database_name, CASE WHEN subsystem = 'TSQL' THEN database_user_name ELSE p.name END AS execute_as,
     p.credential AS proxy_credential, p.credential_identity, command AS codeblock FROM job_steps s LEFT JOIN proxies p USING (instance_guid, proxy_id)),
-sc AS (SELECT j.instance_guid, j.job_id, js.schedule_id, s.enabled AS schedule_enabled, coalesce({SCHEDULE}, 'Unscheduled') AS schedule_desc
+sc AS (SELECT j.instance_guid, j.job_id, js.schedule_id, s.enabled AS schedule_enabled, CASE WHEN s.schedule_id IS NULL THEN 'Unscheduled' ELSE {SCHEDULE} END AS schedule_desc
   FROM jobs j LEFT JOIN job_schedules js USING (instance_guid, job_id) LEFT JOIN schedules s ON s.instance_guid = j.instance_guid AND s.schedule_id = js.schedule_id)"""
     + children("a", "st", "instance_guid, job_id", "step_id, step_name, subsystem, database_name, execute_as, proxy_credential, credential_identity, codeblock")
     + children("b", "sc", "instance_guid, job_id", "schedule_id, schedule_enabled, schedule_desc") + f"""
