@@ -255,7 +255,7 @@ def counter_rate(counter_samples: DataFrame) -> DataFrame:
     ).join(base, at, "left")
     stepped = previous_row(
         based, [KEY, "object_name", "counter_name", "instance_name"], "sample_ts",
-        ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"],
+        ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"], levels=["HOUR"],
     ).filter(F.col("previous").isNotNull())
 
     def number(c: Column) -> Column:

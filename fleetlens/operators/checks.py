@@ -9,6 +9,7 @@ broadcast them while they are small and split skewed partitions when not.
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -273,8 +274,14 @@ def _job_summary(policy_job: DataFrame, monitored: Column, ignored: Column) -> D
 def check_job(job_history: DataFrame, policy_job: DataFrame) -> DataFrame:
     """Enabled jobs whose newest run failed (newest per job name)."""
     run_at = F.col("run_date").cast("long") * 1_000_000 + F.col("run_time")
-    newest = job_history.groupBy(KEY, "job_name").agg(
-        F.max(F.struct(run_at.alias("run_at"), "instance_id", "job_id", "run_status")).alias("run")
+    # the long pass keeps fixed-width values only, so it runs in hash buffers;
+    # names shared by several jobs are settled on its small result
+    rank = run_at.cast("decimal(38,0)") * F.lit(Decimal(10) ** 19) + F.col("instance_id")
+    per_job = job_history.groupBy(KEY, "job_name", "job_id").agg(
+        F.max(rank).alias("rank"), F.max_by("run_status", rank).alias("run_status")
+    )
+    newest = per_job.groupBy(KEY, "job_name").agg(
+        F.max(F.struct("rank", "job_id", "run_status")).alias("run")
     ).select(KEY, "job_name", "run.job_id", "run.run_status")
     outcome = F.lit("UNKNOWN")
     for code, label in OUTCOMES.items():

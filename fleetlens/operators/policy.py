@@ -162,7 +162,8 @@ def policy_merge(
 def role_change_stamp(replica_snapshots: DataFrame) -> DataFrame:
     """Current role per group and the last time it changed (NULL if it never did)."""
     stepped = previous_row(
-        replica_snapshots, [KEY, "ag_id"], "snapshot_ts", ["snapshot_ts", "seq"], ["role"]
+        replica_snapshots, [KEY, "ag_id"], "snapshot_ts", ["snapshot_ts", "seq"], ["role"],
+        levels=["DAY"],
     )
     changed = F.when(F.col("previous.role") != F.col("role"), F.col("snapshot_ts"))
     return stepped.groupBy(KEY, "ag_id").agg(

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only where that is unset (tests) a temporary one is made.
+    Only where that is unset, on a local master as in tests, a temporary one is
+    made; a cluster has to name a folder all its machines share.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="fleetlens-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder the cluster shares")
+    return tempfile.mkdtemp(prefix="fleetlens-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -91,6 +91,11 @@ query("policy_add_missing_jobs")(
         i("jobs"), i("old_policy_job"), policy.param_resolve(i("parameters")), kind="job"
     )
 )
+query("policy_add_missing_groups")(
+    lambda i: policy.policy_add_missing(
+        i("replica_state"), i("old_policy_group"), policy.param_resolve(i("parameters")), kind="group"
+    )
+)
 query("policy_refresh_names")(
     lambda i: policy.policy_refresh_names(i("live_databases"), i("old_policy_database"))
 )
@@ -561,6 +566,13 @@ def _(i: Inputs) -> DataFrame:
     return read_collected(i.spark, write_dataset(rows, i.scratch(), "[log].[command]", "20010802000000"))
 
 
+@query("write_dataset")
+def _(i: Inputs) -> DataFrame:
+    """Folders a write leaves behind, with their rows."""
+    target = write_dataset(i("job_activity"), i.scratch(), "log.job activity", "20010802000000")
+    return i.spark.read.parquet(target).groupBy("drop").agg(F.count("*").alias("rows"))
+
+
 query("route_by_dataset")(
     lambda i: route_by_dataset(
         i("file_names"), {"*_log_backup_*": "backup", "*_log_job_*": "job", "*_fact_*": "fact"}
@@ -620,7 +632,7 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     folder = i.scratch()
     streams.stream_eav_upsert(i.stream("service_eav"), folder, as_of="2024-02-10 00:00:00").awaitTermination()
-    return i.spark.read.parquet(f"{folder}/state").drop("version")
+    return streams.current_state(i.spark, folder)
 
 
 @query("stream_alert_transitions")

@@ -275,6 +275,10 @@ ADAPTERS: dict[str, str] = {
                CASE o_custkey % 3 WHEN 0 THEN 'PRINCIPAL' ELSE NULL END AS mirroring_role, 26 AS backup_frequency_hours, 'WARNING' AS backup_state_alert,
                170 AS checkdb_frequency_hours, 'WARNING' AS checkdb_state_alert, 'CRITICAL' AS change_state_alert, TRUE AS is_enabled
         FROM {{orders}} WHERE o_orderdate < TIMESTAMP '1995-06-01 00:00:00' GROUP BY o_custkey""",
+    "old_policy_group": f"""
+        SELECT {_guid('s_suppkey')} AS instance_guid, s_suppkey AS ag_id, CONCAT('old ag ', CAST(s_suppkey AS STRING)) AS ag_name, 'WARNING' AS ag_state_alert, FALSE AS ag_state_is_enabled,
+               'PRIMARY' AS ag_role, 'CRITICAL' AS ag_role_alert, TRUE AS ag_role_is_enabled, TIMESTAMP '2000-01-01 00:00:00' AS ag_role_change_datetime
+        FROM {{supplier}} WHERE s_acctbal < 2000""",
     "old_policy_job": f"""
         SELECT {_guid('o_custkey')} AS instance_guid, o_custkey AS job_id, CONCAT('old job ', CAST(o_custkey AS STRING)) AS job_name,
                120 AS max_exec_time_min, 'WARNING' AS change_state_alert, TRUE AS is_enabled

@@ -25,13 +25,15 @@ def write_dataset(df: DataFrame, path: str, dataset: str, runtime: str, mode: st
     """Write one dataset below `path`, one folder per instance and run.
 
     Folders are named `[instance]_dataset_runtime`, as collected files are.
-    Returns the folder of the dataset.  Rows are not reshuffled first: an
-    instance with a third of the rows is written by all tasks that hold them.
+    Returns the folder of the dataset.  Rows are rebalanced by instance first:
+    small instances share a task and leave one file each, and the rows of a hot
+    one are split over several tasks by the adaptive engine.
     """
     name = safe_name(dataset)
     target = f"{path}/{name}"
     tag = F.concat(F.lit("["), F.col(KEY), F.lit(f"]_{name}_{runtime}"))
-    df.withColumn(TAG, tag).drop(KEY).write.mode(mode).partitionBy(TAG).parquet(target)
+    tagged = df.withColumn(TAG, tag).drop(KEY).hint("rebalance", TAG)
+    tagged.write.mode(mode).partitionBy(TAG).parquet(target)
     return target
 
 

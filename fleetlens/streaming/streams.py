@@ -75,13 +75,23 @@ class VersionedState:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._folder(batch_id - 1))
 
-    def write(self, state: DataFrame, batch_id: int) -> DataFrame:
-        names = self.schema.fieldNames()
-        state.select(*names).write.mode("overwrite").parquet(self._folder(batch_id))
-        return self.spark.read.schema(self.schema).parquet(self._folder(batch_id))
+    def write(self, state: DataFrame, batch_id: int) -> None:
+        """Write the state after a batch; the one before stays for a rerun, older ones go."""
+        state.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._folder(batch_id))
+        if batch_id >= 2:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(batch_id - 2))
+            files = old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+            files.delete(old, True)
 
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+def current_state(spark: SparkSession, folder: str) -> DataFrame:
+    """State after the newest micro-batch of the stream kept in `folder`."""
+    versions = spark.read.parquet(f"{folder}/state")
+    newest = versions.agg(F.max("version").alias("version"))
+    return versions.join(newest, "version").drop("version")
+
+
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame | None, DataFrame]]
 
 
 def stateful(
@@ -97,7 +107,8 @@ def stateful(
 
     def run(rows: DataFrame, batch_id: int) -> None:
         output, left = step(state.before(batch_id), rows)
-        output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        if output is not None:
+            output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
         state.write(left, batch_id)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
@@ -153,19 +164,19 @@ def stream_error_pairs(error_log: DataFrame, folder: str) -> StreamingQuery:
 def stream_eav_upsert(
     source: DataFrame, folder: str, *, as_of: datetime | str | None = None
 ) -> StreamingQuery:
-    """Inventory kept current; the newest `state` version is the inventory.
+    """Inventory kept current; `current_state` is the inventory.
 
     Without `as_of` retention counts from the newest value seen in the batch.
     """
     columns = [KEY, "hierarchy", "property", "value", "lastseen", "seq"]
 
-    def step(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def step(state: DataFrame, rows: DataFrame) -> tuple[None, DataFrame]:
         now = as_of
         if now is None:
             seen = rows.agg(F.max("lastseen").alias("t")).first()["t"]  # one value
             now = seen if seen is not None else datetime.min.replace(year=1900)
         merged = eav_upsert(state, rows.select(*columns), as_of=now)
-        return merged.filter(F.lit(False)), merged
+        return None, merged
 
     return stateful(source, step, source.select(*columns).schema, folder)
 
@@ -195,7 +206,8 @@ def stream_alert_transitions(checks: DataFrame, folder: str) -> StreamingQuery:
 def transitions(results: DataFrame) -> DataFrame:
     """Results whose state differs from the one before of the same object."""
     stepped = previous_row(
-        results, [KEY, "check", "object"], "checked_at", ["checked_at", "seq"], ["state"]
+        results, [KEY, "check", "object"], "checked_at", ["checked_at", "seq"], ["state"],
+        levels=["HOUR"],
     )
     return stepped.filter(
         F.col("previous").isNull() | (F.col("previous.state") != F.col("state"))

@@ -6,6 +6,8 @@ from .common import ORACLE, sql, ts
 
 sql("read_collected", "command_log", f"""
 SELECT instance_guid, database_name, command_type, {ts('start_time')} AS start_time, error_number, 'logcommand' AS dataset FROM command_log""")
+sql("write_dataset", "job_activity", """
+SELECT '[' || instance_guid || ']_logjobactivity_20010802000000' AS "drop", count(*) AS "rows" FROM job_activity GROUP BY 1""")
 sql("route_by_dataset", "file_names", """
 SELECT *, CASE WHEN name ILIKE '%\\_log\\_backup\\_%' ESCAPE '\\' THEN 'backup' WHEN name ILIKE '%\\_log\\_job\\_%' ESCAPE '\\' THEN 'job' WHEN name ILIKE '%\\_fact\\_%' ESCAPE '\\' THEN 'fact' END AS target FROM file_names""")
 sql("shred_events_xml", "raw_events", f"""

@@ -38,6 +38,12 @@ SELECT j.instance_guid, j.job_id, j.job_name, 120, 'WARNING',
   (SELECT value = '1' FROM parameters p WHERE p.instance_guid = j.instance_guid AND p.name = 'DEFAULT_JOB_ENABLED')
 FROM jobs j WHERE (j.instance_guid, j.job_id) NOT IN (SELECT (instance_guid, job_id) FROM old_policy_job)""")
 
+sql("policy_add_missing_groups", "replica_state old_policy_group", f"""
+SELECT * REPLACE ({ts('ag_role_change_datetime')} AS ag_role_change_datetime) FROM old_policy_group
+UNION ALL
+SELECT instance_guid, ag_id, ag_name, 'CRITICAL', TRUE, role_desc, 'WARNING', TRUE, NULL FROM replica_state r
+WHERE NOT EXISTS (SELECT 1 FROM old_policy_group o WHERE o.instance_guid = r.instance_guid AND o.ag_id = r.ag_id)""")
+
 sql("policy_refresh_names", "live_databases old_policy_database", """
 SELECT p.* REPLACE (coalesce(d.name, p.db_name) AS db_name)
 FROM old_policy_database p LEFT JOIN live_databases d USING (instance_guid, database_id)""")
