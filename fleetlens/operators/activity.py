@@ -188,9 +188,8 @@ def tran_log_format(rollup: DataFrame) -> DataFrame:
         F.min("transaction_start_time").alias("transaction_start_time"),
         F.max("implicit_tran").alias("implicit_tran"),
     )
-    return listed(rollup.withColumn("line", line), request, {"tran_log_writes": ("line", ",")}).join(
-        totals, request
-    )
+    texts = listed(rollup.withColumn("line", line), request, {"tran_log_writes": ("line", ",")})
+    return texts.join(totals, request)
 
 
 def avg_elapsed(requests: DataFrame, statement_stats: DataFrame) -> DataFrame:

@@ -362,13 +362,12 @@ def chart_evaluate(
     judged = shown.withColumn("state", threshold_state(F.col("val"), F.col("warn"), F.col("crit")))
     name = F.replace(F.substring_index("pnp", "=", 1), F.lit("'"), F.lit(""))
     breach = F.when(F.col("state") != "OK", F.concat("state", F.lit(" - "), name, F.lit("; ")))
-    totals = judged.groupBy(*keys).agg(
-        F.max(state_code(F.col("state"))).alias("state_code"), F.count("*").alias("rows")
-    )
+    told = F.coalesce(F.substring_index("breach", " - ", 1), F.lit("OK"))
     lines = listed(
         judged.withColumn("breach", breach), keys,
         {"breaches": ("breach", ""), "perf": ("pnp", "|")}, limit,
+        lambda n: [F.max(state_code(told)).alias("state_code"), F.sum(n).alias("rows")],
     )
-    return lines.join(totals, list(keys)).withColumn(
+    return lines.withColumn(
         "breaches", F.when(F.col("state_code") == 0, "OK").otherwise(F.col("breaches"))
     )

@@ -625,16 +625,16 @@ def check_replica_group(
 def check_rollup(checks: DataFrame, sep: str = ";\n ", limit: int = 1000) -> DataFrame:
     """Per instance and check: worst code, count without NA, joined message.
 
-    The code and the count are plain aggregates.  The message of a group of
-    more than `limit` rows is spread over several `part` rows, so the text of a
-    hot instance is never built in one task; each part repeats the totals.
+    The message of a group of more than `limit` rows is spread over several
+    `part` rows, so the text of a hot instance is never built in one task; each
+    part repeats the code and the count of the whole group.
     """
-    totals = checks.groupBy(KEY, "check").agg(
-        F.max(state_code(F.col("state"))).alias("state_code"),
-        F.count_if(F.upper("state") != "NA").alias("count"),
-    )
     line = F.concat(F.upper("state"), F.lit(" - "), F.col("message"))
-    texts = listed(
-        checks.select(KEY, "check", line.alias("line")), [KEY, "check"], {"message": ("line", sep)}, limit
+    told = F.substring_index("line", " - ", 1)
+    return listed(
+        checks.select(KEY, "check", line.alias("line")), [KEY, "check"], {"message": ("line", sep)}, limit,
+        lambda n: [
+            F.max(state_code(told)).alias("state_code"),
+            F.sum(F.when(told != "NA", n).otherwise(0)).alias("count"),
+        ],
     )
-    return texts.join(totals, [KEY, "check"])

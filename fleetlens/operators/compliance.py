@@ -1,7 +1,7 @@
 """Security benchmark rules scored for every instance.
 
-Inputs are reduced to one row per instance first; the rules are then columns of
-that row, unpivoted at the end.  No rule runs a job of its own.
+Every input becomes evidence rows for the rules it feeds; one aggregate over
+their union decides all rules.  No rule runs a job of its own.
 """
 
 from __future__ import annotations
@@ -131,47 +131,83 @@ def cis_cross_db_evidence(database_security: DataFrame) -> DataFrame:
     )
 
 
-def _login_counts(principals, permissions, server_role_members, instances) -> DataFrame:
-    sql_login = F.col("type_desc") == "SQL_LOGIN"
-    lax = ~F.col("is_expiration_checked")
-    per_login = (
-        permissions.groupBy(KEY, "principal_id").agg(
-            F.count("*").alias("n_permissions"),
-            F.count_if(
-                (F.col("permission_name") == "CONTROL SERVER") & F.col("state_desc").startswith("GRANT")
-            ).alias("n_control"),
-        )
+# fixed values: properties whose presence is judged, and how
+PROPERTY_RULES = {
+    "shared memory": "2.10", "tcpport": "2.11", "hideinstance": "2.12", "isintegratedsecurityonly": "3.1",
+    "audit level": "5.3", "startmode": "8.1",
+}
+BAD_PROPERTY = {"2.10": "True", "2.11": "1433", "2.12": "False", "3.1": "0"}
+GOOD_PROPERTY = {"5.3": "failure", "8.1": "4"}
+
+# rules that count violations; every instance reports them, if only with 0
+COUNTED = (
+    "2.9", "2.15", "2.16", "3.2", "3.3", "3.4", "3.8", "3.9", "3.10", "3.11", "4.1", "4.2", "4.3",
+    "6.2", "7.1", "7.2",
+)
+LOG_FILES, AUDITS = "5.1", "5.4"
+FINDINGS = {
+    "guest_connect": "3.2", "orphan_users": "3.3", "contained_logins": "3.4", "weak_symmetric": "7.1",
+    "weak_asymmetric": "7.2",
+}
+
+
+def _lookup(key: Column, values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
+def _evidence(rule: str | Column, n: Column | int = 1, text: Column | None = None) -> list[Column]:
+    rule = F.lit(rule) if isinstance(rule, str) else rule
+    n = F.lit(n) if isinstance(n, int) else n
+    text = F.lit(None).cast("string") if text is None else text
+    return [F.col(KEY), rule.alias("rule_id"), n.cast("long").alias("n"), text.alias("text")]
+
+
+def _named(column: str, rules: dict[str, str]) -> Column:
+    """Rule of a name, NULL for names no rule looks at."""
+    return _lookup(F.lower(column), rules)
+
+
+def _login_evidence(principals, permissions, server_role_members, instances) -> DataFrame:
+    """Evidence on logins; grants and roles are counted per login before the joins."""
+    grants = permissions.groupBy(KEY, "principal_id").agg(
+        F.count("*").alias("granted"),
+        F.count_if(
+            (F.col("permission_name") == "CONTROL SERVER") & F.col("state_desc").startswith("GRANT")
+        ).alias("control"),
     )
     sysadmins = server_role_members.filter(F.col("role_name") == "sysadmin").select(
-        KEY, "principal_id", F.lit(1).alias("is_sysadmin")
+        KEY, "principal_id", F.lit(1).alias("sysadmin")
     ).distinct()
-    joined = (
-        principals.join(per_login, [KEY, "principal_id"], "left")
+    login = (
+        principals.join(grants, [KEY, "principal_id"], "left")
         .join(sysadmins, [KEY, "principal_id"], "left")
         .join(instances.select(KEY, "machine_name"), KEY)
     )
-    granted = F.coalesce("n_permissions", F.lit(0))
-    return joined.groupBy(KEY).agg(
-        F.max(F.when(F.col("is_builtin_admin"), F.col("is_disabled"))).alias("sa_disabled"),
-        F.max(F.when(F.col("is_builtin_admin"), F.col("name"))).alias("sa_name"),
-        F.count_if(F.lower("name") == "sa").alias("named_sa"),
-        F.sum(F.when(F.lower("name").startswith("builtin"), granted).otherwise(0)).alias("builtin"),
-        F.sum(
-            F.when(
-                (F.col("type_desc") == "WINDOWS_GROUP")
-                & F.startswith(F.lower("name"), F.lower("machine_name")),
-                granted,
-            ).otherwise(0)
-        ).alias("local_groups"),
-        F.count_if(
-            sql_login & (~F.col("is_policy_checked") | lax) & ~F.col("name").isin(*POLICY_LOGINS)
-        ).alias("no_must_change"),
-        F.sum(
-            F.when(sql_login & lax, F.coalesce("is_sysadmin", F.lit(0)) + F.coalesce("n_control", F.lit(0)))
-            .otherwise(0)
-        ).alias("no_expiration"),
-        F.count_if(sql_login & ~F.col("is_policy_checked")).alias("no_policy"),
+    name, nothing = F.lower("name"), F.lit(None).cast("string")
+    is_sql = F.col("type_desc") == "SQL_LOGIN"
+    lax, unchecked = ~F.col("is_expiration_checked"), ~F.col("is_policy_checked")
+    granted = F.coalesce("granted", F.lit(0))
+    powers = F.coalesce("sysadmin", F.lit(0)) + F.coalesce("control", F.lit(0))
+
+    def found(rule: str, condition: Column, n: Column | int = 1, text: Column = nothing) -> Column:
+        n = F.lit(n) if isinstance(n, int) else n
+        return F.when(
+            condition,
+            F.struct(F.lit(rule).alias("rule_id"), n.cast("long").alias("n"), text.alias("text")),
+        )
+
+    is_local = F.startswith(name, F.lower("machine_name"))
+    rows = F.array(
+        found("2.13", F.col("is_builtin_admin"), F.col("is_disabled").cast("int")),
+        found("2.14", F.col("is_builtin_admin"), 0, F.col("name")),
+        found("2.16", name == "sa"),
+        found("3.9", name.startswith("builtin"), granted),
+        found("3.10", (F.col("type_desc") == "WINDOWS_GROUP") & is_local, granted),
+        found("4.1", is_sql & (unchecked | lax) & ~F.col("name").isin(*POLICY_LOGINS)),
+        found("4.2", is_sql & lax, powers),
+        found("4.3", is_sql & unchecked),
     )
+    return login.select(KEY, F.explode(F.array_compact(rows)).alias("r")).select(KEY, "r.*")
 
 
 def cis_rules(
@@ -180,119 +216,88 @@ def cis_rules(
     server_role_members: DataFrame, database_flags: DataFrame, database_security: DataFrame,
     assemblies: DataFrame, audit_actions: DataFrame, proxy_grants: DataFrame,
 ) -> DataFrame:
-    """(instance, rule_id, title, scored, pass, value), one row per finding."""
-    def option(name: str) -> Column:
-        return F.max(F.when(F.lower("name") == name, F.col("value_in_use")))
-
-    options = instance_options.groupBy(KEY).agg(
-        *[option(name).alias(f"o{rule}") for name, rule in {**OPTIONS_OFF, **OPTIONS_ON}.items()]
-    )
+    """(instance, rule_id, title, scored, pass, value), one row per finding.
 
-    def prop(name: str, when: Column | None = None) -> Column:
-        hit = F.lower("property") == name.lower()
-        return F.max(F.when(hit if when is None else hit & when, F.col("value")))
-
-    browser = F.lower("hierarchy").endswith("sqlbrowser")
-    properties = instance_properties.groupBy(KEY).agg(
-        prop("Shared Memory").alias("shared_memory"), prop("TcpPort").alias("tcp_port"),
-        prop("HideInstance").alias("hide_instance"), prop("IsIntegratedSecurityOnly").alias("integrated"),
-        prop("NumErrorLogs").cast("int").alias("error_logs"), prop("audit level").alias("audit_level"),
-        prop("StartMode", browser).alias("browser_start"),
+    Every input is narrowed to evidence rows (instance, rule, n, text).  Their
+    union goes through one aggregate, combined map-side, so an instance with a
+    third of the rows costs no more than its partial counts.
+    """
+    option = _named("name", {**OPTIONS_OFF, **OPTIONS_ON})
+    judged_property = _named("property", PROPERTY_RULES)
+    is_browser = F.lower("hierarchy").endswith("sqlbrowser")
+    property_rule = F.when((judged_property != "8.1") | is_browser, judged_property)
+    plain_grant = F.col("state_desc") == "GRANT"
+    default_grant = plain_grant & (
+        ((F.col("permission_name") == "VIEW ANY DATABASE") & (F.col("class_desc") == "SERVER"))
+        | (
+            (F.col("permission_name") == "CONNECT") & (F.col("class_desc") == "ENDPOINT")
+            & F.col("major_id").between(2, 5)
+        )
     )
-    flags = database_flags.groupBy(KEY).agg(
-        F.count_if(
+    audited = audit_actions.filter(
+        F.col("audit_action_id").isin(*AUDIT_ACTIONS) & F.col("specification_enabled") & F.col("audit_enabled")
+    ).groupBy(KEY, "audit_name").agg(F.count("*").alias("events"))
+    inside = cis_cross_db_evidence(database_security).select(
+        KEY,
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(rule).alias("rule_id"), F.col(c).alias("n"), F.lit(None).cast("string").alias("text"))
+                for c, rule in FINDINGS.items()
+            ])
+        ).alias("r"),
+    ).select(KEY, "r.*")
+    always = F.explode(F.array(*[F.lit(r) for r in (*COUNTED, LOG_FILES, AUDITS)]))
+    parts = [
+        instances.select(KEY, always.alias("rule_id"), F.lit(0).cast("long").alias("n"),
+                         F.lit(None).cast("string").alias("text")),
+        instance_options.select(*_evidence(option, F.col("value_in_use"))),
+        instance_properties.select(*_evidence(property_rule, 0, F.col("value"))),
+        instance_properties.filter(F.lower("property") == "numerrorlogs").select(
+            *_evidence(LOG_FILES, 0, F.col("value"))
+        ),
+        database_flags.filter(
             F.col("is_trustworthy_on") & (F.lower("name") != "msdb") & (F.col("state") == 0)
-        ).alias("trustworthy"),
-        F.count_if((F.col("containment") != 0) & F.col("is_auto_close_on")).alias("auto_close"),
-    )
-    grant = F.col("state_desc") == "GRANT"
-    default_grant = (
-        grant & (F.col("permission_name") == "VIEW ANY DATABASE") & (F.col("class_desc") == "SERVER")
-    ) | (
-        grant & (F.col("permission_name") == "CONNECT") & (F.col("class_desc") == "ENDPOINT")
-        & F.col("major_id").between(2, 5)
-    )
-    public = permissions.groupBy(KEY).agg(
-        F.count_if(
+        ).select(*_evidence("2.9")),
+        database_flags.filter((F.col("containment") != 0) & F.col("is_auto_close_on")).select(*_evidence("2.15")),
+        permissions.filter(
             (F.col("grantee") == "public") & F.col("state_desc").startswith("GRANT") & ~default_grant
-        ).alias("public_grants")
-    )
-    unsafe = assemblies.groupBy(KEY).agg(
-        F.count_if(F.col("is_user_defined") & (F.col("permission_set_desc") != "SAFE_ACCESS")).alias("unsafe")
-    )
-    audits = (
-        audit_actions.filter(
-            F.col("audit_action_id").isin(*AUDIT_ACTIONS) & F.col("specification_enabled") & F.col("audit_enabled")
-        )
-        .groupBy(KEY, "audit_name").agg(F.count("*").alias("n"))
-        .groupBy(KEY).agg(F.max("n").alias("audits"))
+        ).select(*_evidence("3.8")),
+        proxy_grants.filter(F.col("grantee") == "public").select(*_evidence("3.11")),
+        assemblies.filter(
+            F.col("is_user_defined") & (F.col("permission_set_desc") != "SAFE_ACCESS")
+        ).select(*_evidence("6.2")),
+        audited.select(*_evidence(AUDITS, F.col("events"))),
+        inside,
+        _login_evidence(principals, permissions, server_role_members, instances),
+    ]
+    evidence = parts[0]
+    for part in parts[1:]:
+        evidence = evidence.unionByName(part)
+    rule = F.col("rule_id")
+    summed = evidence.filter(rule.isNotNull()).groupBy(KEY, "rule_id").agg(
+        F.sum("n").alias("total"), F.max("n").alias("largest"), F.max("text").alias("text")
     )
-    proxies = proxy_grants.groupBy(KEY).agg(F.count_if(F.col("grantee") == "public").alias("public_proxies"))
-    wide = instances.select(KEY)
-    for part in (
-        options, properties, flags, public, unsafe, audits, proxies,
-        _login_counts(principals, permissions, server_role_members, instances),
-        cis_cross_db_evidence(database_security),
-    ):
-        wide = wide.join(part, KEY, "left")
-
-    def text(c: Column) -> Column:
-        return c.cast("string")
-
-    def none(column: str) -> tuple[Column, Column]:
-        n = F.coalesce(F.col(column), F.lit(0))
-        return n == 0, text(n)
-
-    def unlike(column: str, bad: str) -> tuple[Column, Column]:
-        return F.coalesce(F.col(column) != bad, F.lit(True)), F.col(column)
-
-    # rules that report only when the input has the option or property
-    present: dict[str, Column] = {}
-    judged: dict[str, tuple[Column, Column]] = {}
-    for rule in OPTIONS_OFF.values():
-        judged[rule] = (F.col(f"`o{rule}`") != 1, text(F.col(f"`o{rule}`")))
-        present[rule] = F.col(f"`o{rule}`").isNotNull()
-    for rule in OPTIONS_ON.values():
-        judged[rule] = (F.col(f"`o{rule}`") == 1, text(F.col(f"`o{rule}`")))
-        present[rule] = F.col(f"`o{rule}`").isNotNull()
-    for rule, column, bad in (
-        ("2.10", "shared_memory", "True"), ("2.11", "tcp_port", "1433"),
-        ("2.12", "hide_instance", "False"), ("3.1", "integrated", "0"),
-    ):
-        judged[rule] = unlike(column, bad)
-        present[rule] = F.col(column).isNotNull()
-    judged["5.3"] = (F.col("audit_level") == "failure", F.col("audit_level"))
-    present["5.3"] = F.col("audit_level").isNotNull()
-    judged["8.1"] = (F.col("browser_start") == "4", F.col("browser_start"))
-    present["8.1"] = F.col("browser_start").isNotNull()
-    judged["2.13"] = (F.col("sa_disabled"), F.col("sa_disabled").cast("int").cast("string"))
-    judged["2.14"] = (F.lower("sa_name") != "sa", F.col("sa_name"))
-    present["2.13"] = present["2.14"] = F.col("sa_name").isNotNull()
-    judged["2.16"] = (
-        F.coalesce("named_sa", F.lit(0)) == 0,
-        F.when(F.coalesce("named_sa", F.lit(0)) > 0, "sa").otherwise("0"),
+    total, largest, text = F.col("total"), F.col("largest"), F.col("text")
+    logs = F.coalesce(text.cast("int"), F.lit(6))
+    bad, good = _lookup(rule, BAD_PROPERTY), _lookup(rule, GOOD_PROPERTY)
+    passed = (
+        F.when(rule.isin(*OPTIONS_OFF.values()), largest != 1)
+        .when(rule.isin(*OPTIONS_ON.values(), "2.13"), largest == 1)
+        .when(rule == "2.14", F.lower(text) != "sa")
+        .when(rule == LOG_FILES, logs >= 12)
+        .when(rule == AUDITS, largest > 0)
+        .when(bad.isNotNull(), F.coalesce(text != bad, F.lit(True)))
+        .when(good.isNotNull(), F.coalesce(text == good, F.lit(False)))
+        .otherwise(total == 0)
     )
-    for rule, column in (
-        ("2.9", "trustworthy"), ("2.15", "auto_close"), ("3.2", "guest_connect"), ("3.3", "orphan_users"),
-        ("3.4", "contained_logins"), ("3.8", "public_grants"), ("3.9", "builtin"), ("3.10", "local_groups"),
-        ("3.11", "public_proxies"), ("4.1", "no_must_change"), ("4.2", "no_expiration"), ("4.3", "no_policy"),
-        ("6.2", "unsafe"), ("7.1", "weak_symmetric"), ("7.2", "weak_asymmetric"),
-    ):
-        judged[rule] = none(column)
-    logs = F.coalesce("error_logs", F.lit(6))
-    judged["5.1"] = (logs >= 12, text(logs))
-    judged["5.4"] = (F.col("audits").isNotNull(), text(F.coalesce("audits", F.lit(0))))
-
-    rows = F.array(
-        *[
-            F.when(
-                present.get(rule, F.lit(True)),
-                F.struct(F.lit(rule).alias("rule_id"), ok.alias("pass"), value.alias("value")),
-            )
-            for rule, (ok, value) in judged.items()
-        ]
+    shown = (
+        F.when(rule == "2.16", F.when(total > 0, "sa").otherwise("0"))
+        .when(rule == LOG_FILES, logs.cast("string"))
+        .when((rule == "2.14") | bad.isNotNull() | good.isNotNull(), text)
+        .when(rule.isin(*COUNTED), total.cast("string"))
+        .otherwise(largest.cast("string"))
     )
-    found = wide.select(KEY, F.explode(F.array_compact(rows)).alias("r")).select(KEY, "r.*")
+    found = summed.select(KEY, "rule_id", passed.alias("pass"), shown.alias("value"))
 
     # one row per administrator account, or one passing row
     admins = cis_admin_accounts(service_eav).select(
@@ -302,10 +307,8 @@ def cis_rules(
     clean = wanted.join(admins.select(KEY, "rule_id").distinct(), [KEY, "rule_id"], "left_anti").select(
         KEY, "rule_id", F.lit(True).alias("pass"), F.lit("0").alias("value")
     )
-    title, scored = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for rule_id, name, counts in RULES:
-        title = F.when(F.col("rule_id") == rule_id, name).otherwise(title)
-        scored = F.when(F.col("rule_id") == rule_id, counts).otherwise(scored)
+    title = _lookup(F.col("rule_id"), {rule_id: name for rule_id, name, _ in RULES})
+    scored = F.col("rule_id").isin(*[rule_id for rule_id, _, counts in RULES if counts])
     return found.unionByName(admins).unionByName(clean).select(
         KEY, "rule_id", title.alias("title"), scored.alias("scored"), "pass", "value"
     )

@@ -8,9 +8,9 @@ neither a hot group nor a hot text ends in one task, and no row is lost.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_LIMIT = 1000
@@ -18,27 +18,31 @@ LINE_LIMIT = 1000
 
 def listed(
     df: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[str, str]],
-    limit: int = LINE_LIMIT,
+    limit: int = LINE_LIMIT, totals: Callable[[Column], Sequence[Column]] | None = None,
 ) -> DataFrame:
-    """(keys, part, one text per entry of `lists`).
+    """(keys, part, one text per entry of `lists`, totals of the whole group).
 
     `lists` maps an output column to (text column, separator).  Texts are
-    sorted within a part; NULL texts are left out of their list.
+    sorted within a part; NULL texts are left out of their list.  `totals` gets
+    the number of copies of a distinct text row and returns aggregates over
+    those rows; they cost no second pass over `df`.
     """
     keys = list(keys)
-    texts = [text for text, _ in lists.values()]
-    copies = df.groupBy(*keys, *dict.fromkeys(texts)).agg(F.count("*").alias("__n"))
-    sizes = copies.groupBy(*keys).agg(F.ceil(F.sum("__n") / limit).cast("long").alias("__parts"))
+    texts = list(dict.fromkeys(text for text, _ in lists.values()))
+    copies = df.groupBy(*keys, *texts).agg(F.count("*").alias("__n"))
+    sizes = copies.groupBy(*keys).agg(
+        F.ceil(F.sum("__n") / limit).cast("long").alias("__parts"),
+        *(totals(F.col("__n")) if totals else ()),
+    )
     last = F.ceil(F.col("__n") / limit).cast("int") - 1
     chunks = (
         copies.withColumn("__chunk", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("__here", F.least(F.lit(limit), F.col("__n") - F.col("__chunk") * limit).cast("int"))
         .join(sizes, keys)
-        .withColumn(
-            "part", F.pmod(F.xxhash64(*dict.fromkeys(texts), "__chunk"), F.col("__parts")).cast("int")
-        )
+        .withColumn("part", F.pmod(F.xxhash64(*texts, "__chunk"), F.col("__parts")).cast("int"))
     )
-    gathered = chunks.groupBy(*keys, "part").agg(
+    whole = [c for c in sizes.columns if c not in (*keys, "__parts")]
+    return chunks.groupBy(*keys, "part", *whole).agg(
         *[
             F.array_join(
                 F.array_sort(F.flatten(F.collect_list(
@@ -49,4 +53,3 @@ def listed(
             for out, (text, sep) in lists.items()
         ]
     )
-    return gathered

@@ -25,9 +25,10 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._seen: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return adapt(self.spark, self.folder, name)
+        return adapt(self.spark, self.folder, name, seen=self._seen)
 
     def stream(self, name: str) -> DataFrame:
         return adapt(self.spark, self.folder, name, read=stream_table)

@@ -194,10 +194,10 @@ ADAPTERS: dict[str, str] = {
                CONCAT('file_', CAST(l_suppkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS name,
                CONCAT(CASE l_suppkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'E' ELSE 'F' END, ':/data/file_', CAST(l_suppkey AS STRING), '.mdf') AS physical_name,
                CAST(MAX(l_quantity) AS BIGINT) * 1000 AS size_pages, CAST(MAX(l_quantity) AS BIGINT) * (1000 - CAST(ROUND(MAX(l_discount) * 1000) AS BIGINT)) AS used_pages,
-               CASE MAX(l_returnflag) WHEN 'N' THEN -1 WHEN 'R' THEN CAST(MAX(l_quantity) AS BIGINT) * 1000 + CAST(MAX(l_quantity) AS BIGINT) * CAST(MAX(l_quantity) AS BIGINT) * 40
+               CASE MAX(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) WHEN 2 THEN -1 WHEN 3 THEN CAST(MAX(l_quantity) AS BIGINT) * 1000 + CAST(MAX(l_quantity) AS BIGINT) * CAST(MAX(l_quantity) AS BIGINT) * 40
                     ELSE CAST(MAX(l_quantity) AS BIGINT) * 1500 END AS max_size_pages,
-               CASE WHEN MAX(l_tax) < 0.02 THEN 0 WHEN MIN(l_linestatus) = 'O' THEN 10 + CAST(MAX(l_quantity) AS BIGINT) * 2 ELSE CAST(MAX(l_quantity) AS BIGINT) * 400 END AS growth,
-               MIN(l_linestatus) = 'O' AS is_percent_growth
+               CASE WHEN MAX(l_tax) < 0.02 THEN 0 WHEN MIN(CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END) = 1 THEN 10 + CAST(MAX(l_quantity) AS BIGINT) * 2 ELSE CAST(MAX(l_quantity) AS BIGINT) * 400 END AS growth,
+               MIN(CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END) = 1 AS is_percent_growth
         FROM {{lineitem}} GROUP BY l_partkey, l_suppkey, l_linenumber""",
     "drives": """
         SELECT n_name AS instance_guid, 'D' AS drive, CAST(20 + n_nationkey * 4 AS DECIMAL(20,2)) AS free_mb, CAST(900000 AS DECIMAL(20,2)) AS capacity_mb FROM {nation}
@@ -605,14 +605,22 @@ def needed(name: str) -> list[str]:
     return [*out, name]
 
 
-def adapt(spark: SparkSession, folder: str, name: str, read=table) -> DataFrame:
-    """An operator input built from the base tables in `folder`."""
-    sql = ADAPTERS[name]
-    refs = {
-        ref: read(spark, folder, ref) if ref in TABLES else adapt(spark, folder, ref, read)
-        for ref in set(_MARK.findall(sql))
-    }
-    return spark.sql(sql, **refs)
+def adapt(
+    spark: SparkSession, folder: str, name: str, read=table, seen: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """An operator input built from the base tables in `folder`.
+
+    `seen` keeps what has been built, so a table is opened once per query.
+    """
+    seen = {} if seen is None else seen
+    if name not in seen:
+        if name in TABLES:
+            seen[name] = read(spark, folder, name)
+        else:
+            sql = ADAPTERS[name]
+            refs = {ref: adapt(spark, folder, ref, read, seen) for ref in set(_MARK.findall(sql))}
+            seen[name] = spark.sql(sql, **refs)
+    return seen[name]
 
 
 def duckdb_ctes(*names: str) -> str:
