@@ -1,52 +1,53 @@
 """Previous / next row within a key, for keys of any size.
 
 A window partitioned by the key alone puts a hot key into one task.  Here the
-key is cut by time (`MINUTE`, then `DAY`): a row's neighbour is found inside its
-own slice, and only the edge row of each slice travels on to the next coarser
-level.  Every level is exact, and the rows one task sorts are those of one
-(key, slice), then at most the slices of the next level.
+key is cut by time, level by level: a row's neighbour is found inside its own
+slice, and only the first and last row of each slice go on to the next coarser
+level.  Every level is exact, and a task sorts the rows of one (key, slice).
+Both outcomes of a level read the same shuffle, so the input is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ("MINUTE", "DAY")
 
+_OPEN, _CELL, _EDGE, _VALUE = "__open", "__cell", "__edge", "__value"
+
 
 def _neighbour(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, out: str,
-    levels: Sequence[str], back: bool,
+    df: DataFrame, keys: list[str], ts: str, order: list[str], out: str, levels: Sequence[str], back: bool
 ) -> DataFrame:
-    step = F.lag if back else F.lead
+    """`df` has `_VALUE`, and `_OPEN` where a row still looks for its neighbour."""
+    step, other = (F.lag, F.lead) if back else (F.lead, F.lag)
     if not levels:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, step(value).over(w))
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, step(_VALUE).over(whole)).filter(_OPEN)
 
-    cell, carried = f"__{out}_cell", f"__{out}_carried"
-    df = df.withColumn(cell, F.date_trunc(levels[0], F.col(ts)))
-    inside = df.withColumn(
-        out, step(value).over(Window.partitionBy(*keys, cell).orderBy(*order))
+    inside = Window.partitionBy(*keys, _CELL).orderBy(*order)
+    looked = (
+        df.withColumn(_CELL, F.date_trunc(levels[0], F.col(ts)))
+        .withColumn(out, step(_VALUE).over(inside))
+        .withColumn(_EDGE, other(_VALUE).over(inside).isNull())
     )
-    edge = F.max_by if back else F.min_by
-    edges = df.groupBy(*keys, cell).agg(edge(value, F.struct(*order)).alias(value))
-    edges = _neighbour(edges, keys, cell, [cell], value, carried, levels[1:], back)
-    edges = edges.select(*keys, cell, carried)
-    return (
-        inside.join(edges, [*keys, cell])
-        .withColumn(out, F.coalesce(out, carried))
-        .drop(cell, carried)
+    found = F.col(out).isNotNull()
+    answered = looked.filter(F.col(_OPEN) & found).drop(_CELL, _EDGE)
+    rest = (
+        looked.withColumn(_OPEN, F.col(_OPEN) & ~found)
+        .filter(F.col(_OPEN) | F.col(_EDGE))
+        .drop(_CELL, _EDGE, out)
     )
+    return answered.unionByName(_neighbour(rest, keys, ts, order, out, levels[1:], back))
 
 
 def _adjacent(df, keys, ts, order, values, out, levels, back) -> DataFrame:
-    packed = f"__{out}_packed"
-    df = df.withColumn(packed, F.struct(*values))
-    return _neighbour(df, list(keys), ts, list(order), packed, out, levels, back).drop(packed)
+    started = df.withColumn(_VALUE, F.struct(*values)).withColumn(_OPEN, F.lit(True))
+    done = _neighbour(started, list(keys), ts, list(order), out, levels, back)
+    return done.drop(_VALUE, _OPEN)
 
 
 def previous_row(
@@ -55,8 +56,8 @@ def previous_row(
 ) -> DataFrame:
     """Add struct `out` with the `values` of the row before; NULL for the first.
 
-    `keys` must not be NULL.  `order` must be unique within a key and start
-    with `ts`.
+    `order` must be unique within a key and start with `ts`.  `levels` are
+    units of `date_trunc`, finest first.
     """
     return _adjacent(df, keys, ts, order, values, out, levels, True)
 
