@@ -47,11 +47,6 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_seconds(end) - F.unix_seconds(start)).cast("long")
 
 
-def minutes_before(as_of: Column, minutes: Column) -> Column:
-    """`as_of` moved back by a per-row number of minutes."""
-    return F.timestamp_micros(F.unix_micros(as_of) - minutes.cast("long") * 60_000_000)
-
-
 def name_key(name: Column) -> Column:
     """Names compare without case."""
     return F.lower(name)

@@ -34,9 +34,13 @@ def backup_status_report(
     """Status of every database and of backups whose database is gone."""
     now = instant(as_of)
     k = "name_key"
-    full = backup_history.filter(F.col("type") == "D").groupBy(
-        KEY, name_key(F.col("database_name")).alias(k)
-    ).agg(F.max("backup_start_date").alias("started"), F.max("database_name").alias("backup_name"))
+    # the long pass keeps one instant per spelling of a name; spellings meet afterwards
+    spelled = backup_history.filter(F.col("type") == "D").groupBy(KEY, "database_name").agg(
+        F.max("backup_start_date").alias("started")
+    )
+    full = spelled.groupBy(KEY, name_key(F.col("database_name")).alias(k)).agg(
+        F.max("started").alias("started"), F.max("database_name").alias("backup_name")
+    )
     restored = (
         restore_history.filter(
             (F.col("restore_type") == "D")
