@@ -73,8 +73,8 @@ def pages_to_mb(pages: Column) -> Column:
 
 
 def agent_timestamp(run_date: Column, run_time: Column) -> Column:
-    """Integers yyyymmdd and hhmmss to an instant."""
-    return F.make_timestamp(
+    """Integers yyyymmdd and hhmmss to an instant; NULL for no such time."""
+    return F.try_make_timestamp(
         F.floor(run_date / 10000).cast("int"),
         F.floor(run_date % 10000 / 100).cast("int"),
         (run_date % 100).cast("int"),

@@ -278,7 +278,7 @@ def cis_rules(
         F.sum("n").alias("total"), F.max("n").alias("largest"), F.max("text").alias("text")
     )
     total, largest, text = F.col("total"), F.col("largest"), F.col("text")
-    logs = F.coalesce(text.cast("int"), F.lit(6))
+    logs = F.coalesce(text.try_cast("int"), F.lit(6))
     bad, good = _lookup(rule, BAD_PROPERTY), _lookup(rule, GOOD_PROPERTY)
     passed = (
         F.when(rule.isin(*OPTIONS_OFF.values()), largest != 1)

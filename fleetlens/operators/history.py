@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import (
     KEY, MB, SANITIZED_NOTICE, agent_seconds, agent_timestamp, clean_text, instant, iso_with_offset,
-    name_key,
+    name_key, pages_to_mb,
 )
 from ..plans.adjacent import next_row
 from .policy import retention_purge
@@ -89,7 +89,7 @@ def log_backup(
             megabytes(F.col("backup_size")).alias("backup_size_mb"),
             megabytes(packed).alias("compressed_backup_size_mb"),
             (F.try_divide(size - packed.cast("decimal(20,0)"), size) * 100)
-            .cast("decimal(5,2)").alias("compression_ratio"),
+            .try_cast("decimal(5,2)").alias("compression_ratio"),
             _or_null(b, "encryptor_type", "string").alias("encryptor_type"),
             _or_null(b, "encryptor_thumbprint", "binary").alias("encryptor_thumbprint"),
             _or_null(b, "is_password_protected", "boolean").alias("is_password_protected"),
@@ -105,7 +105,7 @@ def drive_sizes(service_eav: DataFrame, drives_free: DataFrame) -> DataFrame:
     ).select(
         KEY,
         F.upper(F.regexp_extract("hierarchy", "(?i)Win32_Volume/(.)", 1)).alias("drive"),
-        (F.col("value").cast("decimal(20,0)") / F.lit(1048576)).cast(MB).alias("capacity_mb"),
+        (F.col("value").try_cast("decimal(20,0)") / F.lit(1048576)).cast(MB).alias("capacity_mb"),
     )
     return volume.join(drives_free.select(KEY, "drive", "free_mb"), [KEY, "drive"])
 
@@ -114,9 +114,6 @@ def log_capacity(
     db_files: DataFrame, databases: DataFrame, drives: DataFrame, *, as_of: datetime | str
 ) -> DataFrame:
     """Used and reserved space per file beside the drive it is on."""
-    def megabytes(c: Column) -> Column:
-        return (c.cast("decimal(20,0)") / F.lit(128)).cast(MB)
-
     return (
         db_files.join(
             databases.select(KEY, "database_id", F.col("name").alias("database_name")),
@@ -127,8 +124,8 @@ def log_capacity(
         .select(
             KEY, "database_name", "physical_name", F.col("name").alias("logical_name"),
             F.col("file_type").alias("type_desc"),
-            megabytes(F.coalesce("used_pages", F.lit(0))).alias("used_mb"),
-            megabytes(F.col("size_pages")).alias("reserved_mb"),
+            pages_to_mb(F.coalesce("used_pages", F.lit(0))).alias("used_mb"),
+            pages_to_mb(F.col("size_pages")).alias("reserved_mb"),
             "drive", "free_mb", "capacity_mb",
             iso_with_offset(instant(as_of)).alias("check_date"),
         )

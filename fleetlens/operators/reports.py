@@ -55,7 +55,7 @@ def backup_status_report(
 
     def marked(mark: str, out: str) -> DataFrame:
         return report_params.filter(F.lower("comments") == mark.lower()).select(
-            KEY, name_key(F.col("parametername")).alias(k), F.col("setting").cast("int").alias(out)
+            KEY, name_key(F.col("parametername")).alias(k), F.col("setting").try_cast("int").alias(out)
         )
 
     offline = report_params.filter(F.lower("parametername") == OFFLINE_MARK.lower()).select(

@@ -83,6 +83,18 @@ def route_by_dataset(files: DataFrame, routes: dict[str, str], tag: str = "name"
     return files.withColumn("target", target)
 
 
+def write_routed(routed: DataFrame, path: str, mode: str = "append") -> None:
+    """Routed rows in one folder per target; rows without a target are not written."""
+    placed = routed.filter(F.col("target").isNotNull()).hint("rebalance", "target")
+    placed.write.mode(mode).partitionBy("target").parquet(path)
+
+
+def write_snapshots(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
+    """Dated rows in one folder per day, so retention drops or skips whole folders."""
+    day = F.to_date(F.col(ts)).alias("snapshot_day")
+    df.select("*", day).hint("rebalance", "snapshot_day").write.mode(mode).partitionBy("snapshot_day").parquet(path)
+
+
 def _glob(pattern: str) -> str:
     return "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in pattern)
 

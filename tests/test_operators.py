@@ -670,6 +670,32 @@ def test_safe_names():
     assert exchange.safe_name("[log].[a b]-c_1") == "logab-c_1"
 
 
+def test_routed_files(spark, tmp_path):
+    df = spark.createDataFrame([("[a]_log_backup_1.xml",), ("x_LOG_JOB_2.xml",), ("y_other.xml",)], "name string")
+    routed = exchange.route_by_dataset(df, {"*_log_backup_*": "backup", "*_log_*": "log"})
+    exchange.write_routed(routed, str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "target", "name") == [
+        ("backup", "[a]_log_backup_1.xml"), ("log", "x_LOG_JOB_2.xml"),
+    ]
+
+
+def test_snapshots_prune_by_day(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    for day in ("2024-05-30", "2024-05-31"):
+        exchange.write_snapshots(spark.createDataFrame([("i", f"{day}T01:00:00.000+00:00")], "instance_guid string, check_date string"), path, "check_date")
+    kept = spark.read.parquet(path).filter("snapshot_day >= '2024-05-31'")
+    assert "PartitionFilters: [isnotnull(snapshot_day" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 1
+
+
+def test_datasets_round_trip_with_a_hot_instance(spark, tmp_path):
+    df = spark.range(300).selectExpr("IF(id < 200, 'hot_1', concat('i', id % 3)) AS instance_guid", "id")
+    target = exchange.write_dataset(df, str(tmp_path), "log.x", "20240601120000")
+    back = exchange.read_collected(spark, target)
+    assert rows(back, "instance_guid", "id") == rows(df)
+    assert rows(back.select("dataset").distinct()) == [("logx",)]
+
+
 def test_event_documents(spark):
     xml = (
         '<event timestamp="2024-01-02T03:04:05.678Z"><data name="destination"><type name="error_destination"/><value>{}</value></data>'

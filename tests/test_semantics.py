@@ -58,6 +58,7 @@ def test_offset_sign(spark, zone, want):
 
 def test_agent_integers(spark):
     assert one(spark, s.agent_timestamp(F.lit(20240131), F.lit(93007))) == datetime(2024, 1, 31, 9, 30, 7)
+    assert one(spark, s.agent_timestamp(F.lit(0), F.lit(0))) is None
     assert one(spark, s.agent_seconds(F.lit(10203))) == 3723
     assert one(spark, s.agent_seconds(F.lit(1250000))) == 125 * 3600
 
