@@ -7,6 +7,7 @@ whole-stage code generation.  Times are instants; sessions run in UTC.
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,8 +69,17 @@ def iso_with_offset(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSxxx")
 
 
+def pages_to_cents(pages: Column) -> Column:
+    """Hundredths of a megabyte, rounded half up, in integer arithmetic."""
+    return F.shiftright(pages.cast("long") * 100 + PAGES_PER_MB // 2, 7)
+
+
+def cents_to_mb(cents: Column) -> Column:
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MB)
+
+
 def pages_to_mb(pages: Column) -> Column:
-    return (pages.cast("decimal(20,0)") / F.lit(PAGES_PER_MB)).cast(MB)
+    return cents_to_mb(pages_to_cents(pages))
 
 
 def agent_timestamp(run_date: Column, run_time: Column) -> Column:

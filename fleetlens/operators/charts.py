@@ -1,7 +1,7 @@
 """Capacity and counter metrics with thresholds.
 
-Sizes are pages of 8 KB until the last step.  Decimals follow the reports:
-megabytes are `decimal(20,2)`, rounded half up per file before they are summed.
+Sizes are pages of 8 KB, then whole hundredths of a megabyte (rounded half up per
+file before they are summed), and become `decimal(20,2)` only in the results.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import KEY, MB, like_text, pages_to_mb
+from ..functions.semantics import (
+    KEY, MB, cents_to_mb, like_text, pages_to_cents, pages_to_mb,
+)
 from ..functions.states import state_code
 from ..plans.adjacent import previous_row
 from ..plans.listing import LINE_LIMIT, listed
 from ..plans.patterns import match_patterns
 
-_MB_PER_PAGE = Decimal("0.0078125")
 _BYTES_PER_MB = 1048576
 
 # fixed values: counter types
@@ -27,10 +28,6 @@ RATIO, AVERAGE, PER_SECOND, INSTANT, BASE = (
 )
 
 
-def _mb(pages: Column) -> Column:
-    return pages.cast("decimal(20,0)") * F.lit(_MB_PER_PAGE)
-
-
 def file_inventory(
     db_files: DataFrame, databases: DataFrame, policy_database: DataFrame
 ) -> DataFrame:
@@ -46,6 +43,7 @@ def file_inventory(
         [KEY, "database_id"], "left",
     )
     online = F.col("state") == 0
+    used = F.when(online, F.coalesce("used_pages", F.lit(0))).otherwise(0).cast("long")
     return (
         db_files.join(known, [KEY, "database_id"])
         .filter(online | F.col("has_policy"))
@@ -56,8 +54,8 @@ def file_inventory(
             F.when(online, F.col("filegroup_name")).alias("filegroup_name"),
             F.when(online, F.col("filegroup_is_readonly")).alias("filegroup_is_readonly"),
             F.upper(F.substring("physical_name", 1, 1)).alias("drive"),
-            F.when(online, pages_to_mb(F.coalesce("used_pages", F.lit(0))))
-            .otherwise(F.lit(0).cast(MB)).alias("used_mb"),
+            used.alias("used_pages"),
+            pages_to_mb(used).alias("used_mb"),
             pages_to_mb(F.col("size_pages")).alias("reserved_mb"),
             "size_pages", "max_size_pages", "growth", "is_percent_growth",
         )
@@ -67,36 +65,50 @@ def file_inventory(
 def file_headroom(files: DataFrame, drives: DataFrame) -> DataFrame:
     """Files plus `disk_free_mb` and `headroom_mb`, the space each can still use.
 
-    When growth room equals the free disk exactly the disk is the bound.
+    Everything is compared in whole units of 1/12800 MB, where pages, rounded
+    hundredths of megabytes and percents of pages are all exact integers.  When
+    growth room equals the free disk exactly the disk is the bound.
     """
-    free = F.col("disk_free_mb")
-    slack = (F.col("reserved_mb") - F.col("used_mb")).cast(MB)
-    size, limit = _mb(F.col("size_pages")), _mb(F.col("max_size_pages"))
+    def from_cents(c: Column) -> Column:
+        return c * 128
+
+    def from_pages(c: Column) -> Column:
+        return c.cast("long") * 100
+
+    free_cents = (F.col("disk_free_mb") * 100).cast("long")
+    free = from_cents(free_cents)
+    used = from_cents(pages_to_cents(F.col("used_pages")))
+    reserved = from_cents(pages_to_cents(F.col("size_pages")))
+    slack = reserved - used
+    size, limit = from_pages(F.col("size_pages")), from_pages(F.col("max_size_pages"))
     percent = F.col("is_percent_growth")
-    step = F.when(
-        percent, size * F.col("growth").cast("decimal(9,0)") * F.lit(Decimal("0.01"))
-    ).otherwise(_mb(F.col("growth")))
+    step = F.when(percent, F.col("size_pages") * F.col("growth")).otherwise(from_pages(F.col("growth")))
     disk_bound = F.when(step > free, slack).otherwise(free)
     too_big = F.when(percent, step >= limit - size).otherwise(step > limit - size)
-    size_bound = F.when(too_big, slack).otherwise((limit - F.col("used_mb")).cast(MB))
-    headroom = (
-        F.when(F.col("filegroup_is_readonly") | (F.col("growth") == 0), slack)
+    size_bound = F.when(too_big, slack).otherwise(limit - used)
+    fixed = F.coalesce("filegroup_is_readonly", F.lit(False))
+    headroom = F.when(
+        free.isNotNull(),
+        F.when(fixed, slack)
+        .when(F.col("max_size_pages") == 0, F.lit(None).cast("long"))
+        .when(F.col("growth") == 0, slack)
         .when(F.col("max_size_pages") == -1, disk_bound)
-        .when(
-            F.col("max_size_pages") > 0,
-            F.when(limit - F.col("reserved_mb") >= free, disk_bound).otherwise(size_bound),
-        )
+        .when(limit - reserved >= free, disk_bound)
+        .otherwise(size_bound),
     )
-    # a file with neither a limit nor growth nor a readonly group has no room to speak of
-    allowed = F.col("filegroup_is_readonly") | (F.col("max_size_pages") != 0)
+    # units to hundredths, half up
+    cents = F.shiftright(headroom + 64, 7)
     return files.join(
         drives.select(KEY, "drive", F.col("free_mb").cast(MB).alias("disk_free_mb")),
         [KEY, "drive"], "left",
-    ).withColumn("headroom_mb", F.when(allowed & free.isNotNull(), headroom).cast(MB))
+    ).withColumns({"headroom_cents": cents, "headroom_mb": cents_to_mb(cents)})
 
 
 def filegroup_headroom(headroom: DataFrame) -> DataFrame:
-    """Used, reserved and usable space per filegroup, the disk counted once per drive."""
+    """Used, reserved and usable space per filegroup, the disk counted once per drive.
+
+    Sums are over integers, so both aggregates stay in hash buffers.
+    """
     group = [
         KEY, "database_id", "state", "database_is_read_only", "filegroup_id", "filegroup_name",
         "filegroup_is_readonly", "file_type",
@@ -106,23 +118,23 @@ def filegroup_headroom(headroom: DataFrame) -> DataFrame:
     ).otherwise(F.col("max_size_pages"))
     placed = F.col("disk_free_mb").isNotNull()
     per_drive = headroom.groupBy(*group, "drive").agg(
-        F.sum("used_mb").alias("used_mb"),
-        F.sum("reserved_mb").alias("reserved_mb"),
-        F.max("disk_free_mb").alias("free"),
-        F.sum(F.when(placed, _mb(pages_limit))).alias("limit"),
+        F.sum(pages_to_cents(F.col("used_pages"))).alias("used"),
+        F.sum(pages_to_cents(F.col("size_pages"))).alias("reserved"),
+        F.max((F.col("disk_free_mb") * 100).cast("long")).alias("free"),
+        F.sum(F.when(placed, pages_limit)).alias("limit_pages"),
         F.sum(F.when(placed, F.col("growth"))).alias("growth"),
         F.min(F.when(placed, pages_limit)).alias("lowest"),
-        F.sum("headroom_mb").alias("rooms"),
+        F.sum("headroom_cents").alias("rooms"),
     )
     open_ended = (F.col("growth") > 0) & (F.col("lowest") < 0)
+    above_disk = F.col("limit_pages") * 100 - F.col("reserved") * 128 >= F.col("free") * 128
     room = F.when(
-        (F.col("limit") - F.col("reserved_mb") >= F.col("free")) | open_ended,
-        F.col("free") + F.col("reserved_mb") - F.col("used_mb"),
+        above_disk | open_ended, F.col("free") + F.col("reserved") - F.col("used")
     ).otherwise(F.col("rooms"))
     return per_drive.groupBy(*group).agg(
-        F.sum("used_mb").cast(MB).alias("used_mb"),
-        F.sum("reserved_mb").cast(MB).alias("reserved_mb"),
-        F.sum(F.when(F.col("free").isNotNull(), room)).cast(MB).alias("headroom_mb"),
+        cents_to_mb(F.sum("used")).alias("used_mb"),
+        cents_to_mb(F.sum("reserved")).alias("reserved_mb"),
+        cents_to_mb(F.sum(F.when(F.col("free").isNotNull(), room))).alias("headroom_mb"),
     )
 
 

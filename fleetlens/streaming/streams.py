@@ -106,10 +106,14 @@ def stateful(
     state = VersionedState(spark, f"{folder}/state", state_schema)
 
     def run(rows: DataFrame, batch_id: int) -> None:
-        output, left = step(state.before(batch_id), rows)
-        if output is not None:
-            output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        state.write(left, batch_id)
+        rows.persist()  # output and state both read the batch
+        try:
+            output, left = step(state.before(batch_id), rows)
+            if output is not None:
+                output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+            state.write(left, batch_id)
+        finally:
+            rows.unpersist()
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -131,8 +135,8 @@ def stream_counter_rate(samples: DataFrame, folder: str, ttl_days: int = 7) -> S
         newest = pool.groupBy(*series).agg(
             F.max(F.struct("sample_ts", *[c for c in columns if c not in (*series, "sample_ts")])).alias("s")
         ).select(*series, "s.*")
-        horizon = newest.agg((F.max("sample_ts") - F.expr(f"INTERVAL {int(ttl_days)} DAY")).alias("oldest"))
-        # one row: the newest sample of the whole stream
+        # one value: the newest sample of the batch
+        horizon = rows.agg((F.max("sample_ts") - F.expr(f"INTERVAL {int(ttl_days)} DAY")).alias("oldest"))
         oldest = horizon.first()["oldest"]
         kept = newest if oldest is None else newest.filter(F.col("sample_ts") >= F.lit(oldest))
         return rates, kept.select(*columns)

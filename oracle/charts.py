@@ -15,6 +15,7 @@ FILES = f""", files AS (
     CASE WHEN d.state = 0 THEN f.filegroup_name END AS filegroup_name,
     CASE WHEN d.state = 0 THEN f.filegroup_is_readonly END AS filegroup_is_readonly,
     upper(substr(f.physical_name, 1, 1)) AS drive,
+    CASE WHEN d.state = 0 THEN f.used_pages ELSE 0 END AS used_pages,
     CASE WHEN d.state = 0 THEN {cents('f.used_pages / 128')} ELSE 0 END AS used, {cents('f.size_pages / 128')} AS reserved,
     size_pages, max_size_pages, growth, is_percent_growth
   FROM db_files f JOIN databases d USING (instance_guid, database_id)

@@ -227,14 +227,14 @@ def test_rollup_takes_the_worst_and_survives_a_hot_check(spark):
 
 FILE = (
     "instance_guid string, database_id int, state int, database_is_read_only boolean, file_id int, file_type string, "
-    "filegroup_id int, filegroup_name string, filegroup_is_readonly boolean, drive string, used_mb decimal(20,2), "
-    "reserved_mb decimal(20,2), size_pages long, max_size_pages long, growth long, is_percent_growth boolean"
+    "filegroup_id int, filegroup_name string, filegroup_is_readonly boolean, drive string, "
+    "used_pages long, size_pages long, max_size_pages long, growth long, is_percent_growth boolean"
 )
 
 
 def a_file(readonly=False, limit=-1, growth=128, percent=False, used=40, size=100, drive="D"):
-    return ("i", 1, 0, False, 1, "ROWS", 1, "PRIMARY", readonly, drive, Decimal(used), Decimal(size), size * 128,
-            limit if limit < 1 else limit * 128, growth if percent else growth * 128 // 128, percent)
+    return ("i", 1, 0, False, 1, "ROWS", 1, "PRIMARY", readonly, drive, used * 128, size * 128,
+            limit if limit < 1 else limit * 128, growth, percent)
 
 
 @pytest.mark.parametrize("kind, free, want", [
