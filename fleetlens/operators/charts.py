@@ -267,7 +267,8 @@ def counter_rate(counter_samples: DataFrame) -> DataFrame:
     ).join(base, at, "left")
     stepped = previous_row(
         based, [KEY, "object_name", "counter_name", "instance_name"], "sample_ts",
-        ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"], levels=["HOUR"],
+        ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"], levels=["MINUTE", "DAY"],
+        sizing=counter_samples,
     ).filter(F.col("previous").isNotNull())
 
     def number(c: Column) -> Column:

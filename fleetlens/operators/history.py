@@ -177,7 +177,7 @@ def log_error_pairs(
     """
     lines = next_row(
         in_window(error_log, "log_date", windows).select(KEY, "log_date", "source", "seq", "message"),
-        [KEY], "log_date", ["log_date", "source", "seq"], ["message"], out="following",
+        [KEY], "log_date", ["log_date", "source", "seq"], ["message"], out="following", sizing=error_log,
     )
     pairs = lines.filter(
         F.col("message").ilike(HEADER) & F.col("following").isNotNull()

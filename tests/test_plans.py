@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
-from fleetlens.plans.adjacent import next_row, previous_row
+from fleetlens.plans.adjacent import hot_keys, next_row, previous_row
 from fleetlens.plans.fixpoint import closure, shared_folder, subtree_sizes
 from fleetlens.plans.listing import listed
 from fleetlens.plans.nesting import nest
@@ -30,22 +30,37 @@ def timeline(spark, seed=1, n=400):
     return spark.createDataFrame(data, "k string, ts timestamp, seq long, v int").repartition(5)
 
 
-@pytest.mark.parametrize("levels", [[], ["DAY"], ["HOUR"], ["MINUTE", "DAY"], ["SECOND", "HOUR", "MONTH"]])
-def test_neighbours_equal_plain_window(spark, levels):
+@pytest.mark.parametrize("hot_rows", [0, 100, 10_000])
+@pytest.mark.parametrize("levels", [[], ["DAY"], ["MINUTE", "DAY"], ["SECOND", "HOUR", "MONTH"]])
+def test_neighbours_equal_plain_window(spark, levels, hot_rows):
     df = timeline(spark)
     w = Window.partitionBy("k").orderBy("ts", "seq")
     want = df.withColumn("p", F.lag("v").over(w)).withColumn("n", F.lead("v").over(w))
     got = next_row(
-        previous_row(df, ["k"], "ts", ["ts", "seq"], ["v"], levels=levels),
-        ["k"], "ts", ["ts", "seq"], ["v"], levels=levels,
+        previous_row(df, ["k"], "ts", ["ts", "seq"], ["v"], levels=levels, hot_rows=hot_rows),
+        ["k"], "ts", ["ts", "seq"], ["v"], levels=levels, hot_rows=hot_rows,
     ).select("k", "ts", "seq", "v", F.col("previous.v").alias("p"), F.col("next.v").alias("n"))
     assert rows(got) == rows(want.select(*got.columns))
 
 
 def test_neighbours_do_not_depend_on_partitioning(spark):
     few, many = timeline(spark).repartition(2), timeline(spark).repartition(50)
-    a = previous_row(few, ["k"], "ts", ["ts", "seq"], ["v"])
-    b = previous_row(many, ["k"], "ts", ["ts", "seq"], ["v"])
+    a = previous_row(few, ["k"], "ts", ["ts", "seq"], ["v"], hot_rows=50)
+    b = previous_row(many, ["k"], "ts", ["ts", "seq"], ["v"], hot_rows=50)
+    assert rows(a, "k", "seq", "previous.v") == rows(b, "k", "seq", "previous.v")
+
+
+def test_hot_keys_are_few_whatever_the_data(spark):
+    df = timeline(spark)
+    assert rows(hot_keys(df, ["k"], hot_rows=100), "k") == [("hot",)]
+    assert hot_keys(df, ["k"]).count() == 0
+
+
+def test_sizing_does_not_change_the_result(spark):
+    df = timeline(spark)
+    other = spark.createDataFrame([("a",)] * 20, "k string")
+    a = previous_row(df, ["k"], "ts", ["ts", "seq"], ["v"], sizing=other, hot_rows=5)
+    b = previous_row(df, ["k"], "ts", ["ts", "seq"], ["v"])
     assert rows(a, "k", "seq", "previous.v") == rows(b, "k", "seq", "previous.v")
 
 
