@@ -18,6 +18,7 @@ from ..sources.exchange import read_collected, route_by_dataset, shred_events_xm
 from ..sources.tables import prepare, stream_table
 from ..streaming import streams
 from .fixpoint import shared_folder
+from .run import run_checks
 
 
 class Inputs:
@@ -217,6 +218,8 @@ def check_rollup(i: Inputs) -> DataFrame:
     return checks.check_rollup(found)
 
 
+query("run_checks")(lambda i: run_checks(i, as_of=AS_OF))
+
 # ---- charts ---------------------------------------------------------------
 
 

@@ -193,3 +193,11 @@ SELECT instance_guid, c AS "check", 0 AS part, string_agg(upper(state) || ' - '
   max({CODE}) AS state_code, count(*) FILTER (WHERE state <> 'NA') AS "count"
 FROM a GROUP BY 1, 2"""
 )
+
+ORACLE["run_checks"] = " UNION ALL ".join(
+    f"SELECT * FROM ({ORACLE[n]})"
+    for n in (
+        "check_backup", "check_integrity", "check_database_state", "check_inventory", "check_job",
+        "check_job_long_running", "check_logshipping", "check_mirroring", "check_replica_group",
+    )
+)
