@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language
+from . import language, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +35,21 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     learned = language.learn_dictionaries(docs.filter(~fold("doc_id", 4, 2)))
     rows = docs.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "text")
     return language.classify(rows, learned).drop("text")
+
+
+def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model:
+    """Positives are the texts labelled good in the learning fold; all documents are the unlabelled text."""
+    good = labels.filter((F.col("quality") == 1) & ~fold("doc_id", 5, 0)).select("doc_id").distinct()
+    return quality.learn(documents.join(good, "doc_id", "left_semi"), documents)
+
+
+#: Scores from here on keep a document.
+QUALITY_FLOOR = 0.3
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, folder, "labels"))
+    found = quality.score(docs.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "text"), model)
+    return found.drop("text").withColumn("predicted", (F.col("score") >= QUALITY_FLOOR).cast("int"))
