@@ -32,21 +32,23 @@ def learn_dictionaries(
     """
     rows = samples.select(F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (F.length("t") > 0))
-    per_lang = rows.groupBy("l").agg(F.count("*").alias("n"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
+        return {}
+    number = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("l")]
     spread = F.xxhash64("t", F.lit(7)) / F.lit(2.0**64) + F.lit(0.5)
     # four times the texts wanted pass, whatever the number there is; copies fall out, then the least hashes stay
     some = (
         rows.select("l", spread.alias("u"), F.substring("t", 1, max_bytes).alias("t"))
-        .join(per_lang, "l")
-        .filter(F.col("u") * F.col("n") < 4 * max_texts)
+        .filter(F.col("u") * number < 4 * max_texts)
         .dropDuplicates(["l", "u"])
     )
     ranked = some.selectExpr("l", "t", "row_number() over (partition by l order by u) as r")
     share = max(64, max_bytes // max_texts)
     chosen = F.substring("t", 1, 4 * share).alias("t")
-    found = ranked.filter(F.col("r") <= max_texts).join(per_lang, "l").select("l", "r", "n", chosen).collect()
+    found = ranked.filter(F.col("r") <= max_texts).select("l", "r", chosen).collect()
     out: dict[str, bytes] = {}
-    for _, language in sorted({(-r.n, r.l) for r in found}):
+    for _, language in sorted({(-counts[r.l], r.l) for r in found}):
         texts = [letters_of(r.t).encode() for r in sorted((r for r in found if r.l == language), key=lambda r: r.r)]
         size = share
         while size < 4 * share and sum(len(t[:size]) for t in texts) < max_bytes:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language, quality
+from . import language, ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_model(docs, table(spark, folder, "labels"))
     found = quality.score(docs.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "text"), model)
     return found.drop("text").withColumn("predicted", (F.col("score") >= QUALITY_FLOOR).cast("int"))
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
