@@ -1,33 +1,59 @@
-"""Iterative joins whose state is cut with reliable checkpoints."""
+"""Iterative joins whose state is cut by tables written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only where that is unset, on a local master as in tests, a temporary one is
-    made; a cluster has to name a folder all its machines share.
+    Only where that is unset, on a local master as in tests, a folder in the
+    session's warehouse is taken; a cluster has to name a folder all its
+    machines share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder the cluster shares")
-    return tempfile.mkdtemp(prefix="fleetlens-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/fleetlens-scratch"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This session's own folder in the shared one; it is removed when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = f"{shared_folder(spark)}/fleetlens-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _written[app])
+    return _written[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Through Hadoop's file system, as the folder may be in any store; nothing waits for it."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended already
+        return
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write `df` as Parquet to the shared folder and read it from there.
+
+    Unlike a checkpoint, the table has its true size: the estimates of a chain of
+    checkpointed joins multiply, which in a loop costs the planner more than the
+    joins, and hides from it what is small enough to broadcast.
+    """
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(start: DataFrame, step: DataFrame, key: str, max_depth: int = 50) -> DataFrame:

@@ -17,7 +17,7 @@ from ..sources.adapters import AS_OF, AS_OF_EVENTS, adapt
 from ..sources.exchange import read_collected, route_by_dataset, shred_events_xml, write_dataset
 from ..sources.tables import prepare, stream_table
 from ..streaming import streams
-from .fixpoint import shared_folder
+from .fixpoint import run_folder
 from .run import run_checks
 
 
@@ -35,8 +35,8 @@ class Inputs:
         return adapt(self.spark, self.folder, name, read=stream_table)
 
     def scratch(self) -> str:
-        """A new folder of this run in the shared folder."""
-        return f"{shared_folder(self.spark)}/fleetlens-{uuid.uuid4().hex}"
+        """A new folder in this session's own one."""
+        return f"{run_folder(self.spark)}/{uuid.uuid4().hex}"
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
