@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language, mixing, ngram_join, quality, secrets
+from . import language, line_dedup, mixing, ngram_join, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,26 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
         secrets.listed("spans").alias("spans"),
     )
+
+
+LINE_DEDUP_SQL = f"""
+WITH texts AS (SELECT text, min(coalesce(source, '')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+split AS (SELECT text, site, string_split(text, chr(10)) AS ls FROM texts),
+lines AS (SELECT text, site, generate_subscripts(ls, 1) AS pos, unnest(ls) AS raw FROM split),
+cut AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
+bad AS (SELECT line FROM cut WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
+flagged AS (SELECT c.text, c.pos, c.raw, length(c.line) AS n, b.line IS NOT NULL AS bad FROM cut c LEFT JOIN bad b USING (line)),
+done AS (
+  SELECT text, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
+         coalesce(sum(n) FILTER (bad), 0) < {line_dedup.COPY_SHARE} * sum(n) AND count(*) FILTER (bad) > 0 AS carrier,
+         coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS rest
+  FROM flagged GROUP BY text)
+SELECT d.doc_id, CASE WHEN c.carrier THEN c.rest ELSE d.text END AS text,
+       coalesce(c.n_lines, 0) AS n_lines, CASE WHEN c.carrier THEN c.n_bad ELSE 0 END AS n_removed
+FROM documents d LEFT JOIN done c ON d.text = c.text
+"""
+
+
+@query("op1_line_dedup", LINE_DEDUP_SQL)
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedupe_lines(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("source")
