@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language, line_dedup, mixing, ngram_join, quality, secrets
+from . import decontaminate, language, line_dedup, mixing, ngram_join, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +100,9 @@ FROM documents d LEFT JOIN done c ON d.text = c.text
 @query("op1_line_dedup", LINE_DEDUP_SQL)
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedupe_lines(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("source")
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("tkey").withColumn("similarity", F.round("similarity", 6))

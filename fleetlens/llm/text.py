@@ -44,6 +44,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sequence_hash(words: np.ndarray) -> np.ndarray:
+    """One hash of a sequence of word hashes; of k words it is their shingle's."""
+    out = np.full(1, len(words), dtype=np.uint64)
+    for w in words:
+        out = mix(out * np.uint64(_BASE) + w)
+    return out
+
+
 class Chunk:
     """Words of several texts: 64-bit hashes, and each text's range of words."""
 
@@ -77,10 +85,7 @@ class Chunk:
             return all_shingles[a : b - k + 1]
         if b == a:
             return np.zeros(0, dtype=np.uint64)
-        out = np.full(1, b - a, dtype=np.uint64)
-        for w in self.words[a:b]:
-            out = mix(out * np.uint64(_BASE) + w)
-        return out
+        return sequence_hash(self.words[a:b])
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
