@@ -15,6 +15,7 @@ anything: pairs left out are in one component already, or bounded away.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .text import NOT_SPACE, SHINGLE, chunks, mix, texts_of
 #: Counters of the token frequencies that order the tokens; a fixed 2^20.
 COUNTERS = 1 << 20
 _BLOCKS = 32
-#: Bits of a hashed row of the matrix.
+#: Bits of a group's hashed row of the matrix; a class has a finer one too, of twice its tokens.
 BITS = 2048
 _WORDS = BITS // 64
 #: Bits of the filter that names the texts whose sets a step needs; a fixed 2^23.
@@ -61,6 +62,23 @@ def _bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
+def _fine(tokens: np.ndarray) -> bytes:
+    width = 1 << max(9, int(2 * len(tokens) - 1).bit_length())
+    out = np.zeros(width, dtype=np.uint8)
+    out[tokens & np.uint64(width - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Bits that differ, after the wider row is folded to the other's width: so many tokens are in one set only."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _profile(rows: DataFrame, k: int) -> DataFrame:
     """Per text its class, size, min-hash and bit row; per task the counts of its tokens."""
 
@@ -68,16 +86,17 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
         counts = np.zeros(COUNTERS, dtype=np.int64)
         schema = pa.schema(
             [("doc_id", pa.int64()), ("rkey", pa.int64()), ("n", pa.int32()), ("cid", pa.int64()), ("gkey", pa.int64()),
-             ("bits", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())]
+             ("bits", pa.list_(pa.int64())), ("fine", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())]
         )
         for batch in batches:
-            n, cid, gkey, bits = [], [], [], []
+            n, cid, gkey, bits, fine = [], [], [], [], []
             waiting: list[np.ndarray] = []
             for _, tokens in _sets(texts_of(batch.column(2)), k):
                 n.append(len(tokens))
                 cid.append(_class(tokens))
                 gkey.append(int(mix(tokens ^ np.uint64(0xC0FFEE)).min().view(np.int64)) if len(tokens) else 0)
                 bits.append(_bits(tokens))
+                fine.append(_fine(tokens))
                 waiting.append(tokens)
                 if len(waiting) == 2000:
                     counts += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
@@ -87,18 +106,18 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(gkey, pa.int64()),
-                 pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
+                 pa.array(bits, pa.list_(pa.int64())), pa.array(fine, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
             )
         if counts.any():
-            parts = [p.astype(np.int32).tobytes() for p in np.minimum(counts, 2**31 - 1).reshape(_BLOCKS, -1)]
+            parts = [zlib.compress(p.astype(np.int32).tobytes(), 1) for p in np.minimum(counts, 2**31 - 1).reshape(_BLOCKS, -1)]
             none = pa.nulls(_BLOCKS)
             yield pa.RecordBatch.from_arrays(
-                [*(none.cast(t) for t in schema.types[:6]), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())],
+                [*(none.cast(t) for t in schema.types[:7]), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())],
                 schema=schema,
             )
 
     return rows.mapInArrow(
-        run, "doc_id long, rkey long, n int, cid long, gkey long, bits array<long>, block int, counts binary"
+        run, "doc_id long, rkey long, n int, cid long, gkey long, bits array<long>, fine binary, block int, counts binary"
     )
 
 
@@ -109,7 +128,7 @@ def _token_order(profile: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(counts, dtype=np.int32).astype(np.int64)
+                part = np.frombuffer(zlib.decompress(counts), dtype=np.int32).astype(np.int64)
                 sums[block] = sums[block] + part if block in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays(
@@ -190,16 +209,22 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
     Tokens whose bits differ are in one set only, so the bit rows bound the
     overlap; what they don't rule out is compared exactly.
     """
-    side = lambda x: reps.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"), F.col("rkey").alias(f"rkey{x}"))
-    differ = _popcount(F.col("bitsa"), F.col("bitsb"), lambda x, y: x.bitwiseXOR(y))
-    most = F.least(F.floor((F.col("na") + F.col("nb") - differ) / 2), F.col("na"), F.col("nb"))
-    likely = (
-        pairs.select("a", "b")
-        .join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(100 * most >= percent * (F.col("na") + F.col("nb") - most))
-        .select("a", "b", "rkeya", "rkeyb")
-    )
+    side = lambda x: reps.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rkey", "fine")])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            fine = zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)
+            differ = np.fromiter((_differing(x, y) for x, y in fine), dtype=np.int64, count=len(na))
+            most = np.minimum((na.astype(np.int64) + nb - differ) // 2, np.minimum(na, nb))
+            keep = pa.array(100 * most >= percent * (na.astype(np.int64) + nb - most))
+            picked = [batch.column(i).filter(keep) for i in (0, 1, 4, 5)]
+            yield pa.RecordBatch.from_arrays(picked, names=["a", "b", "rkeya", "rkeyb"])
+
+    sided = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    sided = sided.filter(f"na * {percent} <= nb * 100 and nb * {percent} <= na * 100")
+    sided = sided.select("a", "b", "na", "nb", "rkeya", "rkeyb", "finea", "fineb")
+    likely = sided.mapInArrow(bound, "a long, b long, rkeya long, rkeyb long")
     likely = cut_lineage(likely)
     wanted = likely.selectExpr("a as cid", "rkeya as rkey").union(likely.selectExpr("b", "rkeyb")).distinct()
     sets = cut_lineage(_needed_sets(rows, wanted, k))
@@ -240,7 +265,7 @@ def classes_and_links(
     profile = cut_lineage(_profile(rows.select("doc_id", "rkey", "text"), k))
     order = _token_order(profile)
     members = profile.filter("block is null").select("doc_id", "n", "cid")
-    reps = profile.filter("n > 0").select("cid", "n", "gkey", "bits", "rkey").dropDuplicates(["cid"])
+    reps = profile.filter("n > 0").select("cid", "n", "gkey", "bits", "fine", "rkey").dropDuplicates(["cid"])
     reps = cut_lineage(reps)
 
     # groups: a leader, and those of its min-hash that link with it
@@ -256,25 +281,28 @@ def classes_and_links(
     united = prefixes.filter("gid is not null").select(F.explode("prefix").alias("tok"), "gid").distinct()
     matrix = alone.union(united)
     meet = matrix.withColumnRenamed("gid", "a").join(matrix.withColumnRenamed("gid", "b"), "tok").filter("a < b")
-    pairs = cut_lineage(meet.select("a", "b").distinct())
+    pairs = cut_lineage(meet.groupBy("a", "b").agg(F.count("*").alias("c")))
 
-    # groups whose sizes allow a link: the leaders first
-    spans = grouped.join(reps, "cid").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"), *[F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(_WORDS)])
-    spans = cut_lineage(spans.select("gid", "lo", "hi", "c", F.array(*[f"u{i}" for i in range(_WORDS)]).alias("union")))
+    # groups whose sizes and common deciding tokens allow a link: the leaders first.  A pair shares its deciding tokens
+    # up to where one of the two ends, and at most the rest of that one: 0.8 of its size, less one
+    spans = grouped.join(reps, "cid").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("many"), *[F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(_WORDS)])
+    spans = cut_lineage(spans.select("gid", "lo", "hi", "many", F.array(*[f"u{i}" for i in range(_WORDS)]).alias("union")))
     single = reps.select(F.col("cid").alias("gid"), "n").join(grouped.select(F.col("cid").alias("gid")), "gid", "left_anti")
-    sizes = spans.select("gid", "lo", "hi", "c").union(single.select("gid", "n", "n", F.lit(1)))
-    end = lambda x: sizes.select(F.col("gid").alias(x), *[F.col(c).alias(c + x) for c in ("lo", "hi", "c")])
+    sizes = spans.select("gid", "lo", "hi", "many").union(single.select("gid", "n", "n", F.lit(1)))
+    end = lambda x: sizes.select(F.col("gid").alias(x), *[F.col(c).alias(c + x) for c in ("lo", "hi", "many")])
     fitting = pairs.join(end("a"), "a").join(end("b"), "b")
-    fitting = cut_lineage(fitting.filter(f"loa * {percent} <= hib * 100 and lob * {percent} <= hia * 100"))
+    fitting = fitting.filter(f"loa * {percent} <= hib * 100 and lob * {percent} <= hia * 100")
+    rest = f"({percent} * greatest(hia, hib) + 99) div 100 - 1"
+    fitting = cut_lineage(fitting.filter(f"(c + {rest}) * {100 + percent} >= {percent} * (loa + lob)"))
     links = star.union(_verified(fitting, reps, rows, k, percent))
 
     # groups that are still apart: bound each query of the smaller one by the other's union, then open that one
     label = cut_lineage(components(links))
     of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias("l" + x))
-    apart = fitting.filter("ca > 1 or cb > 1").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = fitting.filter("manya > 1 or manyb > 1").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.filter("la is null or lb is null or la != lb")
-    asks = apart.select(F.when(F.col("ca") <= F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("q_gid"),
-                        F.when(F.col("ca") <= F.col("cb"), F.col("b")).otherwise(F.col("a")).alias("gid"))
+    asks = apart.select(F.when(F.col("manya") <= F.col("manyb"), F.col("a")).otherwise(F.col("b")).alias("q_gid"),
+                        F.when(F.col("manya") <= F.col("manyb"), F.col("b")).otherwise(F.col("a")).alias("gid"))
     asks = cut_lineage(asks)
     if asks.isEmpty():
         return members, links
