@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, language, line_dedup, mixing, ngram_join, quality, secrets
+from . import decontaminate, language, line_dedup, mixing, ngram_join, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,16 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("tkey").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("op4_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM m
+""")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(table(spark, folder, "pages")).drop("url")
