@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, language, line_dedup, mixing, ngram_join, quality, secrets, topk, warc
+from . import decontaminate, html_extract, language, line_dedup, mixing, ngram_join, quality, secrets, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,9 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.quantised(table(spark, folder, "embeddings"))
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
+@query("op5_html_extract")
+def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.learn(pages))
