@@ -54,20 +54,25 @@ def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, text: str = "t
 
 
 def dedupe_lines(
-    documents: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, text: str = "text", site: str = "source"
+    documents: DataFrame,
+    min_sites: int = MIN_SITES,
+    copy_share: float = COPY_SHARE,
+    text: str = "text",
+    site: str = "source",
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """`documents` without cross-site boilerplate lines, with `n_lines` and `n_removed`.
+    """`documents` without cross-site boilerplate lines, with the `counts` of lines and of removed ones.
 
     Lines end at a line feed and are compared without blanks around them; blank
     lines stay, and so does the order.  A text of which `copy_share` or more is
     boilerplate is a copy as a whole, which is for a near-duplicate step: it
     stays as it is.  A null text stays null, with no lines; an empty one has one.
-    All rows and columns come back; columns named like the two are replaced.
+    All rows and columns come back; columns named like the counts are replaced.
     """
     bad = cut_lineage(boilerplate(documents, min_sites, text, site))
     hits = text_lines(documents, text).join(bad, "line", "left_semi").distinct()
     strip = cut_lineage(hits.groupBy("tkey").agg(F.collect_list("line").alias("__strip")))
-    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in counts]
     rows = documents.select(*kept, _key(F.col(text)).alias("__tkey"))
     rows = rows.join(strip.withColumnRenamed("tkey", "__tkey"), "__tkey", "left")
 
@@ -80,7 +85,7 @@ def dedupe_lines(
     removed = F.when(F.col("__rest").isNotNull(), F.size(lines) - F.size("__rest")).otherwise(0)
     return rows.select(
         *[F.coalesce(F.array_join("__rest", "\n"), F.col(text)).alias(c) if c == text else F.col(f"`{c}`")
-          for c in documents.columns if c not in ("n_lines", "n_removed")],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        removed.cast("long").alias("n_removed"),
+          for c in documents.columns if c not in counts],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(counts[0]),
+        removed.cast("long").alias(counts[1]),
     )

@@ -255,7 +255,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
 def classes_and_links(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = 80
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n, cid of every text; and the verified links (a, b, shared) of classes.
+    """(members, links): doc_id, rkey (hash of id and text), n, cid of every text; and the verified links (a, b, shared) of classes.
 
     The links connect exactly the classes that the full join connects: a link
     that isn't listed lies inside one component of those listed.
@@ -264,7 +264,7 @@ def classes_and_links(
     rows = rows.withColumn("rkey", F.xxhash64("doc_id", "text"))
     profile = cut_lineage(_profile(rows.select("doc_id", "rkey", "text"), k))
     order = _token_order(profile)
-    members = profile.filter("block is null").select("doc_id", "n", "cid")
+    members = profile.filter("block is null").select("doc_id", "rkey", "n", "cid")
     reps = profile.filter("n > 0").select("cid", "n", "gkey", "bits", "fine", "rkey").dropDuplicates(["cid"])
     reps = cut_lineage(reps)
 
@@ -319,12 +319,13 @@ def classes_and_links(
 def near_duplicates(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = 80
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document.
+    """(doc_id, n_shingles, component_id, component, rkey) per document.
 
     Words are runs of all but ASCII white space, A-Z in lower case; the set is
     the distinct k-word shingles, or the whole sequence where there are fewer
-    words.  Two texts link when percent * union <= 100 * intersection, and
-    `component_id` is the smallest doc_id reachable by links, the own included.
+    words.  Two texts link when percent * union <= 100 * intersection.
+    `component_id` is the smallest doc_id reachable by links, the own included;
+    `component` is a number of the component's own and `rkey` a hash of id and text.
 
     Null and empty texts have an empty set and link with nothing: each is alone.
     Rows of equal text link, also rows with equal doc_id.  A null doc_id is never
@@ -335,7 +336,28 @@ def near_duplicates(
     least = members.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     least = least.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     by_label = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = least.join(by_label, "label").select("cid", "component_id")
+    by_class = least.join(by_label, "label").select("cid", "component_id", F.col("label").alias("component"))
     found = members.join(by_class, "cid", "left")
-    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
+    none = F.col("n") == 0
+    return found.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(none, F.col("rkey")).otherwise(F.col("component")).alias("component"),
+        "rkey",
+    )
+
+
+def keep_one(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = 80
+) -> DataFrame:
+    """`documents` with one of each component: the smallest doc_id, nulls last, then the smallest `rkey`.
+
+    Rows of equal doc_id and text count once; texts without words stay, one row
+    for each doc_id.
+    """
+    found = near_duplicates(documents, doc_id, text, k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rkey"))
+    kept = cut_lineage(found.groupBy("component").agg(first.alias("first")).select(F.col("first.rkey").alias("__rkey")))
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+    return documents.withColumn("__rkey", key).join(kept, "__rkey", "left_semi").dropDuplicates(["__rkey"]).drop("__rkey")

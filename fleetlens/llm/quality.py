@@ -149,20 +149,20 @@ def learn(
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add `score`, 0 to 1: how likely each whole text is good.
+def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Add `out`, 0 to 1: how likely each whole text is good.
 
     Null and empty texts are scored alike, as texts without words.  Other
-    columns go through; one named `score` is replaced.
+    columns go through; one named like `out` is replaced.
     """
-    kept = [c for c in df.columns if c != "score"]
+    kept = [c for c in df.columns if c != out]
     rows = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.score(features_of(c)) for _, c in chunks(texts_of(batch.column(kept.index(text))), NOT_SPACE)]
             scores = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, out])
 
     return rows.mapInArrow(run, schema)

@@ -37,10 +37,21 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.classify(rows, learned).drop("text")
 
 
+#: Documents labelled good, and unlabelled ones, that the quality model is fitted on, at most.
+QUALITY_SAMPLE = 6000
+
+
 def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model:
-    """Positives are the texts labelled good in the learning fold; all documents are the unlabelled text."""
-    good = labels.filter((F.col("quality") == 1) & ~fold("doc_id", 5, 0)).select("doc_id").distinct()
-    return quality.learn(documents.join(good, "doc_id", "left_semi"), documents)
+    """Positives are the texts labelled good in the learning fold; all documents are the unlabelled text.
+
+    The ids to learn from are drawn by hash before the texts are looked up, so
+    that the broadcast side is bounded, whatever the number of labels.
+    """
+    good = labels.filter((F.col("quality") == 1) & ~fold("doc_id", 5, 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    share = F.xxhash64("doc_id", F.lit(3)) / F.lit(2.0**64) + F.lit(0.5)
+    drawn = good.filter(share * good.count() < QUALITY_SAMPLE)
+    positives = documents.join(F.broadcast(drawn), "doc_id", "left_semi")
+    return quality.learn(positives, documents, most=QUALITY_SAMPLE)
 
 
 #: Scores from here on keep a document.
@@ -57,7 +68,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+    return ngram_join.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op6_mixing")
