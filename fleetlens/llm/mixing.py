@@ -100,7 +100,7 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, most: float = 3, rounds: i
         step = F.when(F.col("slope") > 0, F.col("tilt") - miss / F.col("slope"))
         middle = F.when(low == -math.inf, high - 1 - F.abs(high)).otherwise((low + high) / 2)
         near = F.abs(miss) <= 1e-10 * F.col("target")
-        near = near | ((high - low) <= 1e-13 * F.greatest(F.abs(high), F.abs(low)))
+        near = near | ((low > -math.inf) & ((high - low) <= 1e-13 * F.greatest(F.abs(high), F.abs(low))))
         moved = F.when(near, F.col("tilt")).when((step > low) & (step < high), step).otherwise(middle)
         stepped = state.join(now, _KEY, "left").select(
             *targets.columns,
