@@ -137,13 +137,15 @@ def wait_format(rollup: DataFrame) -> DataFrame:
 
 
 def block_leaders(sessions: DataFrame) -> DataFrame:
-    """Sessions blocked by each session, directly or through others.
+    """Sessions blocked by each session, directly or through others, in each snapshot.
 
-    Sessions that block each other in a ring count all others they reach.
+    A blocker may change between snapshots, so each snapshot is a forest of its
+    own.  Sessions that block each other in a ring count all others they reach.
     """
-    links = sessions.select(KEY, "session_id", "blocking_session_id").distinct()
-    return subtree_sizes(links, KEY, "session_id", "blocking_session_id").select(
-        KEY, F.col("node").alias("session_id"), (F.col("size") - 1).alias("blocked_session_count")
+    one = F.struct(KEY, "snapshot_ts").alias("at")
+    links = sessions.select(one, "session_id", "blocking_session_id").distinct()
+    return subtree_sizes(links, "at", "session_id", "blocking_session_id").select(
+        f"at.{KEY}", "at.snapshot_ts", F.col("node").alias("session_id"), (F.col("size") - 1).alias("blocked_session_count")
     )
 
 
@@ -178,7 +180,7 @@ def tran_log_rollup(tran_log: DataFrame) -> DataFrame:
 
 
 def tran_log_format(rollup: DataFrame) -> DataFrame:
-    """`database: records (kB kB)` list per request."""
+    """A line `database: records (kB kB)` per request and database, with the request's first write and flag."""
     line = F.concat(
         F.coalesce("database_name", F.lit("(null)")), F.lit(": "), F.col("log_record_count").cast("string"),
         F.lit(" ("), F.col("log_kb_used").cast("string"), F.lit(" kB)"),
@@ -188,8 +190,8 @@ def tran_log_format(rollup: DataFrame) -> DataFrame:
         F.min("transaction_start_time").alias("transaction_start_time"),
         F.max("implicit_tran").alias("implicit_tran"),
     )
-    texts = listed(rollup.withColumn("line", line), request, {"tran_log_writes": ("line", ",")})
-    return texts.join(totals, request)
+    texts = listed(rollup.withColumn("line", line), request, {"tran_log_write": "line"})
+    return texts.drop("copies").join(totals, request)
 
 
 def avg_elapsed(requests: DataFrame, statement_stats: DataFrame) -> DataFrame:

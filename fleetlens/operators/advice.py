@@ -221,6 +221,17 @@ def log_backup_due(
     return db_stats.withColumn("log_backup_due", due)
 
 
+def command_history_summary(command_log: DataFrame) -> DataFrame:
+    """Runs, errors and seconds per command type, object and day of the start; an unfinished run has no duration."""
+    seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1_000_000
+    return command_log.groupBy(KEY, "command_type", "database_name", F.to_date("start_time").alias("day")).agg(
+        F.count("*").alias("runs"),
+        F.count_if(F.coalesce("error_number", F.lit(0)) != 0).alias("errors"),
+        F.sum(seconds).alias("total_seconds"),
+        F.max(seconds).alias("longest_seconds"),
+    )
+
+
 def last_successful_command(command_log: DataFrame, command_type: str = "DBCC_CHECKDB") -> DataFrame:
     """Start of the last run without error per database."""
     return (

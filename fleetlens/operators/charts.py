@@ -17,7 +17,7 @@ from ..functions.semantics import (
 )
 from ..functions.states import state_code
 from ..plans.adjacent import previous_row
-from ..plans.listing import LINE_LIMIT, listed
+from ..plans.listing import listed
 from ..plans.patterns import match_patterns
 
 _BYTES_PER_MB = 1048576
@@ -363,24 +363,18 @@ def threshold_state(val: Column, warn: Column, crit: Column) -> Column:
     )
 
 
-def chart_evaluate(
-    charts: DataFrame, keys: Sequence[str] = (KEY, "chart"), limit: int = LINE_LIMIT
-) -> DataFrame:
-    """Worst code, breaches and performance text per chart.
+def chart_evaluate(charts: DataFrame, keys: Sequence[str] = (KEY, "chart")) -> DataFrame:
+    """Worst code and number of rows per chart, with a row for each distinct performance text and its breach.
 
-    Rows without a value or a text are skipped.  Charts of more than `limit`
-    rows are spread over several `part` rows; the code covers all of them.
+    Rows without a value or a text are skipped.  `breach` is NULL where the
+    thresholds hold; `copies` is how often the two texts occur.
     """
     shown = charts.filter(F.col("val").isNotNull() & (F.coalesce("pnp", F.lit("")) != ""))
     judged = shown.withColumn("state", threshold_state(F.col("val"), F.col("warn"), F.col("crit")))
     name = F.replace(F.substring_index("pnp", "=", 1), F.lit("'"), F.lit(""))
-    breach = F.when(F.col("state") != "OK", F.concat("state", F.lit(" - "), name, F.lit("; ")))
+    breach = F.when(F.col("state") != "OK", F.concat("state", F.lit(" - "), name))
     told = F.coalesce(F.substring_index("breach", " - ", 1), F.lit("OK"))
-    lines = listed(
-        judged.withColumn("breach", breach), keys,
-        {"breaches": ("breach", ""), "perf": ("pnp", "|")}, limit,
+    return listed(
+        judged.withColumn("breach", breach), keys, {"breach": "breach", "perf": "pnp"},
         lambda n: [F.max(state_code(told)).alias("state_code"), F.sum(n).alias("rows")],
     )
-    return lines.withColumn(
-        "breaches", F.when(F.col("state_code") == 0, "OK").otherwise(F.col("breaches"))
-    )

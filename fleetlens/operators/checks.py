@@ -351,12 +351,13 @@ def login_totals(
 ) -> DataFrame:
     """Failures per explicit login and in total, each over its own window.
 
-    A login is left out when its threshold or its period is zero.  Events are
-    cut at the longest window of any policy row only through the join, and are
+    A login is left out when its threshold or its period is zero.  The longest
+    period of any policy row, one number, bounds the events at the scan; they are
     counted per login before the total is built, so a hot login is combined
     map-side.
     """
     now = instant(as_of)
+    longest = policy_login.agg(F.max("monitoring_period_minutes")).first()[0] or 0
     default = policy_login.filter(F.col("name") == DEFAULT).select(
         KEY,
         F.col("failed_login_threshold").alias("default_threshold"),
@@ -364,7 +365,8 @@ def login_totals(
         F.col("login_failure_alert").alias("default_alert"),
     )
     explicit = policy_login.filter(F.col("name") != DEFAULT)
-    failures = login_events.filter(F.col("destination_code") == "0x0000001c")
+    since = now - F.expr(f"INTERVAL {int(longest)} MINUTE")
+    failures = login_events.filter((F.col("event_ts") >= since) & (F.col("destination_code") == "0x0000001c"))
     # windows are whole minutes before as_of, so events are counted per minute of age
     age = F.ceil((F.unix_micros(now) - F.unix_micros("event_ts")) / 60_000_000)
     counted = (
@@ -622,17 +624,16 @@ def check_replica_group(
     return with_summary("check_replica_group", problems.unionByName(healthy), summary)
 
 
-def check_rollup(checks: DataFrame, sep: str = ";\n ", limit: int = 1000) -> DataFrame:
-    """Per instance and check: worst code, count without NA, joined message.
+def check_rollup(checks: DataFrame) -> DataFrame:
+    """Per instance and check: worst code and count without NA, with a row for each distinct line.
 
-    The message of a group of more than `limit` rows is spread over several
-    `part` rows, so the text of a hot instance is never built in one task; each
-    part repeats the code and the count of the whole group.
+    Every row repeats the code and the count of the whole group; `copies` is how
+    often the line occurs.
     """
     line = F.concat(F.upper("state"), F.lit(" - "), F.col("message"))
-    told = F.substring_index("line", " - ", 1)
+    told = F.substring_index("message", " - ", 1)
     return listed(
-        checks.select(KEY, "check", line.alias("line")), [KEY, "check"], {"message": ("line", sep)}, limit,
+        checks.select(KEY, "check", line.alias("line")), [KEY, "check"], {"message": "line"},
         lambda n: [
             F.max(state_code(told)).alias("state_code"),
             F.sum(F.when(told != "NA", n).otherwise(0)).alias("count"),

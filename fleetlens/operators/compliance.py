@@ -218,6 +218,9 @@ def cis_rules(
 ) -> DataFrame:
     """(instance, rule_id, title, scored, pass, value), one row per finding.
 
+    A rule about an inventory property has a row for each of its values, so that
+    a failing port isn't hidden by a good one.
+
     Every input is narrowed to evidence rows (instance, rule, n, text).  Their
     union goes through one aggregate, combined map-side, so an instance with a
     third of the rows costs no more than its partial counts.
@@ -274,7 +277,8 @@ def cis_rules(
     for part in parts[1:]:
         evidence = evidence.unionByName(part)
     rule = F.col("rule_id")
-    summed = evidence.filter(rule.isNotNull()).groupBy(KEY, "rule_id").agg(
+    each_value = F.when(rule.isin(*PROPERTY_RULES.values()), F.col("text")).alias("each")
+    summed = evidence.filter(rule.isNotNull()).groupBy(KEY, "rule_id", each_value).agg(
         F.sum("n").alias("total"), F.max("n").alias("largest"), F.max("text").alias("text")
     )
     total, largest, text = F.col("total"), F.col("largest"), F.col("text")

@@ -1,4 +1,4 @@
-"""Configuration inventory: projections of catalogue tables, children nested."""
+"""Configuration inventory: projections of catalogue tables, children as rows of their own kind."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import KEY, clean_text, pages_to_mb, quote_name
 from ..plans.fixpoint import closure
-from ..plans.listing import listed
 from ..plans.nesting import nest
 
 # fixed values: schedule vocabulary
@@ -112,6 +111,28 @@ def schedule_description() -> Column:
     return F.concat(base, cadence, between)
 
 
+def fact_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that differ between two snapshots: keys, change, and both sides as JSON.
+
+    `change` is added, removed or changed; NULL equals NULL.  Both have the same
+    columns and one row per key, which may be NULL in part.
+    """
+    fields = [c for c in before.columns if c not in keys]
+    pack = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in fields])
+    b, a = before.withColumn("there", F.lit(True)).alias("b"), after.withColumn("there", F.lit(True)).alias("a")
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    both = b.join(a, same, "full_outer")
+    change = (
+        F.when(F.col("b.there").isNull(), "added").when(F.col("a.there").isNull(), "removed")
+        .when(~pack("b").eqNullSafe(pack("a")), "changed")
+    )
+    text = lambda side: F.when(F.col(f"{side}.there"), F.to_json(pack(side), {"ignoreNullFields": "false"}))
+    return both.select(
+        *[F.when(F.col("a.there"), F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys],
+        change.alias("change"), text("b").alias("before"), text("a").alias("after"),
+    ).filter(F.col("change").isNotNull())
+
+
 def fact_job(
     jobs: DataFrame, job_steps: DataFrame, proxies: DataFrame, operators: DataFrame,
     schedules: DataFrame, job_schedules: DataFrame,
@@ -187,17 +208,16 @@ def fact_replica_group(
         ),
         [KEY, "ag_id"], "left",
     )
-    nested = nest(
+    return nest(
         parent, [KEY, "ag_id"],
         {
-            "databases": (quoted, ["database"]),
+            "ag_databases": (quoted, ["database"]),
             "availability_replicas": (
                 preferred, ["replica_server_name", "preferred_role", "endpoint_url", "availability_mode_desc"],
             ),
             "listener_ip_addresses": (addresses, ["ip_address", "ip_subnet_mask"]),
         },
     )
-    return nested.withColumn("ag_databases", F.array_join(F.col("databases.database"), ", ")).drop("databases")
 
 
 def fact_database(databases: DataFrame) -> DataFrame:
@@ -248,7 +268,7 @@ def fact_mail(
             "principals": (principals, ["principal_name", "is_default"]),
             "accounts": (used, ["sequence_number", "account_id", "name", "email_address", "port"]),
         },
-    ).drop("profile_id")
+    )
 
 
 def fact_parameters(parameters: DataFrame, policies: Mapping[str, tuple[DataFrame, list[str]]],
@@ -354,21 +374,24 @@ def fact_resource_governor(config: DataFrame, pools: DataFrame, groups: DataFram
     )
 
 
-def role_membership_closure(
-    principals: DataFrame, role_members: DataFrame, max_depth: int = 50
-) -> DataFrame:
-    """Every role a user reaches, directly or through nested roles.
+def role_membership_closure(principals: DataFrame, role_members: DataFrame) -> DataFrame:
+    """Every role a user reaches, directly or through nested roles, and by how many steps at least.
 
-    Users without any role keep one row with a NULL role.  `principals` has
-    (principal_id, type), where type R marks roles.
+    Roles are closed over roles first, once for all users; the users' own roles
+    are joined to that.  Users without any role keep one row with a NULL role.
+    `principals` has (principal_id, type), where type R marks roles.
     """
     roles = principals.filter(F.col("type") == "R").select(KEY, F.col("principal_id").alias("source"))
     users = principals.filter(F.col("type") != "R").select(KEY, F.col("principal_id").alias("source"))
     edges = role_members.select(KEY, F.col("member_id").alias("source"), F.col("role_id").alias("target"))
-    reached = closure(
-        edges.join(users, [KEY, "source"], "left_semi"), edges.join(roles, [KEY, "source"], "left_semi"),
-        KEY, max_depth,
-    )
+    between = edges.join(roles, [KEY, "source"], "left_semi")
+    nested = closure(between, between, KEY)
+    own = edges.join(users, [KEY, "source"], "left_semi").distinct()
+    further = own.withColumnRenamed("target", "via").join(
+        nested.select(KEY, F.col("source").alias("via"), "target", (F.col("depth") + 1).alias("depth")), [KEY, "via"]
+    ).drop("via")
+    reached = own.withColumn("depth", F.lit(1)).unionByName(further)
+    reached = reached.groupBy(KEY, "source", "target").agg(F.min("depth").alias("depth"))
     return users.join(reached, [KEY, "source"], "left").select(
         KEY, F.col("source").alias("user_id"), F.col("target").alias("role_id"), "depth"
     )
@@ -413,20 +436,15 @@ def fact_security(
         ).alias("entry"),
         "database_name", "user_name", "role_name",
     )
-    nested = nest(
+    return nest(
         parent, [KEY, "entry"],
         {
             "group_members": (group_members.select(KEY, by_id, "account_name"), ["account_name"]),
-            "roles": (server_role_members.select(KEY, by_id, "role_name"), ["role_name"]),
-            "grants": (permissions.select(KEY, by_id, granted.alias("grant")).distinct(), ["grant"]),
+            "server_roles": (server_role_members.select(KEY, by_id, "role_name"), ["role_name"]),
+            "server_permissions": (permissions.select(KEY, by_id, granted.alias("grant")).distinct(), ["grant"]),
             "database_roles": (database_roles, ["database_name", "user_name", "role_name"]),
         },
     )
-    return (
-        nested.withColumn("server_roles", F.array_join("roles.role_name", ", "))
-        .withColumn("server_permissions", F.array_join("grants.grant", ", "))
-        .drop("roles", "grants")
-    )
 
 
 def fact_server_object(
@@ -459,13 +477,13 @@ def fact_server_object(
         servers.filter("is_linked").join(default, [KEY, "server_id"], "left"), [KEY, "server_id"],
         {"login_mapping": (mapped, ["local_principal_id", "local_login", "impersonate", "remote_login"])},
     ).select(
-        KEY, F.lit("LinkedServer").alias("type"), "name", "part", "product", "provider", "data_source",
-        "login_mapping",
-        F.coalesce("undefined_login_mapping", F.lit("Not be made")).alias("undefined_login_mapping"),
-        "remote_security_context",
+        KEY, F.lit("LinkedServer").alias("type"), "server_id", "name", "product", "provider", "data_source",
+        F.when(F.col("kind").isNull(), F.coalesce("undefined_login_mapping", F.lit("Not be made")))
+        .alias("undefined_login_mapping"),
+        "remote_security_context", "kind", "item",
     )
     fired = triggers.select(
-        KEY, F.lit("ServerTrigger").alias("type"), "name", F.lit(0).alias("part"), "is_disabled",
+        KEY, F.lit("ServerTrigger").alias("type"), "name", "is_disabled",
         F.coalesce("definition", F.lit("Encrypted")).alias("definition"),
     )
     return linked.unionByName(fired, allowMissingColumns=True)
@@ -474,11 +492,11 @@ def fact_server_object(
 def fact_service(
     instance_properties: DataFrame, service_eav: DataFrame, flags: DataFrame, instances: DataFrame
 ) -> DataFrame:
-    """Inventory without its noise, and the enabled global trace flags as one text."""
+    """Inventory without its noise, and a row per enabled global trace flag, or one without a value."""
     columns = [KEY, "hierarchy", "property", "value"]
     inventory = instance_properties.select(*columns).unionByName(service_eav.select(*columns))
     active = flags.filter(F.col("is_global") & F.col("enabled")).withColumn("flag", F.col("flag").cast("string"))
-    texts = listed(active, [KEY], {"value": ("flag", ", ")})
+    texts = active.select(KEY, F.col("flag").alias("value")).distinct()
     service = F.when(F.col("instance_name").isNull(), "MSSQLSERVER").otherwise(
         F.concat(F.lit("MSSQL$"), F.col("instance_name"))
     )

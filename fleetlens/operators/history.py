@@ -45,13 +45,32 @@ def extract_window(
 def in_window(
     df: DataFrame, ts_col: str, windows: DataFrame, *, inclusive: bool = False
 ) -> DataFrame:
-    """Rows in (start, end] of their instance; `inclusive` also takes the start."""
+    """Rows in (start, end] of their instance; `inclusive` also takes the start.
+
+    The earliest start and latest end of all windows, one row, become literals
+    that reach the scan; the exact test per instance follows.
+    """
     after = F.col(ts_col) >= F.col("start_at") if inclusive else F.col(ts_col) > F.col("start_at")
     return (
-        df.join(windows, KEY).filter(after & (F.col(ts_col) <= F.col("end_at"))).drop("start_at", "end_at")
+        within_bounds(df, ts_col, windows)
+        .join(windows, KEY).filter(after & (F.col(ts_col) <= F.col("end_at"))).drop("start_at", "end_at")
     )
 
 
+def window_bounds(windows: DataFrame) -> tuple[int | None, int | None]:
+    """Microseconds of the earliest start and the latest end, None without windows."""
+    return tuple(windows.agg(F.unix_micros(F.min("start_at")), F.unix_micros(F.max("end_at"))).first())
+
+
+def within_bounds(df: DataFrame, ts_col: str, windows: DataFrame) -> DataFrame:
+    """Rows that can be in a window of some instance, by literals on the raw column."""
+    low, high = window_bounds(windows)
+    if low is None or high is None:
+        return df.filter(F.lit(False))
+    at = F.col(ts_col)
+    return df.filter((at >= F.timestamp_micros(F.lit(low))) & (at <= F.timestamp_micros(F.lit(high))))
+
+
 def _or_null(df: DataFrame, column: str, kind: str) -> Column:
     """A column older collectors do not deliver."""
     return F.col(column) if column in df.columns else F.lit(None).cast(kind)
@@ -177,7 +196,8 @@ def log_error_pairs(
     """
     lines = next_row(
         in_window(error_log, "log_date", windows).select(KEY, "log_date", "source", "seq", "message"),
-        [KEY], "log_date", ["log_date", "source", "seq"], ["message"], out="following", sizing=error_log,
+        [KEY], "log_date", ["log_date", "source", "seq"], ["message"], out="following",
+        sizing=within_bounds(error_log, "log_date", windows),
     )
     pairs = lines.filter(
         F.col("message").ilike(HEADER) & F.col("following").isNotNull()
@@ -223,17 +243,17 @@ def log_error(
 
 
 def log_job(
-    job_history: DataFrame, messages: DataFrame, windows: DataFrame, *, sanitize: bool,
-    earliest_date: int | None = None,
+    job_history: DataFrame, messages: DataFrame, windows: DataFrame, *, sanitize: bool
 ) -> DataFrame:
     """Runs that neither succeeded nor are running.
 
-    `earliest_date` (yyyymmdd) lets the scan skip older files: the run time is
-    computed from integers, which cannot be pushed down.
+    The run time is computed from integers, which cannot be pushed down, so the
+    days of the windows are: `run_date` (yyyymmdd) is bounded by two literals.
     """
     failed = job_history.filter(~F.col("run_status").isin(1, 4))
-    if earliest_date is not None:
-        failed = failed.filter(F.col("run_date") >= earliest_date)
+    days = [F.date_format(F.timestamp_micros(F.lit(b)), "yyyyMMdd").cast("long") for b in window_bounds(windows) if b is not None]
+    if len(days) == 2:
+        failed = failed.filter((F.col("run_date") >= days[0]) & (F.col("run_date") <= days[1]))
     timed = failed.withColumn("run_at", agent_timestamp(F.col("run_date"), F.col("run_time")))
     windowed = in_window(timed, "run_at", windows)
     if sanitize:

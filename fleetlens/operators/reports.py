@@ -162,11 +162,14 @@ def job_failure_report(
 ) -> DataFrame:
     """Failed steps since 06:00, and failed jobs that show no failed step.
 
-    `days` moves the start back.  Job-level rows reach one day further.
+    `days` moves the start back.  Job-level rows reach one day further.  Messages
+    are given whole; cutting them is for who shows them.
     """
     now = instant(as_of)
     since = F.date_trunc("DAY", now) + F.expr("INTERVAL 6 HOUR") - F.expr(f"INTERVAL {int(days)} DAY")
-    timed = job_history.withColumn("run_at", agent_timestamp(F.col("run_date"), F.col("run_time")))
+    # whole days as numbers, for the scan; the exact instants follow
+    first_day = F.date_format(since - F.expr("INTERVAL 1 DAY"), "yyyyMMdd").cast("long")
+    timed = job_history.filter(F.col("run_date") >= first_day).withColumn("run_at", agent_timestamp(F.col("run_date"), F.col("run_time")))
     steps = timed.filter(
         ~F.col("run_status").isin(1, 4) & (F.col("step_id") != 0) & (F.col("run_at") >= since)
     )
@@ -192,7 +195,7 @@ def job_failure_report(
     def message(c: Column) -> Column:
         return F.replace(F.replace(unquoted(c), F.lit("\r"), F.lit("|")), F.lit("\n"), F.lit("")).alias("message")
 
-    shown = steps.select(*columns, message(F.substring("message", 1, 2048))).unionByName(
+    shown = steps.select(*columns, message(F.col("message"))).unionByName(
         outcomes.select(*columns, message(F.col("message")))
     )
     quiet = instances.select(KEY).join(shown.select(KEY).distinct(), KEY, "left_anti").select(

@@ -56,7 +56,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def closure(start: DataFrame, step: DataFrame, key: str, max_depth: int = 50) -> DataFrame:
+def closure(start: DataFrame, step: DataFrame, key: str) -> DataFrame:
     """(key, source, target, depth): every target reachable from a source.
 
     `start` and `step` have (key, source, target); paths begin with a row of
@@ -70,7 +70,9 @@ def closure(start: DataFrame, step: DataFrame, key: str, max_depth: int = 50) ->
     )
     frontier = cut_lineage(start.select(*columns).distinct().withColumn("depth", F.lit(1)))
     known = frontier
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while True:
+        depth += 1
         grown = (
             frontier.join(step, [key, "target"])
             .select(key, "source", F.col("reached").alias("target"))

@@ -1,10 +1,4 @@
-"""Text lists per group that never build an unbounded string.
-
-A group of up to `limit` rows gives one output row.  A larger one is split into
-ceil(n / limit) parts by hash, one output row each.  Repeated texts are counted
-before they are shuffled and come back as chunks of at most `limit` copies, so
-neither a hot group nor a hot text ends in one task, and no row is lost.
-"""
+"""Text lists per group in long form: one row per group and distinct text, at every size."""
 
 from __future__ import annotations
 
@@ -13,43 +7,21 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_LIMIT = 1000
-
 
 def listed(
-    df: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[str, str]],
-    limit: int = LINE_LIMIT, totals: Callable[[Column], Sequence[Column]] | None = None,
+    df: DataFrame, keys: Sequence[str], lines: Mapping[str, str], totals: Callable[[Column], Sequence[Column]] | None = None
 ) -> DataFrame:
-    """(keys, part, one text per entry of `lists`, totals of the whole group).
+    """(keys, one column per entry of `lines`, copies, totals of the whole group).
 
-    `lists` maps an output column to (text column, separator).  Texts are
-    sorted within a part; NULL texts are left out of their list.  `totals` gets
-    the number of copies of a distinct text row and returns aggregates over
-    those rows; they cost no second pass over `df`.
+    `lines` maps an output column to a text column; `copies` is how often a row
+    of texts occurs.  Repeated texts are counted before the shuffle, so neither a
+    hot group nor a hot text ends in one task, and no text is built that grows
+    with the group.  `totals` gets the copies and returns aggregates over the
+    distinct rows; they come from a second, small aggregate.
     """
     keys = list(keys)
-    texts = list(dict.fromkeys(text for text, _ in lists.values()))
-    copies = df.groupBy(*keys, *texts).agg(F.count("*").alias("__n"))
-    sizes = copies.groupBy(*keys).agg(
-        F.ceil(F.sum("__n") / limit).cast("long").alias("__parts"),
-        *(totals(F.col("__n")) if totals else ()),
-    )
-    last = F.ceil(F.col("__n") / limit).cast("int") - 1
-    chunks = (
-        copies.withColumn("__chunk", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("__here", F.least(F.lit(limit), F.col("__n") - F.col("__chunk") * limit).cast("int"))
-        .join(sizes, keys)
-        .withColumn("part", F.pmod(F.xxhash64(*texts, "__chunk"), F.col("__parts")).cast("int"))
-    )
-    whole = [c for c in sizes.columns if c not in (*keys, "__parts")]
-    return chunks.groupBy(*keys, "part", *whole).agg(
-        *[
-            F.array_join(
-                F.array_sort(F.flatten(F.collect_list(
-                    F.when(F.col(text).isNotNull(), F.array_repeat(F.col(text), F.col("__here")))
-                ))),
-                sep,
-            ).alias(out)
-            for out, (text, sep) in lists.items()
-        ]
-    )
+    renamed = [F.col(text).alias(out) for out, text in lines.items()]
+    copies = df.select(*keys, *renamed).groupBy(*keys, *lines).agg(F.count("*").alias("copies"))
+    if totals is None:
+        return copies
+    return copies.join(copies.groupBy(*keys).agg(*totals(F.col("copies"))), keys)

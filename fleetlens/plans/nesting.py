@@ -1,10 +1,4 @@
-"""Nested documents: a parent row with arrays of child rows.
-
-A parent with up to `limit` children of a kind is one row.  One with more is
-spread over ceil(n / limit) rows numbered by `part`, each carrying its share of
-the children, so a parent of any size is delivered whole and no task gathers
-more than about `limit` children at a time.
-"""
+"""Documents of a parent and its children in long form, one shape at every size."""
 
 from __future__ import annotations
 
@@ -13,35 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHILD_LIMIT = 1000
-
-
-def gathered(
-    children: DataFrame, keys: Sequence[str], fields: Sequence[str], out: str, limit: int = CHILD_LIMIT
-) -> DataFrame:
-    """(keys, part, out): structs of `fields`, sorted by them from the left."""
-    keys = list(keys)
-    rows = children.select(*keys, *fields)
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / limit).cast("long").alias("__parts"))
-    return (
-        rows.join(sizes, keys)
-        .withColumn("part", F.pmod(F.xxhash64(*fields), F.col("__parts")).cast("int"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
-    )
-
 
-def nest(
-    parent: DataFrame, keys: Sequence[str], children: Mapping[str, tuple[DataFrame, Sequence[str]]],
-    limit: int = CHILD_LIMIT,
-) -> DataFrame:
-    """Parent with one array column per kind of child; `part` counts from 0.
+def nest(parent: DataFrame, keys: Sequence[str], children: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Parent rows, `kind` and `item` NULL, and a row per child: keys, kind, and its fields as a JSON `item`.
 
-    `children` maps the array's name to (child rows, fields).
+    `children` maps the kind to (child rows, fields).  Children without a parent
+    are left out, repeated ones stay.  Nothing is gathered, so a parent of any
+    number of children is spread over as many tasks as its rows are.
     """
     keys = list(keys)
-    arrays = None
-    for out, (rows, fields) in children.items():
-        one = gathered(rows, keys, fields, out, limit)
-        arrays = one if arrays is None else arrays.join(one, [*keys, "part"], "full_outer")
-    return parent.join(arrays, keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    own = parent.select(*keys).distinct()
+    out = parent.withColumn("kind", F.lit(None).cast("string")).withColumn("item", F.lit(None).cast("string"))
+    for kind, (rows, fields) in children.items():
+        item = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        mine = rows.select(*keys, F.lit(kind).alias("kind"), item.alias("item")).join(own, keys, "left_semi")
+        out = out.unionByName(mine, allowMissingColumns=True)
+    return out

@@ -558,6 +558,10 @@ def _fragmentation_action(i: Inputs) -> DataFrame:
 query("stats_update_due")(lambda i: advice.stats_update_due(_fragmentation_action(i), "INDEX", level=5))
 query("backup_type_choice")(lambda i: advice.backup_type_choice(i("db_stats"), "LOG", level=50))
 query("log_backup_due")(lambda i: advice.log_backup_due(i("db_stats"), 40, 30000, as_of=AS_OF))
+query("command_history_summary")(lambda i: advice.command_history_summary(i("command_log")).withColumn("day", F.col("day").cast("string")))
+query("fact_diff")(
+    lambda i: facts.fact_diff(i("fact_before"), i("fact_after"), ["instance_guid", "database_id"])
+)
 query("last_successful_command")(lambda i: advice.last_successful_command(i("command_log")))
 
 # ---- exchange -------------------------------------------------------------

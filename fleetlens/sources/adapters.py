@@ -283,6 +283,13 @@ ADAPTERS: dict[str, str] = {
         SELECT {_guid('o_custkey')} AS instance_guid, o_custkey AS job_id, CONCAT('old job ', CAST(o_custkey AS STRING)) AS job_name,
                120 AS max_exec_time_min, 'WARNING' AS change_state_alert, TRUE AS is_enabled
         FROM {{orders}} WHERE o_orderdate < TIMESTAMP '1995-06-01 00:00:00' GROUP BY o_custkey""",
+    "fact_before": """
+        SELECT instance_guid, CASE WHEN database_id % 13 = 5 THEN -database_id ELSE database_id END AS database_id, name, state_desc, collation_name, compatibility_level
+        FROM {databases}""",
+    "fact_after": """
+        SELECT instance_guid, database_id, name, CASE WHEN database_id % 11 = 2 THEN 'ONLINE' ELSE state_desc END AS state_desc,
+               CASE WHEN database_id % 17 = 3 THEN NULL ELSE collation_name END AS collation_name, compatibility_level
+        FROM {databases}""",
     "live_databases": "SELECT * FROM {databases} WHERE owner IS NOT NULL",
     "jobs": f"""
         SELECT {_guid('c_custkey')} AS instance_guid, c_custkey AS job_id, CONCAT('job ', CAST(c_custkey AS STRING)) AS job_name,
@@ -336,7 +343,7 @@ ADAPTERS: dict[str, str] = {
         FROM {{orders}} GROUP BY o_custkey
         UNION ALL
         SELECT {_guid('o_custkey')}, TIMESTAMP '2000-06-01 00:00:00', o_custkey, 0,
-               CASE WHEN o_custkey < 25 THEN NULL ELSE CAST(FLOOR(FLOOR(o_custkey / 25) / 2) AS BIGINT) * 25 + o_custkey % 25 END,
+               CASE WHEN o_custkey < 25 THEN NULL ELSE CAST(FLOOR(FLOOR(o_custkey / 25) / 3) AS BIGINT) * 25 + o_custkey % 25 END,
                CASE o_custkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'sleeping' ELSE 'suspended' END,
                CONCAT('login', CAST(o_custkey % 40 AS STRING)), CONCAT('HOST', CAST(o_custkey % 30 AS STRING)),
                CONCAT('app_', CAST(o_custkey % 12 AS STRING)), CONCAT('db', CAST(o_custkey % 60 AS STRING)),
@@ -430,7 +437,7 @@ ADAPTERS: dict[str, str] = {
                     WHEN 5 THEN CASE WHEN FLOOR(MAX(o_orderkey) / 10) % 2 = 0 THEN 'failure' ELSE 'none' END
                     WHEN 9 THEN CASE WHEN FLOOR(MAX(o_orderkey) / 10) % 2 = 0 THEN '4' ELSE '2' END
                     ELSE 'x' END AS value
-        FROM {{orders}} GROUP BY o_custkey % 25, o_orderkey % 10""",
+        FROM {{orders}} GROUP BY o_custkey % 25, o_orderkey % 10, CASE WHEN o_orderkey % 10 IN (1, 5, 9) THEN FLOOR(o_orderkey / 10) % 2 ELSE 0 END""",
     "trace_flags": f"""
         SELECT {_guid('p_partkey')} AS instance_guid, CAST(1000 + p_partkey AS INT) AS flag, p_size > 25 AS enabled, p_partkey % 3 <> 0 AS is_global
         FROM {{part}}""",

@@ -119,11 +119,12 @@ def stateful(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_counter_rate(samples: DataFrame, folder: str, ttl_days: int = 7) -> StreamingQuery:
+def stream_counter_rate(samples: DataFrame, folder: str, ttl_days: int | None = None) -> StreamingQuery:
     """Counter rates of a sample stream; state is the last sample of each series.
 
     The base counter of a sample is a series of its own and is carried along.
-    Series silent for `ttl_days` are forgotten.  A micro-batch must not split
+    A series is never forgotten, unless `ttl_days` is given: then those silent for so
+    long are, and their next sample gets no rate.  A micro-batch must not split
     one sample time of a series from its base.
     """
     columns = samples.columns
@@ -135,6 +136,8 @@ def stream_counter_rate(samples: DataFrame, folder: str, ttl_days: int = 7) -> S
         newest = pool.groupBy(*series).agg(
             F.max(F.struct("sample_ts", *[c for c in columns if c not in (*series, "sample_ts")])).alias("s")
         ).select(*series, "s.*")
+        if ttl_days is None:
+            return rates, newest.select(*columns)
         # one value: the newest sample of the batch
         horizon = rows.agg((F.max("sample_ts") - F.expr(f"INTERVAL {int(ttl_days)} DAY")).alias("oldest"))
         oldest = horizon.first()["oldest"]

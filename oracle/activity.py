@@ -21,11 +21,11 @@ sql("wait_format", "waits", WAITS + """
 SELECT instance_guid, session_id, request_id, string_agg('(' || tasks || 'x: ' || CASE WHEN tasks = 1 THEN CAST(min_ms AS VARCHAR) WHEN tasks = 2 THEN min_ms || '/' || max_ms ELSE min_ms || '/' || avg_ms || '/' || max_ms END
   || 'ms)' || wait_type, ', ' ORDER BY rank) AS wait_info FROM r GROUP BY 1, 2, 3""")
 
-sql("block_leaders", "sessions", """
-, s AS (SELECT DISTINCT instance_guid, session_id, blocking_session_id FROM sessions),
-RECURSIVE_MARK walk AS (SELECT instance_guid, session_id, session_id AS top FROM s
-  UNION SELECT s.instance_guid, s.session_id, w.top FROM walk w JOIN s ON s.instance_guid = w.instance_guid AND s.blocking_session_id = w.session_id)
-SELECT instance_guid, top AS session_id, count(*) - 1 AS blocked_session_count FROM walk GROUP BY 1, 2""")
+sql("block_leaders", "sessions", f"""
+, s AS (SELECT DISTINCT instance_guid, snapshot_ts, session_id, blocking_session_id FROM sessions),
+RECURSIVE_MARK walk AS (SELECT instance_guid, snapshot_ts, session_id, session_id AS top FROM s
+  UNION SELECT s.instance_guid, s.snapshot_ts, s.session_id, w.top FROM walk w JOIN s ON s.instance_guid = w.instance_guid AND s.snapshot_ts = w.snapshot_ts AND s.blocking_session_id = w.session_id)
+SELECT instance_guid, {ts('snapshot_ts')} AS snapshot_ts, top AS session_id, count(*) - 1 AS blocked_session_count FROM walk GROUP BY ALL""")
 
 sql("lock_rollup", "locks", """
 , p AS (SELECT * REPLACE (CASE WHEN resource_type <> 'DATABASE' THEN coalesce(object_name, '(null)') END AS object_name, CASE WHEN resource_type <> 'DATABASE' THEN schema_name END AS schema_name) FROM locks),
@@ -39,7 +39,8 @@ TRAN = """, t AS (SELECT instance_guid, session_id, request_id, database_name, C
 sql("tran_log_rollup", "tran_log", TRAN + f" SELECT * REPLACE ({ts('transaction_start_time')} AS transaction_start_time) FROM t")
 sql("tran_log_format", "tran_log", TRAN + f"""
 , l AS (SELECT *, database_name || ': ' || log_record_count || ' (' || log_kb_used || ' kB)' AS line FROM t)
-SELECT instance_guid, session_id, request_id, 0 AS part, string_agg(line, ',' ORDER BY line) AS tran_log_writes, {ts('min(transaction_start_time)')} AS transaction_start_time, max(implicit_tran) AS implicit_tran FROM l GROUP BY 1, 2, 3""")
+SELECT instance_guid, session_id, request_id, line AS tran_log_write, {ts('min(transaction_start_time) OVER r')} AS transaction_start_time, max(implicit_tran) OVER r AS implicit_tran FROM l
+WINDOW r AS (PARTITION BY instance_guid, session_id, request_id)""")
 
 sql("avg_elapsed", "requests statement_stats", """
 SELECT r.instance_guid, r.request_id, r.statement_id, s.total_elapsed_ms // nullif(s.execution_count, 0) AS avg_elapsed_ms FROM requests r LEFT JOIN statement_stats s USING (instance_guid, statement_id)""")

@@ -39,3 +39,8 @@ sql("log_backup_due", "db_stats", f"""
 SELECT {_STATS}, (log_mb_since_backup IS NULL OR last_log_backup IS NULL OR log_mb_since_backup >= 40 OR date_diff('second', last_log_backup, {NOW}) >= 30000) AS log_backup_due FROM db_stats""")
 sql("last_successful_command", "command_log", f"""
 SELECT instance_guid, database_name, {ts('max(start_time)')} AS last_command_time FROM command_log WHERE command_type = 'DBCC_CHECKDB' AND error_number = 0 GROUP BY 1, 2""")
+
+sql("command_history_summary", "command_log", """
+SELECT instance_guid, command_type, database_name, CAST(CAST(start_time AS DATE) AS VARCHAR) AS day, count(*) AS runs, count(*) FILTER (error_number <> 0) AS errors,
+  sum((epoch_us(end_time) - epoch_us(start_time)) / 1000000) AS total_seconds, max((epoch_us(end_time) - epoch_us(start_time)) / 1000000) AS longest_seconds
+FROM command_log GROUP BY ALL""")

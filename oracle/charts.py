@@ -125,6 +125,6 @@ FROM m""")
 sql("chart_evaluate", INPUTS + " drives", CHART + """
 , j AS (SELECT *, CASE WHEN warn IS NULL OR crit IS NULL THEN 'OK' WHEN crit >= warn THEN CASE WHEN val >= crit THEN 'CRITICAL' WHEN val >= warn THEN 'WARNING' ELSE 'OK' END
     ELSE CASE WHEN val <= crit THEN 'CRITICAL' WHEN val <= warn THEN 'WARNING' ELSE 'OK' END END AS state, replace(split_part(pnp, '=', 1), '''', '') AS nm FROM chart WHERE val IS NOT NULL AND coalesce(pnp, '') <> ''),
-g AS (SELECT instance_guid, max(CASE state WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) AS state_code, count(*) AS "rows",
-  string_agg(CASE WHEN state <> 'OK' THEN state || ' - ' || nm || '; ' END, '' ORDER BY state || ' - ' || nm || '; ') AS br, string_agg(pnp, '|' ORDER BY pnp) AS perf FROM j GROUP BY instance_guid)
-SELECT instance_guid, 'capacity' AS chart, 0 AS part, CASE WHEN state_code = 0 THEN 'OK' ELSE br END AS breaches, perf, state_code, "rows" FROM g""")
+g AS (SELECT instance_guid, max(CASE state WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) AS state_code, count(*) AS "rows" FROM j GROUP BY instance_guid),
+t AS (SELECT instance_guid, CASE WHEN state <> 'OK' THEN state || ' - ' || nm END AS breach, pnp AS perf, count(*) AS copies FROM j GROUP BY ALL)
+SELECT instance_guid, 'capacity' AS chart, breach, perf, copies, state_code, "rows" FROM t JOIN g USING (instance_guid)""")

@@ -189,9 +189,9 @@ ORACLE["check_rollup"] = (
     duckdb_ctes(*"databases backup_history policy_database instances db_info job_history policy_job".split())
     + "".join(_ctes)
     + f""", a AS ({' UNION ALL '.join(_unions)})
-SELECT instance_guid, c AS "check", 0 AS part, string_agg(upper(state) || ' - ' || message, ';' || chr(10) || ' ' ORDER BY upper(state) || ' - ' || message) AS message,
-  max({CODE}) AS state_code, count(*) FILTER (WHERE state <> 'NA') AS "count"
-FROM a GROUP BY 1, 2"""
+, g AS (SELECT instance_guid, c, max({CODE}) AS state_code, count(*) FILTER (WHERE state <> 'NA') AS "count" FROM a GROUP BY 1, 2),
+t AS (SELECT instance_guid, c, upper(state) || ' - ' || message AS message, count(*) AS copies FROM a GROUP BY 1, 2, 3)
+SELECT instance_guid, c AS "check", message, copies, state_code, "count" FROM t JOIN g USING (instance_guid, c)"""
 )
 
 ORACLE["run_checks"] = " UNION ALL ".join(

@@ -37,8 +37,8 @@ for _rule, _name, _test in (
     ("2.10", "Shared Memory", "value <> 'True'"), ("2.11", "TcpPort", "value <> '1433'"), ("2.12", "HideInstance", "value <> 'False'"),
     ("3.1", "IsIntegratedSecurityOnly", "value <> '0'"), ("5.3", "audit level", "value = 'failure'"),
 ):
-    _parts.append(f"SELECT instance_guid, '{_rule}', {_test}, value FROM instance_properties WHERE property = '{_name}'")
-_parts.append("SELECT instance_guid, '8.1', value = '4', value FROM instance_properties WHERE property = 'StartMode' AND hierarchy ILIKE '%SQLBrowser'")
+    _parts.append(f"SELECT DISTINCT instance_guid, '{_rule}', {_test}, value FROM instance_properties WHERE property = '{_name}'")
+_parts.append("SELECT DISTINCT instance_guid, '8.1', value = '4', value FROM instance_properties WHERE property = 'StartMode' AND hierarchy ILIKE '%SQLBrowser'")
 _parts.append("""SELECT i.instance_guid, '5.1', coalesce(CAST(p.value AS INT), 6) >= 12, CAST(coalesce(CAST(p.value AS INT), 6) AS VARCHAR) FROM instances i
   LEFT JOIN (SELECT instance_guid, value FROM instance_properties WHERE property = 'NumErrorLogs') p USING (instance_guid)""")
 

@@ -213,14 +213,14 @@ def test_mirroring_without_expected_role(spark):
     ]
 
 
-def test_rollup_takes_the_worst_and_survives_a_hot_check(spark):
-    data = [("i", "c", f"m{n}", "OK") for n in range(30)] + [("i", "c", "bad", "CRITICAL"), ("i", "c", "odd", "FUNNY"), ("i", "n", "x", "NA")]
-    df = spark.createDataFrame(data, "instance_guid string, check string, message string, state string")
-    out = checks.check_rollup(df, sep="~", limit=5).collect()
+def test_rollup_takes_the_worst_of_a_check_of_any_size(spark):
+    data = [("i", "c", f"m{n}", "OK") for n in range(1500)] + [("i", "c", "bad", "CRITICAL"), ("i", "c", "odd", "FUNNY"), ("i", "n", "x", "NA")]
+    df = spark.createDataFrame(data + data[:7], "instance_guid string, check string, message string, state string")
+    out = checks.check_rollup(df).collect()
     hot = [r for r in out if r["check"] == "c"]
-    assert len(hot) > 1 and {(r["state_code"], r["count"]) for r in hot} == {(3, 32)}
-    assert sum(len(r["message"].split("~")) for r in hot) == 32
-    assert [(r["state_code"], r["count"], r["message"]) for r in out if r["check"] == "n"] == [(0, 0, "NA - x")]
+    assert len(hot) == 1502 and {(r["state_code"], r["count"]) for r in hot} == {(3, 1509)}
+    assert sum(r["copies"] for r in hot) == 1509 and "FUNNY - odd" in {r["message"] for r in hot}
+    assert [(r["state_code"], r["count"], r["message"], r["copies"]) for r in out if r["check"] == "n"] == [(0, 0, "NA - x", 1)]
 
 
 # ---- charts
@@ -323,8 +323,8 @@ def test_chart_evaluation(spark):
          ("i", "c", None, Decimal(3), Decimal(1), "'n'="), ("i", "d", Decimal(1), None, None, "'z'=1")],
         "instance_guid string, chart string, val decimal(20,2), warn decimal(20,2), crit decimal(20,2), pnp string",
     )
-    assert rows(charts.chart_evaluate(df), "chart", "state_code", "breaches", "perf", "rows") == [
-        ("c", 2, "CRITICAL - b; WARNING - a; ", "'a'=5|'b'=-1", 2), ("d", 0, "OK", "'z'=1", 1),
+    assert rows(charts.chart_evaluate(df), "chart", "state_code", "breach", "perf", "rows", "copies") == [
+        ("c", 2, "CRITICAL - b", "'b'=-1", 2, 1), ("c", 2, "WARNING - a", "'a'=5", 2, 1), ("d", 0, None, "'z'=1", 1, 1),
     ]
 
 
@@ -566,13 +566,55 @@ def test_activity_view_order_and_unknown_names(spark):
 
 def test_mutual_blocking(spark):
     df = spark.createDataFrame(
-        [("i", 1, 2), ("i", 2, 1), ("i", 3, 1), ("i", 4, 3), ("i", 5, None), ("i", 6, 99)],
-        "instance_guid string, session_id long, blocking_session_id long",
+        [("i", "t", 1, 2), ("i", "t", 2, 1), ("i", "t", 3, 1), ("i", "t", 4, 3), ("i", "t", 5, None), ("i", "t", 6, 99)],
+        "instance_guid string, snapshot_ts string, session_id long, blocking_session_id long",
     )
     got = dict(rows(activity.block_leaders(df), "session_id", "blocked_session_count"))
     assert got == {1: 3, 2: 3, 3: 1, 4: 0, 5: 0, 6: 0}
 
 
+def test_a_blocker_may_change_between_snapshots(spark):
+    df = spark.createDataFrame(
+        [("i", "t1", 1, None), ("i", "t1", 2, 1), ("i", "t1", 3, None), ("i", "t1", 4, 2),
+         ("i", "t2", 1, None), ("i", "t2", 2, 3), ("i", "t2", 3, None), ("i", "t2", 4, None)],
+        "instance_guid string, snapshot_ts string, session_id long, blocking_session_id long",
+    )
+    got = rows(activity.block_leaders(df), "snapshot_ts", "session_id", "blocked_session_count")
+    assert got == [("t1", 1, 2), ("t1", 2, 1), ("t1", 3, 0), ("t1", 4, 0), ("t2", 1, 0), ("t2", 2, 0), ("t2", 3, 1), ("t2", 4, 0)]
+
+
+def test_snapshots_differ_null_safely(spark):
+    schema = "instance_guid string, id int, name string, n int"
+    before = spark.createDataFrame([("i", 1, "a", None), ("i", 2, "b", 1), ("i", 3, None, 5), ("i", None, "z", 1)], schema)
+    after = spark.createDataFrame([("i", 1, "a", None), ("i", 2, "b", 2), ("i", 4, "d", 5), ("i", None, "z", 1)], schema)
+    got = rows(facts.fact_diff(before, after, ["instance_guid", "id"]), "id", "change", "before", "after")
+    assert got == sorted([
+        (2, "changed", '{"name":"b","n":1}', '{"name":"b","n":2}'),
+        (3, "removed", '{"name":null,"n":5}', None), (4, "added", None, '{"name":"d","n":5}'),
+    ], key=repr)
+
+
+def test_roles_are_reached_at_any_depth(spark):
+    principals = spark.createDataFrame([("i", 0, "U"), ("i", 99, "U")] + [("i", n, "R") for n in range(1, 71)], "instance_guid string, principal_id long, type string")
+    members = spark.createDataFrame([("i", n + 1, n) for n in range(70)] + [("i", 3, 70)], "instance_guid string, role_id long, member_id long")
+    got = rows(facts.role_membership_closure(principals, members), "user_id", "role_id", "depth")
+    assert got == sorted([(0, n, n) for n in range(1, 71)] + [(99, None, None)], key=repr)
+
+
+def test_history_windows_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.sql("select 'i' as instance_guid, timestamp_seconds(id * 3600) as ts from range(1000)").write.parquet(path)
+    windows = spark.createDataFrame(
+        [("i", at("1970-01-01T10:00:00"), at("1970-01-01T20:00:00"))], "instance_guid string, start_at timestamp, end_at timestamp"
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    found = history.in_window(spark.read.parquet(path), "ts", windows)
+    assert found.count() == 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
+
+
 # ---- advice
 
 def test_object_selection(spark):

@@ -64,36 +64,23 @@ def test_sizing_does_not_change_the_result(spark):
     assert rows(a, "k", "seq", "previous.v") == rows(b, "k", "seq", "previous.v")
 
 
-def test_listing_is_whole_and_bounded(spark):
-    data = [("hot", "same")] * 57 + [("hot", f"t{n}") for n in range(40)] + [("cold", "x"), ("cold", None)]
+def test_listing_has_one_shape_at_every_size(spark):
+    data = [("hot", "same")] * 5000 + [("hot", f"t{n}") for n in range(40)] + [("cold", "x"), ("cold", None)]
     df = spark.createDataFrame(data, "k string, t string")
-    out = listed(df, ["k"], {"line": ("t", ",")}, limit=10, totals=lambda n: [F.sum(n).alias("all")])
-    hot = out.filter("k = 'hot'").collect()
-    assert len(hot) > 3
-    items = [x for r in hot for x in r["line"].split(",")]
-    assert sorted(items) == sorted(t for k, t in data if k == "hot")
-    # hashing spreads parts unevenly, but no part nears the group
-    assert max(len(r["line"].split(",")) for r in hot) <= 40
-    assert {r["all"] for r in hot} == {97}
-    cold = out.filter("k = 'cold'").collect()
-    assert [(r["part"], r["line"], r["all"]) for r in cold] == [(0, "x", 2)]
-
-
-def test_listing_of_ordinary_group_is_one_sorted_line(spark):
-    df = spark.createDataFrame([("k", t) for t in "dacb"], "k string, t string")
-    assert rows(listed(df, ["k"], {"line": ("t", "-")})) == [("k", 0, "a-b-c-d")]
-
-
-def test_nesting_splits_hot_parents_and_keeps_childless_ones(spark):
-    parent = spark.createDataFrame([("hot",), ("none",)], "k string")
-    a = spark.createDataFrame([("hot", n) for n in range(95)], "k string, n int")
-    b = spark.createDataFrame([("hot", f"s{n}") for n in range(3)], "k string, s string")
-    out = nest(parent, ["k"], {"a": (a, ["n"]), "b": (b, ["s"])}, limit=10).collect()
-    hot = [r for r in out if r["k"] == "hot"]
-    assert len(hot) > 1 and sorted(r["part"] for r in hot) == list(range(len(hot)))
-    assert sorted(x["n"] for r in hot for x in (r["a"] or [])) == list(range(95))
-    assert sorted(x["s"] for r in hot for x in (r["b"] or [])) == ["s0", "s1", "s2"]
-    assert [(r["part"], r["a"], r["b"]) for r in out if r["k"] == "none"] == [(0, None, None)]
+    out = listed(df, ["k"], {"line": "t"}, totals=lambda n: [F.sum(n).alias("all")])
+    want = [("hot", "same", 5000, 5040), *[("hot", f"t{n}", 1, 5040) for n in range(40)], ("cold", "x", 1, 2), ("cold", None, 1, 2)]
+    assert rows(out, "k", "line", "copies", "all") == sorted(want, key=repr)
+    assert rows(listed(df.filter("k = 'cold'"), ["k"], {"line": "t"})) == sorted([("cold", "x", 1), ("cold", None, 1)], key=repr)
+
+
+def test_nesting_gives_a_row_per_child_and_keeps_childless_parents(spark):
+    parent = spark.createDataFrame([("hot", 1), ("none", 2)], "k string, p int")
+    a = spark.createDataFrame([("hot", n) for n in range(1001)] + [("no parent", 1)], "k string, n int")
+    b = spark.createDataFrame([("hot", None), ("hot", "s"), ("hot", "s")], "k string, s string")
+    out = rows(nest(parent, ["k"], {"a": (a, ["n"]), "b": (b, ["s"])}), "k", "p", "kind", "item")
+    want = [("hot", 1, None, None), ("none", 2, None, None), *[("hot", None, "a", f'{{"n":{n}}}') for n in range(1001)]]
+    want += [("hot", None, "b", '{"s":null}')] + [("hot", None, "b", '{"s":"s"}')] * 2
+    assert out == sorted(want, key=repr)
 
 
 def like(text, pattern):
@@ -136,6 +123,12 @@ def test_closure_ends_on_cycles(spark):
     assert {t for s, t in got if s == "u"} == {"a", "b", "c", "d"}
 
 
+def test_closure_has_no_depth_limit(spark):
+    df = spark.createDataFrame([("i", n, n + 1) for n in range(60)], "k string, source long, target long")
+    got = {r["target"]: r["depth"] for r in closure(df.filter("source = 0"), df, "k").collect()}
+    assert got == {n: n for n in range(1, 61)}
+
+
 def reach(links):
     out = {}
     for root in links:
