@@ -17,7 +17,10 @@ from ..plans.listing import listed
 FILTER_COLUMNS = {
     "program": "program_name", "login": "login_name", "host": "host_name", "database": "database_name",
 }
-DELTA_COLUMNS = ("reads", "writes", "cpu", "tempdb_allocations", "used_memory")
+DELTA_COLUMNS = (
+    "reads", "writes", "cpu", "tempdb_allocations", "used_memory", "physical_io", "physical_reads", "tempdb_current",
+    "context_switches", "max_used_memory",
+)
 
 # fixed values: transaction isolation levels
 ISOLATION = {

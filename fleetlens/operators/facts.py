@@ -397,6 +397,12 @@ def role_membership_closure(principals: DataFrame, role_members: DataFrame) -> D
     )
 
 
+SQL_LOGIN_PROPERTIES = (
+    "is_policy_checked", "is_expiration_checked", "is_locked", "lockout_time", "is_expired", "is_must_change",
+    "password_last_set_time", "bad_password_count",
+)
+
+
 def fact_security(
     principals: DataFrame, server_role_members: DataFrame, permissions: DataFrame,
     group_members: DataFrame, database_principals: DataFrame,
@@ -418,8 +424,7 @@ def fact_security(
         F.when(
             F.col("type_desc").isin("WINDOWS_LOGIN", "WINDOWS_GROUP"), F.col("is_invalid").cast("int")
         ).alias("is_ad_orphaned"),
-        F.when(F.col("type_desc") == "SQL_LOGIN", F.col("is_policy_checked")).alias("is_policy_checked"),
-        F.when(F.col("type_desc") == "SQL_LOGIN", F.col("is_expiration_checked")).alias("is_expiration_checked"),
+        *[F.when(F.col("type_desc") == "SQL_LOGIN", F.col(c)).alias(c) for c in SQL_LOGIN_PROPERTIES],
     )
     by_id = F.concat(F.lit("login:"), F.col("principal_id").cast("string")).alias("entry")
     granted = F.concat(

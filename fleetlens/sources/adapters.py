@@ -347,7 +347,9 @@ ADAPTERS: dict[str, str] = {
                CAST(SUM(CASE WHEN o_orderdate < TIMESTAMP '1998-06-01 00:00:00' THEN 1 ELSE 0 END) AS BIGINT) AS reads,
                CAST(SUM(CASE WHEN o_orderdate < TIMESTAMP '1998-06-01 00:00:00' THEN 2 ELSE 0 END) AS BIGINT) AS writes,
                CAST(SUM(CASE WHEN o_orderdate < TIMESTAMP '1998-06-01 00:00:00' THEN o_orderkey ELSE 0 END) AS BIGINT) AS cpu,
-               CAST(o_custkey % 9 AS BIGINT) AS tempdb_allocations, CAST(o_custkey % 90 AS BIGINT) AS used_memory
+               CAST(o_custkey % 9 AS BIGINT) AS tempdb_allocations, CAST(o_custkey % 90 AS BIGINT) AS used_memory,
+               CAST(o_custkey % 70 AS BIGINT) AS physical_io, CAST(MIN(o_orderkey) % 50 AS BIGINT) AS physical_reads, CAST(o_custkey % 7 AS BIGINT) AS tempdb_current,
+               CAST(MIN(o_orderkey) % 1000 AS BIGINT) AS context_switches, CAST(o_custkey % 95 AS BIGINT) AS max_used_memory
         FROM {{orders}} GROUP BY o_custkey
         UNION ALL
         SELECT {_guid('o_custkey')}, TIMESTAMP '2000-06-01 00:00:00', o_custkey, 0,
@@ -359,7 +361,8 @@ ADAPTERS: dict[str, str] = {
                CAST(SUM(CASE WHEN o_orderdate < TIMESTAMP '2000-06-01 00:00:00' THEN 1 ELSE 0 END) AS BIGINT),
                CAST(SUM(CASE WHEN o_orderdate < TIMESTAMP '2000-06-01 00:00:00' THEN 2 ELSE 0 END) AS BIGINT),
                CAST(SUM(CASE WHEN o_orderdate < TIMESTAMP '2000-06-01 00:00:00' THEN o_orderkey ELSE 0 END) AS BIGINT),
-               CAST(o_custkey % 8 AS BIGINT), CAST(o_custkey % 80 AS BIGINT)
+               CAST(o_custkey % 8 AS BIGINT), CAST(o_custkey % 80 AS BIGINT), CAST(o_custkey % 90 AS BIGINT), CAST(MAX(o_orderkey) % 50 AS BIGINT),
+               CAST(o_custkey % 5 AS BIGINT), CAST(MAX(o_orderkey) % 2000 AS BIGINT), CAST(o_custkey % 95 AS BIGINT)
         FROM {{orders}} GROUP BY o_custkey""",
     "waits": f"""
         SELECT {_guid('l_partkey')} AS instance_guid, l_partkey AS session_id, CAST(l_linenumber % 2 AS INT) AS request_id,
@@ -402,7 +405,10 @@ ADAPTERS: dict[str, str] = {
         SELECT {_guid('c_custkey')} AS instance_guid, c_custkey AS principal_id, CASE c_custkey WHEN 1 THEN 'sa' WHEN 2 THEN 'BUILTIN/Users' ELSE c_name END AS name,
                CASE c_custkey % 5 WHEN 0 THEN 'SQL_LOGIN' WHEN 1 THEN 'WINDOWS_LOGIN' WHEN 2 THEN 'WINDOWS_GROUP' WHEN 3 THEN 'SQL_LOGIN' ELSE 'SERVER_ROLE' END AS type_desc,
                CASE WHEN c_acctbal < 100 THEN NULL ELSE CONCAT('sid', CAST(c_custkey AS STRING)) END AS sid, c_custkey < 25 AS is_builtin_admin,
-               c_custkey % 6 = 0 AS is_disabled, c_custkey % 7 = 0 AS is_invalid, c_custkey % 4 <> 0 AS is_policy_checked, c_custkey % 3 <> 0 AS is_expiration_checked
+               c_custkey % 6 = 0 AS is_disabled, c_custkey % 7 = 0 AS is_invalid, c_custkey % 4 <> 0 AS is_policy_checked, c_custkey % 3 <> 0 AS is_expiration_checked,
+               c_custkey % 17 = 0 AS is_locked, CASE WHEN c_custkey % 17 = 0 THEN TIMESTAMP '2001-07-01 00:00:00' + (c_custkey % 30) * INTERVAL '1' DAY ELSE NULL END AS lockout_time,
+               c_custkey % 19 = 0 AS is_expired, c_custkey % 23 = 0 AS is_must_change,
+               TIMESTAMP '2000-01-01 00:00:00' + (c_custkey % 500) * INTERVAL '1' DAY AS password_last_set_time, CAST(c_custkey % 6 AS BIGINT) AS bad_password_count
         FROM {{customer}}""",
     "database_principals": f"""
         SELECT {_guid('o_custkey')} AS instance_guid, CONCAT('db', CAST(o_orderkey % 60 AS STRING)) AS database_name,

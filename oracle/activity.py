@@ -6,7 +6,7 @@ _SESSION = f"SELECT * REPLACE ({ts('snapshot_ts')} AS snapshot_ts, {ts('start_ti
 sql("session_filter", "sessions", f" {_SESSION} WHERE program_name LIKE 'app\\_1%' ESCAPE '\\' AND host_name NOT LIKE '%7'")
 sql("session_interest", "sessions", f" {_SESSION} WHERE is_user_process AND (status <> 'sleeping' OR open_tran_count > 0)")
 
-_M = "reads writes cpu tempdb_allocations used_memory".split()
+_M = "reads writes cpu tempdb_allocations used_memory physical_io physical_reads tempdb_current context_switches max_used_memory".split()
 sql("session_delta", "sessions", f"""
 , a AS (SELECT * FROM sessions WHERE snapshot_ts = TIMESTAMP '1998-06-01'), b AS (SELECT * FROM sessions WHERE snapshot_ts = TIMESTAMP '2000-06-01')
 SELECT b.instance_guid, b.session_id, b.request_id, {ts('b.start_time')} AS start_time, {', '.join('b.' + m for m in _M)},

@@ -136,7 +136,10 @@ pe0 AS (SELECT DISTINCT instance_guid, 'login:' || principal_id AS entry, state_
     + children("ro", "ro0", "instance_guid, entry", "role_name") + children("pe", "pe0", "instance_guid, entry", "grant").replace("'grant': grant", "'grant': \"grant\"") + f"""
 SELECT p.instance_guid, p.entry, p.name AS login_name, coalesce(type_desc, 'DB_ORPHANED') AS login_type, is_disabled,
   CASE WHEN type_desc IN ('WINDOWS_LOGIN','WINDOWS_GROUP') THEN CAST(is_invalid AS INT) END AS is_ad_orphaned, CASE WHEN type_desc = 'SQL_LOGIN' THEN is_policy_checked END AS is_policy_checked,
-  CASE WHEN type_desc = 'SQL_LOGIN' THEN is_expiration_checked END AS is_expiration_checked, {OWN}
+  CASE WHEN type_desc = 'SQL_LOGIN' THEN is_expiration_checked END AS is_expiration_checked, CASE WHEN type_desc = 'SQL_LOGIN' THEN is_locked END AS is_locked,
+  {ts("CASE WHEN type_desc = 'SQL_LOGIN' THEN lockout_time END")} AS lockout_time, CASE WHEN type_desc = 'SQL_LOGIN' THEN is_expired END AS is_expired,
+  CASE WHEN type_desc = 'SQL_LOGIN' THEN is_must_change END AS is_must_change, {ts("CASE WHEN type_desc = 'SQL_LOGIN' THEN password_last_set_time END")} AS password_last_set_time,
+  CASE WHEN type_desc = 'SQL_LOGIN' THEN bad_password_count END AS bad_password_count, {OWN}
 FROM par p""" + of_kind("par", "instance_guid, entry", group_members="g", server_roles="ro", server_permissions="pe", database_roles="d"))
 
 sql("role_membership_closure", "role_principals role_members", """
