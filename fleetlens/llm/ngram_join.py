@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut_lineage
 from .components import components
+from .joins import join_checked
 from .text import NOT_SPACE, SHINGLE, chunks, mix, texts_of
 
 #: Counters of the token frequencies that order the tokens; a fixed 2^20.
@@ -36,6 +37,8 @@ _WORDS = BITS // 64
 #: Bits of the filter that names the texts whose sets a step needs; a fixed 2^23.
 _FILTER = 1 << 23
 _TOKEN_BITS = 58
+#: Sizes are kept in 21 bits.
+_PART = (1 << 21) - 1
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -147,25 +150,35 @@ def _token_order(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Per text the tokens one of which any partner must have: all but the last 0.8 n - 1 in the order."""
+    """Per text its size, and in order the tokens one of which any partner must have: all but the last 0.8 n - 1.
+
+    `frequent` is how many of them are of a frequency class above 0; those come last.
+    """
+    schema = "cid long, n long, frequent long, prefix array<long>"
     held = rows.sparkSession.sparkContext.broadcast(order)  # a fixed 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, prefix = [], []
+            found: list[tuple] = []
             for _, tokens in _sets(texts_of(batch.column(0)), k):
                 if n := len(tokens):
                     keys = (held.value[tokens & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
                     p = n - -(-percent * n // 100) + 1
-                    cid.append(_class(tokens))
-                    prefix.append((np.partition(keys, p - 1)[:p] if p < n else keys).view(np.int64))
-                if len(cid) == 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["cid", "prefix"])
-                    cid, prefix = [], []
-            if cid:
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["cid", "prefix"])
+                    first = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys).view(np.int64)
+                    found.append((_class(tokens), n, int((first >= 1 << _TOKEN_BITS).sum()), first))
+                if len(found) == 2000:
+                    yield columns(found)
+                    found = []
+            if found:
+                yield columns(found)
 
-    return rows.select("text").mapInArrow(run, "cid long, prefix array<long>")
+    def columns(found: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=["cid", "n", "frequent", "prefix"]
+        )
+
+    return rows.select("text").mapInArrow(run, schema)
 
 
 def _needed_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -209,7 +222,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
     Tokens whose bits differ are in one set only, so the bit rows bound the
     overlap; what they don't rule out is compared exactly.
     """
-    side = lambda x: reps.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rkey", "fine")])
+    ends = cut_lineage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    met = join_checked(reps, ends, ["cid"], "left_semi")
+    side = lambda x: met.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rkey", "fine")])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,17 +290,33 @@ def classes_and_links(
     grouped = star.select(F.col("b").alias("cid"), F.col("a").alias("gid")).union(star.select("a", "a").distinct())
     grouped = cut_lineage(grouped)  # of groups with more than the leader
 
-    # the matrix: (token, group)
+    # the matrix: (token, group), with the sizes of the members that have the token, and how many of a member's tokens
+    # are left from it on at most; 21 bits each, which only makes sizes from 2^21 on look alike
     prefixes = _prefixes(rows, order, k, percent).dropDuplicates(["cid"]).join(grouped, "cid", "left")
-    alone = prefixes.filter("gid is null").select(F.explode("prefix").alias("tok"), F.col("cid").alias("gid"))
-    united = prefixes.filter("gid is not null").select(F.explode("prefix").alias("tok"), "gid").distinct()
-    matrix = alone.union(united)
-    meet = matrix.withColumnRenamed("gid", "a").join(matrix.withColumnRenamed("gid", "b"), "tok").filter("a < b")
-    pairs = cut_lineage(meet.groupBy("a", "b").agg(F.count("*").alias("c")))
+    entries = prefixes.select("cid", "gid", "n", "frequent", F.posexplode("prefix").alias("at", "tok"))
+    entries = entries.select("tok", F.coalesce("gid", "cid").alias("gid"), F.col("gid").isNull().alias("alone"), "n", (F.col("n") - F.col("at")).alias("left"), "frequent")
+    alone = entries.filter("alone").select("tok", "gid", F.col("n").alias("lo"), F.col("n").alias("hi"), "left", "frequent")
+    united = entries.filter("not alone").groupBy("tok", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("left").alias("left"), F.max("frequent").alias("frequent"))
+    part = lambda c, by: F.shiftleft(F.least(F.col(c), F.lit(_PART)), by)
+    sizes = part("lo", 42).bitwiseOR(part("hi", 21)).bitwiseOR(F.least(F.col("left"), F.lit(_PART)))
+    matrix = alone.union(united).select("tok", "gid", sizes.alias("sizes"), "frequent")
+
+    # groups meet in a token if their sizes allow it; in a frequent one only where enough tokens are left on both sides,
+    # as must be where the first token that a linked pair shares is frequent.  Common ordinary tokens are counted
+    end = lambda x: matrix.select("tok", F.col("gid").alias(x), F.col("sizes").alias("s" + x), F.col("frequent").alias("f" + x))
+    lo, hi, left = (lambda x: f"shiftright(s{x}, 42)"), (lambda x: f"(shiftright(s{x}, 21) & {_PART})"), (lambda x: f"(s{x} & {_PART})")
+    ordinary = f"tok < {1 << _TOKEN_BITS}"
+    meet = end("a").join(end("b"), "tok").filter(
+        f"a < b and {lo('a')} * {percent} <= {hi('b')} * 100 and {lo('b')} * {percent} <= {hi('a')} * 100 and ({ordinary} or "
+        f"least({left('a')}, {left('b')}) * {100 + percent} >= {percent} * ({lo('a')} + {lo('b')}))"
+    )
+    pairs = meet.groupBy("a", "b").agg(F.count_if(F.expr(ordinary)).alias("c"), F.max(F.least("fa", "fb")).alias("f"))
+    pairs = cut_lineage(pairs)
 
     # groups whose sizes and common deciding tokens allow a link: the leaders first.  A pair shares its deciding tokens
-    # up to where one of the two ends, and at most the rest of that one: 0.8 of its size, less one
-    spans = grouped.join(reps, "cid").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("many"), *[F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(_WORDS)])
+    # up to where one of the two ends, the counted ones and the frequent ones of either at most, and then no more than
+    # the rest of that one: 0.8 of its size, less one
+    spans = join_checked(reps, grouped, ["cid"]).groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("many"), *[F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(_WORDS)])
     spans = cut_lineage(spans.select("gid", "lo", "hi", "many", F.array(*[f"u{i}" for i in range(_WORDS)]).alias("union")))
     single = reps.select(F.col("cid").alias("gid"), "n").join(grouped.select(F.col("cid").alias("gid")), "gid", "left_anti")
     sizes = spans.select("gid", "lo", "hi", "many").union(single.select("gid", "n", "n", F.lit(1)))
@@ -293,7 +324,7 @@ def classes_and_links(
     fitting = pairs.join(end("a"), "a").join(end("b"), "b")
     fitting = fitting.filter(f"loa * {percent} <= hib * 100 and lob * {percent} <= hia * 100")
     rest = f"({percent} * greatest(hia, hib) + 99) div 100 - 1"
-    fitting = cut_lineage(fitting.filter(f"(c + {rest}) * {100 + percent} >= {percent} * (loa + lob)"))
+    fitting = cut_lineage(fitting.filter(f"(c + f + {rest}) * {100 + percent} >= {percent} * (loa + lob)"))
     links = star.union(_verified(fitting, reps, rows, k, percent))
 
     # groups that are still apart: bound each query of the smaller one by the other's union, then open that one
@@ -308,7 +339,8 @@ def classes_and_links(
         return members, links
     in_group = grouped.union(single.select("gid", "gid"))
     queries = in_group.select(F.col("cid").alias("q"), F.col("gid").alias("q_gid")).join(asks, "q_gid")
-    queries = queries.join(reps.select(F.col("cid").alias("q"), F.col("n").alias("nq"), F.col("bits").alias("bq")), "q")
+    queries = cut_lineage(queries)
+    queries = join_checked(reps.select(F.col("cid").alias("q"), F.col("n").alias("nq"), F.col("bits").alias("bq")), queries, ["q"])
     bounded = queries.join(spans.select("gid", "union"), "gid")
     outside = _popcount(F.col("bq"), F.col("union"), lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
     bounded = bounded.filter(100 * (F.col("nq") - outside) >= percent * F.col("nq")).select("q", "gid")
