@@ -15,6 +15,8 @@ MIN_SITES = 8
 COPY_SHARE = 0.5
 #: Registers of a sketch are 2^LG_K; the estimate is trusted beyond three standard errors.
 LG_K = 12
+#: Boilerplate lines up to which they are applied as a set within the plan; 8 bytes each.
+FEW_LINES = 5_000
 _ERROR = 3 * 1.04 / math.sqrt(1 << LG_K)
 _BLANK = " \t\r"
 
@@ -70,17 +72,22 @@ def dedupe_lines(
     All rows and columns come back; columns named like the counts are replaced.
     """
     bad = cut_lineage(boilerplate(documents, min_sites, text, site))
-    hits = text_lines(documents, text).join(bad, "line", "left_semi").distinct()
-    strip = cut_lineage(hits.groupBy("tkey").agg(F.collect_list("line").alias("__strip")))
     kept = [F.col(f"`{c}`") for c in documents.columns if c not in counts]
-    rows = documents.select(*kept, _key(F.col(text)).alias("__tkey"))
-    rows = rows.join(strip.withColumnRenamed("tkey", "__tkey"), "__tkey", "left")
+    found = [r.line for r in bad.limit(FEW_LINES + 1).collect()]
+    if len(found) <= FEW_LINES:  # a set within the plan: texts are cut where they are
+        rows = documents.select(*kept)
+        is_bad = lambda line: F.xxhash64(_trimmed(line)).isin(found)
+    else:  # the lines to cut come to each text by a join on its hash
+        hits = text_lines(documents, text).join(bad, "line", "left_semi").distinct()
+        strip = hits.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_list("line").alias("__strip"))
+        rows = documents.select(*kept, _key(F.col(text)).alias("__tkey")).join(strip.hint("merge"), "__tkey", "left")
+        is_bad = lambda line: F.coalesce(F.array_contains("__strip", F.xxhash64(_trimmed(line))), F.lit(False))
 
     lines = F.split(F.col(text), "\n")
-    is_bad = lambda line: F.coalesce(F.array_contains("__strip", F.xxhash64(_trimmed(line))), F.lit(False))
     size = lambda which: F.aggregate(which, F.lit(0), lambda n, line: n + F.length(_trimmed(line)))
-    rest = F.filter(lines, lambda line: ~is_bad(line))
-    carrier = F.col("__strip").isNotNull() & (size(lines) - size(rest) < copy_share * size(lines))
+    rows = rows.withColumn("__some", F.filter(lines, lambda line: ~is_bad(line)))
+    rest = F.col("__some")
+    carrier = (F.size(rest) < F.size(lines)) & (size(lines) - size(rest) < copy_share * size(lines))
     rows = rows.withColumn("__rest", F.when(carrier, rest))
     removed = F.when(F.col("__rest").isNotNull(), F.size(lines) - F.size("__rest")).otherwise(0)
     return rows.select(

@@ -225,3 +225,10 @@ def test_blocks_find_every_print_within_the_radius():
         prints.append(int(p) ^ sum(1 << b for b in bits))
     found = {(item, int(w)) for item, at in decontaminate._within(items, np.array(prints, dtype=np.uint64), 20) for w in at}
     assert {(i, i) for i in range(50)} <= found
+
+
+def test_many_boilerplate_lines_are_cut_by_a_join_alike(spark, monkeypatch):
+    df = frame(spark, line_rows())
+    few = sorted(map(repr, line_dedup.dedupe_lines(df, min_sites=7).collect()))
+    monkeypatch.setattr(line_dedup, "FEW_LINES", 0)
+    assert sorted(map(repr, line_dedup.dedupe_lines(df, min_sites=7).collect())) == few
