@@ -1,0 +1,25 @@
+"""The operators that SQL can express against their SQL on the smallest data."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+from check_queries import DATA, rows_of
+from fleetlens.llm.registry import ORACLE, QUERIES
+from fleetlens.sources.tables import TABLES
+
+FOLDER = f"{DATA}/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    df = QUERIES[name](spark, FOLDER)
+    cur = con.execute(ORACLE[name])
+    assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
