@@ -36,20 +36,38 @@ def text_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("tkey", F.xxhash64("l").alias("line"))
 
 
-def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
-    """(line) hashes of lines that occur on `min_sites` sites or more.
-
-    Copies of one text are one occurrence, on the smallest of their sites.  Each
-    line has a HyperLogLog sketch of its sites, built before the shuffle and
-    merged after it; only lines whose estimate is within three standard errors
-    of the bound get an exact distinct count.  A null site is the site ''.
+def boilerplate(
+    documents: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", first_site: bool = False
+) -> DataFrame:
+    """(line) hashes of lines that occur on `min_sites` sites or more, in two or more distinct texts.
+
+    Every site of every row counts; a line of one text only is no boilerplate,
+    however many sites copy that text.  With `first_site`, a text instead stands
+    on the smallest of its sites alone, and one text is enough: the rule of the
+    SQL of op1_line_dedup.  Each line has a HyperLogLog sketch of its sites,
+    built before the shuffle and merged after it; only lines whose estimate is
+    within three standard errors of the bound get an exact distinct count.  A
+    null site is the site ''.
     """
-    site_of = documents.filter(F.col(text).isNotNull()).groupBy(_key(F.col(text)).alias("tkey"))
-    site_of = site_of.agg(F.min(F.coalesce(F.col(site), F.lit(""))).alias("site"))
-    seen = cut_lineage(text_lines(documents, text).distinct().join(site_of, "tkey").select("line", "site"))
-    spread = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about"))
+    site_of = F.coalesce(F.col(site), F.lit(""))
+    if first_site:
+        first = documents.filter(F.col(text).isNotNull()).groupBy(_key(F.col(text)).alias("tkey")).agg(F.min(site_of).alias("site"))
+        seen = text_lines(documents, text).distinct().join(first, "tkey").select("line", "site")
+        several = F.lit(True)
+    else:
+        lines = documents.select(
+            _key(F.col(text)).alias("tkey"), site_of.alias("site"), F.explode(F.split(F.col(text), "\n")).alias("l")
+        )
+        lines = lines.select("tkey", "site", _trimmed(F.col("l")).alias("l")).filter("l != ''")
+        pairs = lines.groupBy(F.xxhash64("l").alias("line"), "site")
+        seen = pairs.agg(F.min("tkey").alias("low"), F.max("tkey").alias("high"))
+        several = F.min("low") < F.max("high")
+    seen = cut_lineage(seen)
+    spread = seen.groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about"), several.alias("several")
+    )
     low, high = math.floor(min_sites * (1 - _ERROR)), math.ceil(min_sites * (1 + _ERROR))
-    spread = cut_lineage(spread.filter(F.col("about") >= low))
+    spread = cut_lineage(spread.filter(F.col("several") & (F.col("about") >= low)).select("line", "about"))
     near = spread.filter(F.col("about") <= high).select("line")
     exact = seen.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("n"))
     return spread.filter(F.col("about") > high).select("line").union(exact.filter(F.col("n") >= min_sites).select("line"))
@@ -62,6 +80,7 @@ def dedupe_lines(
     text: str = "text",
     site: str = "source",
     counts: tuple[str, str] = ("n_lines", "n_removed"),
+    first_site: bool = False,
 ) -> DataFrame:
     """`documents` without cross-site boilerplate lines, with the `counts` of lines and of removed ones.
 
@@ -70,8 +89,9 @@ def dedupe_lines(
     boilerplate is a copy as a whole, which is for a near-duplicate step: it
     stays as it is.  A null text stays null, with no lines; an empty one has one.
     All rows and columns come back; columns named like the counts are replaced.
+    `first_site` is that of `boilerplate`.
     """
-    bad = cut_lineage(boilerplate(documents, min_sites, text, site))
+    bad = cut_lineage(boilerplate(documents, min_sites, text, site, first_site))
     kept = [F.col(f"`{c}`") for c in documents.columns if c not in counts]
     found = [r.line for r in bad.limit(FEW_LINES + 1).collect()]
     if len(found) <= FEW_LINES:  # a set within the plan: texts are cut where they are

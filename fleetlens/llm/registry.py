@@ -110,7 +110,8 @@ FROM documents d LEFT JOIN done c ON d.text = c.text
 
 @query("op1_line_dedup", LINE_DEDUP_SQL)
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedupe_lines(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("source")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedupe_lines(docs, first_site=True).drop("source")  # as the SQL counts sites
 
 
 @query("op2_decontaminate")

@@ -68,6 +68,15 @@ def test_copies_of_one_text_are_one_occurrence(spark):
     assert len(out) == 24 and {r.text for r in out} == {"a line\nanother line of it"}
 
 
+def test_every_site_of_copied_texts_counts(spark):
+    text = lambda i: f"article {i} has a body that is long enough to be its own\nSyndicated by the agency"
+    rows = [(10 * i + j, text(i), "en", f"s{j}", 0) for i in range(3) for j in range(9)]  # three texts, each on nine sites
+    out = line_dedup.dedupe_lines(frame(spark, rows), min_sites=8).collect()
+    assert len(out) == 27 and all(r.n_removed == 1 and "Syndicated" not in r.text for r in out)
+    fewer = line_dedup.dedupe_lines(frame(spark, [r for r in rows if r[3] < "s7"]), min_sites=8).collect()
+    assert all(r.n_removed == 0 for r in fewer)
+
+
 def test_line_dedup_of_nothing_and_with_clashing_columns(spark):
     assert line_dedup.dedupe_lines(frame(spark, [])).collect() == []
     df = frame(spark, line_rows()).withColumn("n_lines", F.lit(-1)).withColumn("line", F.lit("x")).withColumn("tkey", F.lit(1))
