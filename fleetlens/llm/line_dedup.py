@@ -11,7 +11,7 @@ from ..plans.fixpoint import cut_lineage
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 8
-#: Share of a text's characters in boilerplate from which on it is a copy, not a carrier.
+#: Share of a text's characters in boilerplate from which on the SQL of op1_line_dedup leaves it whole.
 COPY_SHARE = 0.5
 #: Registers of a sketch are 2^LG_K; the estimate is trusted beyond three standard errors.
 LG_K = 12
@@ -76,7 +76,7 @@ def boilerplate(
 def dedupe_lines(
     documents: DataFrame,
     min_sites: int = MIN_SITES,
-    copy_share: float = COPY_SHARE,
+    copy_share: float | None = None,
     text: str = "text",
     site: str = "source",
     counts: tuple[str, str] = ("n_lines", "n_removed"),
@@ -85,9 +85,12 @@ def dedupe_lines(
     """`documents` without cross-site boilerplate lines, with the `counts` of lines and of removed ones.
 
     Lines end at a line feed and are compared without blanks around them; blank
-    lines stay, and so does the order.  A text of which `copy_share` or more is
-    boilerplate is a copy as a whole, which is for a near-duplicate step: it
-    stays as it is.  A null text stays null, with no lines; an empty one has one.
+    lines stay, and so does the order.  The lines go from every text, whatever
+    share of it they are.  Only a text that would keep no line, and that other
+    rows have word for word, is a copy as a whole, which is for a near-duplicate
+    step: it stays as it is.  With `copy_share`, a text of which that share of
+    characters or more is boilerplate stays instead: the rule of the SQL of
+    op1_line_dedup.  A null text stays null, with no lines; an empty one has one.
     All rows and columns come back; columns named like the counts are replaced.
     `first_site` is that of `boilerplate`.
     """
@@ -104,10 +107,19 @@ def dedupe_lines(
         is_bad = lambda line: F.coalesce(F.array_contains("__strip", F.xxhash64(_trimmed(line))), F.lit(False))
 
     lines = F.split(F.col(text), "\n")
-    size = lambda which: F.aggregate(which, F.lit(0), lambda n, line: n + F.length(_trimmed(line)))
-    rows = rows.withColumn("__some", F.filter(lines, lambda line: ~is_bad(line)))
     rest = F.col("__some")
-    carrier = (F.size(rest) < F.size(lines)) & (size(lines) - size(rest) < copy_share * size(lines))
+    rows = rows.withColumn("__some", F.filter(lines, lambda line: ~is_bad(line)))
+    if copy_share is None:
+        emptied = (F.size(rest) < F.size(lines)) & F.forall(rest, lambda line: _trimmed(line) == "")
+        emptied = F.coalesce(emptied, F.lit(False))
+        # only texts that would keep no line are moved, to learn whether they come again
+        again = rows.filter(emptied).groupBy(_key(F.col(text)).alias("__key")).agg((F.count("*") > 1).alias("__copy"))
+        whole = rows.filter(emptied).withColumn("__key", _key(F.col(text))).join(cut_lineage(again), "__key").drop("__key")
+        rows = rows.filter(~emptied).withColumn("__copy", F.lit(False)).unionByName(whole)
+        carrier = (F.size(rest) < F.size(lines)) & ~F.col("__copy")
+    else:
+        size = lambda which: F.aggregate(which, F.lit(0), lambda n, line: n + F.length(_trimmed(line)))
+        carrier = (F.size(rest) < F.size(lines)) & (size(lines) - size(rest) < copy_share * size(lines))
     rows = rows.withColumn("__rest", F.when(carrier, rest))
     removed = F.when(F.col("__rest").isNotNull(), F.size(lines) - F.size("__rest")).otherwise(0)
     return rows.select(

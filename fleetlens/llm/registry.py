@@ -111,7 +111,8 @@ FROM documents d LEFT JOIN done c ON d.text = c.text
 @query("op1_line_dedup", LINE_DEDUP_SQL)
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return line_dedup.dedupe_lines(docs, first_site=True).drop("source")  # as the SQL counts sites
+    # as the SQL counts sites and leaves texts whole
+    return line_dedup.dedupe_lines(docs, copy_share=line_dedup.COPY_SHARE, first_site=True).drop("source")
 
 
 @query("op2_decontaminate")

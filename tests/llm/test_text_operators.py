@@ -77,6 +77,17 @@ def test_every_site_of_copied_texts_counts(spark):
     assert all(r.n_removed == 0 for r in fewer)
 
 
+def test_boilerplate_goes_from_texts_that_are_mostly_boilerplate(spark):
+    notice = "A long notice that many sites put on their pages, " * 6
+    rows = [(i, f"{notice}\nown {i}", "en", f"s{i}", 0) for i in range(9)]  # nearly all notice, but no copies
+    rows += [(20, notice, "en", "s1", 0), (21, f"\n{notice}\n\n", "en", "s2", 0)]  # wholly notice, of one row each
+    rows += [(30 + i, f"{notice}\n{notice}", "en", "s3", 0) for i in range(2)]  # wholly notice, and copies
+    out = {r.doc_id: r for r in line_dedup.dedupe_lines(frame(spark, rows), min_sites=8).collect()}
+    assert len(out) == len(rows) and all((out[i].text, out[i].n_removed) == (f"own {i}", 1) for i in range(9))
+    assert (out[20].text, out[20].n_removed) == ("", 1) and (out[21].text, out[21].n_removed) == ("\n\n", 1)
+    assert all((out[30 + i].text, out[30 + i].n_removed) == (f"{notice}\n{notice}", 0) for i in range(2))
+
+
 def test_line_dedup_of_nothing_and_with_clashing_columns(spark):
     assert line_dedup.dedupe_lines(frame(spark, [])).collect() == []
     df = frame(spark, line_rows()).withColumn("n_lines", F.lit(-1)).withColumn("line", F.lit("x")).withColumn("tkey", F.lit(1))
