@@ -25,35 +25,41 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """Raw-content dictionary of each language, of its words, the most frequent language first.
 
-    At most `max_texts` texts a language are sampled, evenly by the hash of the
-    text, of which each gives an equal share of `max_bytes` from its start, so
-    a few long texts don't fill a dictionary.  Rows whose text or language is
-    null, or whose text is empty, teach nothing; a text counts once.
+    Of each language `max_texts` distinct texts are sampled, evenly by the hash
+    of the text, or all where there are fewer.  Each gives an equal share of
+    `max_bytes`, so a few long texts don't fill a dictionary, from a place that
+    its hash decides, so what many texts begin with doesn't either.  Rows whose
+    text or language is null, or whose text is empty, teach nothing; a text
+    counts once.
     """
     rows = samples.select(F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (F.length("t") > 0))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
+    distinct = rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.count("*").alias("n"))
+    counts = distinct.groupBy("l").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()  # a row per language
     if not counts:
         return {}
-    number = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("l")]
-    spread = F.xxhash64("t", F.lit(7)) / F.lit(2.0**64) + F.lit(0.5)
-    # four times the texts wanted pass, whatever the number there is; copies fall out, then the least hashes stay
+    order = {r.l: r.n for r in counts}
+    number = F.create_map(*[F.lit(x) for r in counts for x in (r.l, r.texts)])[F.col("l")]
+    share = max(64, max_bytes // max_texts)
+    part = lambda seed: F.xxhash64("t", F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)
+    start = F.floor(part(11) * (F.greatest(F.length("t") - 4 * share, F.lit(0)) + 1)).cast("int")
+    # four times the texts wanted pass, or all; copies fall out, then the least hashes stay
     some = (
-        rows.select("l", spread.alias("u"), F.substring("t", 1, max_bytes).alias("t"))
+        rows.select("l", part(7).alias("u"), part(13).alias("place"), F.substring("t", start + 1, F.lit(4 * share)).alias("t"))
         .filter(F.col("u") * number < 4 * max_texts)
         .dropDuplicates(["l", "u"])
     )
-    ranked = some.selectExpr("l", "t", "row_number() over (partition by l order by u) as r")
-    share = max(64, max_bytes // max_texts)
-    chosen = F.substring("t", 1, 4 * share).alias("t")
-    found = ranked.filter(F.col("r") <= max_texts).select("l", "r", chosen).collect()
+    ranked = some.selectExpr("l", "t", "place", "row_number() over (partition by l order by u) as r")
+    found = ranked.filter(F.col("r") <= max_texts).collect()
     out: dict[str, bytes] = {}
-    for _, language in sorted({(-counts[r.l], r.l) for r in found}):
-        texts = [letters_of(r.t).encode() for r in sorted((r for r in found if r.l == language), key=lambda r: r.r)]
+    for _, language in sorted({(-order[r.l], r.l) for r in found}):
+        chosen = sorted((r for r in found if r.l == language), key=lambda r: r.r)
+        texts = [(letters_of(r.t).encode(), r.place) for r in chosen]
         size = share
-        while size < 4 * share and sum(len(t[:size]) for t in texts) < max_bytes:
+        while size < 4 * share and sum(len(t[:size]) for t, _ in texts) < max_bytes:
             size += share // 2
-        out[language] = b"\n".join(t[:size] for t in texts)[:max_bytes]
+        starts = [int(place * (max(len(t) - size, 0) + 1)) for t, place in texts]
+        out[language] = b"\n".join(t[s : s + size] for (t, _), s in zip(texts, starts, strict=True))[:max_bytes]
     return out
 
 

@@ -35,6 +35,24 @@ def test_language_of_held_out_texts(spark):
     assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in out)
 
 
+def test_dictionaries_of_languages_that_are_mostly_copies(spark):
+    few = [f"{a}{b} word" for a in "klmnp" for b in "aeiou"]
+    rows = [(t, "cc") for t in few] + [("aaaa hot text", "cc")] * 20_000 + [(f"b{i} text", "bb") for i in range(9)]
+    learned = language.learn_dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    assert list(learned) == ["cc", "bb"]
+    assert sorted(learned["cc"].split(b"\n")) == sorted(t.encode() for t in [*few, "aaaa hot text"])
+
+
+def test_dictionaries_do_not_fill_with_what_texts_begin_with(spark):
+    draw = random.Random(6)
+    header = "header notice " * 80  # as long as what one text gives, at most
+    for n in (30, 600):  # texts shorter and longer than that behind the header
+        rows = [(header + prose(draw, "aa", n), "aa") for _ in range(300)]
+        learned = language.learn_dictionaries(spark.createDataFrame(rows, "text string, lang string"))["aa"]
+        mean = sum(len(t) for t, _ in rows) / len(rows)
+        assert learned.count(b"header") * len(b"header notice ") < len(learned) * (len(header) / mean + 0.15)
+
+
 def test_language_edge_cases(spark):
     learned = language.learn_dictionaries(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
     long = prose(random.Random(4), "bb", 30_000)
