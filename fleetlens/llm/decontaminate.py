@@ -29,6 +29,8 @@ class Items:
     ids: list[int]
     lengths: np.ndarray
     shingles: list[np.ndarray]
+    #: Per item, the weight of its shingles.
+    totals: np.ndarray
     vocabulary: np.ndarray
     weights: np.ndarray
     unknown: float
@@ -69,20 +71,22 @@ def prepare_items(rows: list[tuple[int, str]], k: int) -> Items:
     for first, bits in _cuts():
         value = (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
         tables.append([np.flatnonzero(value == v) for v in range(1 << bits)])
+    weights = np.log1p(n / counts)
     return Items(
         ids=[rows[i][0] for i in keep],
         lengths=np.array([chunk.bounds[i + 1] - chunk.bounds[i] for i in keep], dtype=np.int64),
         shingles=shingles,
+        totals=np.array([weights[np.searchsorted(vocabulary, s)].sum() for s in shingles]),
         vocabulary=vocabulary,
-        weights=np.log1p(n / counts),
+        weights=weights,
         unknown=math.log1p(n),
         prints=prints,
         tables=tables,
     )
 
 
-def _within(items: Items, prints: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(item, windows) of that length whose prints are within RADIUS, found by equal blocks."""
+def _within(items: Items, prints: np.ndarray, length: int, longer: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(item, windows) of that length, or of items `longer` than it, whose prints are within RADIUS, found by equal blocks."""
     near: dict[int, list[np.ndarray]] = {}
     for (first, bits), table in zip(_cuts(), items.tables, strict=True):
         value = (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
@@ -90,7 +94,7 @@ def _within(items: Items, prints: np.ndarray, length: int) -> Iterator[tuple[int
             if len(table[v]):
                 at = np.flatnonzero(value == v)
                 for item in table[v]:
-                    if items.lengths[item] == length:
+                    if items.lengths[item] > length if longer else items.lengths[item] == length:
                         near.setdefault(int(item), []).append(at)
     for item, parts in near.items():
         at = np.unique(np.concatenate(parts))
@@ -119,9 +123,15 @@ def _matches(items: Items, chunk: Chunk, i: int, shingles: np.ndarray, k: int, l
     first[np.unique(own, return_index=True)[1]] = True
     strange = np.concatenate([[0], np.cumsum(~known & first[: len(own)])])
     votes = None
-    for length in lengths:
-        if length > n:
-            continue
+    if n >= k and known.any():  # the whole text is the window of items longer than it; known shingles bound what is shared
+        window = np.unique(own)
+        shared = _weights(items, window, 0.0)
+        if (items.totals[items.lengths > n] * least <= shared + 1e-9).any():
+            for item, found in _within(items, _prints(_votes(words).sum(axis=0)[None]), n, longer=True):
+                same = _similarity(items, window, items.shingles[item]) if len(found) else 0.0
+                if same >= least:
+                    yield item, 0, same
+    for length in lengths[lengths <= n]:
         if length >= k:
             # each distinct foreign shingle of a window adds to the union alone, what is known bounds the intersection
             width = length - k + 1
@@ -153,14 +163,16 @@ def _matches(items: Items, chunk: Chunk, i: int, shingles: np.ndarray, k: int, l
                 yield item, best[1], best[0]
 
 
-def _similarity(items: Items, window: np.ndarray, wanted: np.ndarray) -> float:
-    """Weight of the shared shingles over the weight of all."""
+def _weights(items: Items, s: np.ndarray, foreign: float) -> float:
+    """Weight of shingles, of which each that no item has weighs `foreign`."""
+    at = np.searchsorted(items.vocabulary, s)
+    at[at == len(items.vocabulary)] = 0
+    return float(np.where(items.vocabulary[at] == s, items.weights[at], foreign).sum())
 
-    def weigh(s: np.ndarray) -> float:
-        at = np.searchsorted(items.vocabulary, s)
-        at[at == len(items.vocabulary)] = 0
-        return float(np.where(items.vocabulary[at] == s, items.weights[at], items.unknown).sum())
 
+def _similarity(items: Items, window: np.ndarray, wanted: np.ndarray) -> float:
+    """Weight of the shared shingles over the weight of all."""
+    weigh = lambda s: _weights(items, s, items.unknown)
     both = weigh(np.intersect1d(window, wanted, assume_unique=True))
     return both / (weigh(window) + weigh(wanted) - both)
 
@@ -190,7 +202,8 @@ def find_passages(
     """(doc_id, tkey, item_id, first_word, n_words, similarity) of each item a document holds.
 
     Words are runs of letters and digits, A-Z in lower case.  Every window of as
-    many words as an item has, at every word of every document, takes part.
+    many words as an item has, at every word of every document, takes part; a
+    document shorter than the item takes part as a whole.
     Windows that have too few shingles of the benchmark to reach `least` are
     dropped, which loses none; the others get a 64-bit SimHash of their words.
     Fingerprints are looked up by RADIUS + 1 blocks, one of which is equal where
@@ -198,8 +211,7 @@ def find_passages(
     weighted k-word shingles.  The best window of a document and item is given,
     the first of equals.
 
-    Items with no word, and null or empty texts, match nothing; a document
-    shorter than an item doesn't hold it.  Rows of equal text match alike, each
+    Items with no word, and null or empty texts, match nothing.  Rows of equal text match alike, each
     for itself; `tkey` is the hash of the text.  Only the named columns are
     read.  The benchmark is broadcast in blocks of bounded size, one pass over
     the documents each.
@@ -221,8 +233,9 @@ def find_passages(
                 for first, chunk in chunks(texts_of(batch.column(2)), ALNUM):
                     shingles = chunk.shingles(k)
                     for i in range(len(chunk.bounds) - 1):
+                        n = int(chunk.bounds[i + 1] - chunk.bounds[i])
                         for item, word, same in _matches(items, chunk, i, shingles, k, least):
-                            out.append((ids[first + i], keys[first + i], items.ids[item], word, int(items.lengths[item]), same))
+                            out.append((ids[first + i], keys[first + i], items.ids[item], word, min(int(items.lengths[item]), n), same))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays(

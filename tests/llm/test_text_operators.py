@@ -230,6 +230,17 @@ def test_passages_exact_edited_and_at_any_place(spark):
     assert set(passages(spark, docs, items, block_bytes=100)) == expected  # block by block
 
 
+def test_items_cut_short_are_found(spark):
+    draw = random.Random(8)
+    items = [(i, " ".join(words(draw, n, 10**6))) for i, n in enumerate((38, 60, 38, 5, 3))]
+    cut = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    docs = [(1, cut(0, 0, -1)), (2, cut(1, 2, None)), (3, cut(2, 0, 20)), (4, cut(3, 0, 4)), (5, cut(4, 0, 2))]
+    found = passages(spark, docs, items)
+    assert set(found) == {(1, 0), (2, 1)}  # by 33/34 and 54/56; half of an item isn't it
+    assert (found[1, 0].first_word, found[1, 0].n_words) == (0, 37) and abs(found[1, 0].similarity - 33 / 34) < 1e-9
+    assert found[2, 1].n_words == 58 and set(passages(spark, docs, items, block_bytes=100)) == set(found)
+
+
 def test_no_benchmark_or_no_documents(spark):
     assert passages(spark, [(1, "a b c")], []) == {} and passages(spark, [], [(1, "a b c")]) == {}
 
