@@ -1,4 +1,4 @@
-"""The ten operators on the given tables, by query name, and their SQL."""
+"""The operators on the given tables, by query name, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, html_extract, language, line_dedup, mixing, ngram_join, quality, secrets, topk, warc
+from . import (
+    conversations,
+    decontaminate,
+    html_extract,
+    infill,
+    language,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    sharding,
+    topk,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +166,64 @@ def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages, html_extract.learn(pages))
+
+
+INFILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls, len(string_split(t, chr(10))) - 1 AS feeds,
+             list_transform(range(4), lambda i: ('0x' || substr(h, i * 8 + 1, 8))::BIGINT) AS x FROM d),
+u AS (SELECT *, feeds + (ls[-1] <> '')::INT AS n FROM r),
+k AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS k1, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS k2,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain'
+                  WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT doc_id, t, n, form,
+             CASE WHEN k1 = 0 THEN '' WHEN k1 > feeds THEN t ELSE array_to_string(ls[1:k1], chr(10)) || chr(10) END AS a,
+             CASE WHEN k2 = 0 THEN '' WHEN k2 > feeds THEN t ELSE array_to_string(ls[1:k2], chr(10)) || chr(10) END AS b FROM k),
+p AS (SELECT *, substr(t, length(a) + 1, length(b) - length(a)) AS middle, substr(t, length(b) + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || a || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", INFILL_SQL)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_sharding")
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    )
+    return sharding.shuffle_into_shards(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.repair(conversations.damage(given))
+    ids = given.select("conv_id").distinct()
+    faults, hashes = found.conversations, conversations.digests(found.turns).withColumnRenamed("conv", "hashed")
+    out = ids.join(faults, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    out = out.join(hashes, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id",
+        # a conversation that lost all its rows has none to repair; gaps may be null where there are rows
+        *[F.when(F.col("cost").isNull(), F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
