@@ -244,6 +244,17 @@ def counter_match(counter_samples: DataFrame, policy_counter: DataFrame) -> Data
     return counter_samples.join(matched, names)
 
 
+def base_stem(counter_name: Column, cntr_type: Column) -> Column:
+    """What the name of a ratio or average has in common with its base counter's; NULL for other types."""
+    name = F.rtrim(counter_name)
+    base = F.lower(F.rtrim(F.regexp_replace(name, "(?i)Ratio| Base| BS|Avg ", "")))
+    based = F.lower(F.rtrim(F.regexp_replace(name, r"(?i)\(ms\)|Ratio|Avg ", "")))
+    return F.when(cntr_type == BASE, base).when(cntr_type.isin(RATIO, AVERAGE), based)
+
+
+RATED = (RATIO, AVERAGE, PER_SECOND, INSTANT)
+
+
 def counter_rate(counter_samples: DataFrame) -> DataFrame:
     """Value of each counter at each sample after the first of its series.
 
@@ -251,26 +262,24 @@ def counter_rate(counter_samples: DataFrame) -> DataFrame:
     the counter name without its `Base`, `Ratio`, `Avg` and unit parts.
     """
     at = [KEY, "object_name", "instance_name", "base_name", "seq"]
-    name = F.rtrim("counter_name")
+    stem = base_stem(F.col("counter_name"), F.col("cntr_type"))
     base = counter_samples.filter(F.col("cntr_type") == BASE).select(
-        KEY, "object_name", "instance_name",
-        F.lower(F.rtrim(F.regexp_replace(name, "(?i)Ratio| Base| BS|Avg ", ""))).alias("base_name"),
-        "seq", F.col("cntr_value").alias("base_value"),
+        KEY, "object_name", "instance_name", stem.alias("base_name"), "seq", F.col("cntr_value").alias("base_value")
     )
-    wanted = counter_samples.filter(F.col("cntr_type").isin(RATIO, AVERAGE, PER_SECOND, INSTANT))
-    based = wanted.withColumn(
-        "base_name",
-        F.when(
-            F.col("cntr_type").isin(RATIO, AVERAGE),
-            F.lower(F.rtrim(F.regexp_replace(name, r"(?i)\(ms\)|Ratio|Avg ", ""))),
-        ),
-    ).join(base, at, "left")
+    wanted = counter_samples.filter(F.col("cntr_type").isin(*RATED))
+    based = wanted.withColumn("base_name", stem).join(base, at, "left")
     stepped = previous_row(
         based, [KEY, "object_name", "counter_name", "instance_name"], "sample_ts",
         ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"], levels=["MINUTE", "DAY"],
         sizing=counter_samples,
     ).filter(F.col("previous").isNotNull())
 
+    return stepped.withColumn("val", rate_value()).drop("previous", "base_name", "base_value")
+
+
+def rate_value() -> Column:
+    """The value of a sample with its `base_value` and the `previous` sample of its series."""
+
     def number(c: Column) -> Column:
         return c.cast("decimal(20,0)")
 
@@ -302,9 +311,7 @@ def counter_rate(counter_samples: DataFrame) -> DataFrame:
         )
         .otherwise(value)
     )
-    return stepped.withColumn("val", F.round(result, 2).cast(MB)).drop(
-        "previous", "base_name", "base_value"
-    )
+    return F.round(result, 2).cast(MB)
 
 
 def counter_uom(counter_name: Column, instance_name: Column, cntr_type: Column) -> Column:

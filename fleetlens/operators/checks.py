@@ -357,7 +357,25 @@ def login_totals(
     map-side.
     """
     now = instant(as_of)
-    longest = policy_login.agg(F.max("monitoring_period_minutes")).first()[0] or 0
+    longest = longest_period(policy_login)
+    since = now - F.expr(f"INTERVAL {longest} MINUTE")
+    failures = login_events.filter((F.col("event_ts") >= since) & (F.col("destination_code") == LOGIN_FAILURE))
+    # windows are whole minutes before as_of, so events are counted per minute of age
+    age = F.ceil((F.unix_micros(now) - F.unix_micros("event_ts")) / 60_000_000)
+    counted = failures.groupBy(KEY, F.lower("login_name").alias("login_key"), age.alias("age")).agg(F.count("*").alias("n"))
+    return totals_of_minutes(counted, policy_login)
+
+
+LOGIN_FAILURE = "0x0000001c"
+
+
+def longest_period(policy_login: DataFrame) -> int:
+    """Minutes of the longest window of any login, one number."""
+    return int(policy_login.agg(F.max("monitoring_period_minutes")).first()[0] or 0)
+
+
+def totals_of_minutes(minutes: DataFrame, policy_login: DataFrame) -> DataFrame:
+    """`login_totals` from failures counted per minute of age: (instance, login_key, age, n)."""
     default = policy_login.filter(F.col("name") == DEFAULT).select(
         KEY,
         F.col("failed_login_threshold").alias("default_threshold"),
@@ -365,15 +383,8 @@ def login_totals(
         F.col("login_failure_alert").alias("default_alert"),
     )
     explicit = policy_login.filter(F.col("name") != DEFAULT)
-    since = now - F.expr(f"INTERVAL {int(longest)} MINUTE")
-    failures = login_events.filter((F.col("event_ts") >= since) & (F.col("destination_code") == "0x0000001c"))
-    # windows are whole minutes before as_of, so events are counted per minute of age
-    age = F.ceil((F.unix_micros(now) - F.unix_micros("event_ts")) / 60_000_000)
-    counted = (
-        failures.groupBy(KEY, F.lower("login_name").alias("login_key"), age.alias("age"))
-        .agg(F.count("*").alias("n"))
-        .join(default, KEY)
-        .join(explicit.withColumn("login_key", F.lower("name")), [KEY, "login_key"], "left")
+    counted = minutes.join(default, KEY).join(
+        explicit.withColumn("login_key", F.lower("name")), [KEY, "login_key"], "left"
     )
     threshold = F.coalesce("failed_login_threshold", "default_threshold")
     period = F.coalesce("monitoring_period_minutes", "default_period")

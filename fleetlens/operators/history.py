@@ -202,19 +202,28 @@ def log_error_pairs(
     pairs = lines.filter(
         F.col("message").ilike(HEADER) & F.col("following").isNotNull()
     ).select(
-        KEY, "log_date", "seq",
-        F.when(F.lower("source").startswith("spid"), "spid").otherwise(F.col("source")).alias("source"),
-        F.col("message").alias("message_header"),
-        F.col("following.message").alias("message"),
-        F.regexp_extract("message", r"^(?i)Error:\s*(-?\d+)\s*,", 1).try_cast("int").alias("message_id"),
+        KEY, "log_date", "source", F.col("message").alias("message_header"), F.col("following.message").alias("message")
     )
+    return catalogued_pairs(pairs, messages, sanitize=sanitize)
+
+
+def catalogued_pairs(
+    pairs: DataFrame, messages: DataFrame, *, sanitize: bool, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Headers and their texts as reported: those in the catalogue, sources without numbers, texts cleaned.
+
+    `pairs` is (instance, log_date, source, message_header, message); columns `also` go through.
+    """
+    found = pairs.withColumn(
+        "source", F.when(F.lower("source").startswith("spid"), "spid").otherwise(F.col("source"))
+    ).withColumn("message_id", F.regexp_extract("message_header", r"^(?i)Error:\s*(-?\d+)\s*,", 1).try_cast("int"))
     if sanitize:
-        pairs = sanitize_message(pairs, messages, "message", "message_id", sanitize=True, unmatched=None)
+        found = sanitize_message(found, messages, "message", "message_id", sanitize=True, unmatched=None)
     else:
-        pairs = pairs.join(messages.select("message_id"), "message_id", "left_semi")
-    return pairs.select(
+        found = found.join(messages.select("message_id"), "message_id", "left_semi")
+    return found.select(
         KEY, iso_with_offset(F.col("log_date")).alias("log_date"), "source", "message_header",
-        clean_text(F.col("message")).alias("message"),
+        clean_text(F.col("message")).alias("message"), *also,
     )
 
 

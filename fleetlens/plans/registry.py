@@ -599,7 +599,7 @@ def _drain(df: DataFrame, folder: str) -> DataFrame:
 
 def _drained(started, spark: SparkSession, folder: str) -> DataFrame:
     started.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return spark.read.parquet(f"{folder}/out")
 
 
 query("stream_login_failures")(
@@ -624,23 +624,35 @@ query("stream_dedupe_events")(
 query("stream_extract")(lambda i: _drain(i.stream("backup_history"), i.scratch()))
 
 
-@query("stream_counter_rate")
+@query("stream_login_totals")
 def _(i: Inputs) -> DataFrame:
+    """Of the newest batch: each watched login over its own window."""
     folder = i.scratch()
-    return _drained(streams.stream_counter_rate(i.stream("counter_samples"), folder), i.spark, folder)
+    streams.stream_login_totals(i.stream("login_events"), i("policy_login"), folder).awaitTermination()
+    return streams.latest_totals(i.spark, folder)
 
 
-@query("stream_error_pairs")
+@query("stream_counter_rate")
 def _(i: Inputs) -> DataFrame:
     folder = i.scratch()
-    return _drained(streams.stream_error_pairs(i.stream("error_log"), folder), i.spark, folder)
+    return _drained(streams.stream_counter_rate(i.stream("counter_samples"), folder), i.spark, folder)
+
+
+for _name, _sanitize in (("stream_error_pairs", False), ("stream_error_pairs_sanitized", True)):
+
+    @query(_name)
+    def _(i: Inputs, sanitize: bool = _sanitize) -> DataFrame:
+        folder = i.scratch()
+        return _drained(
+            streams.stream_error_pairs(i.stream("error_log"), i("messages"), folder, sanitize=sanitize), i.spark, folder
+        )
 
 
 @query("stream_eav_upsert")
 def _(i: Inputs) -> DataFrame:
-    folder = i.scratch()
-    streams.stream_eav_upsert(i.stream("service_eav"), folder, as_of="2024-02-10 00:00:00").awaitTermination()
-    return streams.current_state(i.spark, folder)
+    folder, as_of, rows = i.scratch(), "2024-02-10 00:00:00", i.stream("service_eav")
+    streams.stream_eav_upsert(rows, folder, as_of=as_of).awaitTermination()
+    return streams.current_inventory(i.spark, folder, rows.select(*streams._EAV_COLUMNS).schema, as_of=as_of)
 
 
 @query("stream_alert_transitions")

@@ -1,28 +1,34 @@
 """Structured Streaming versions of the polled operators.
 
-Windowed counts and de-duplication use the engine's own state.  Operators that
-look at the row before (rates, error pairs, transitions) keep their state as a
-small versioned table and run the batch operator on each micro-batch, so a hot
-instance is split by the same plans as in batch instead of sitting in one keyed
-state.  Every version is written under its batch id: a batch that runs again
-after a failure overwrites its own version, and reads the one before.
+Windowed counts and de-duplication use the engine's own state; so do operators that
+look at the row before (rates, error pairs, transitions), as keyed state in its
+state store: a batch writes the keys it touches.  Tables kept current by a stream
+are upserted by hash bucket: a batch rewrites the buckets it touches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions.semantics import KEY
-from ..operators.charts import counter_rate
-from ..operators.history import HEADER
+from ..operators.charts import BASE, RATED, base_stem, rate_value
+from ..operators.checks import LOGIN_FAILURE, longest_period, totals_of_minutes
+from ..operators.history import HEADER, catalogued_pairs
 from ..operators.policy import eav_upsert
-from ..plans.adjacent import next_row, previous_row
+from ..plans.adjacent import previous_row
+from .upsert import UpsertTable, newest
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Keyed state needs this state store; queries take the setting when they start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
 def stream_login_failures(
@@ -60,154 +66,378 @@ def stream_extract(source: DataFrame, target: str, checkpoint: str) -> Streaming
     )
 
 
-class VersionedState:
-    """A state table with one folder per micro-batch."""
+def start(result: DataFrame, folder: str, *, available_now: bool = True) -> StreamingQuery:
+    """Append the rows of a stateful stream to `folder/out`."""
+    writer = result.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start(f"{folder}/out")
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/version={batch_id}"
+# -- login failures by policy -------------------------------------------------------
 
-    def before(self, batch_id: int) -> DataFrame:
-        """State left by the batch before; empty for the first."""
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(batch_id - 1))
 
-    def write(self, state: DataFrame, batch_id: int) -> None:
-        """Write the state after a batch; the one before stays for a rerun, older ones go."""
-        state.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._folder(batch_id))
-        if batch_id >= 2:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(batch_id - 2))
-            files = old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-            files.delete(old, True)
+class LoginMinutes:
+    """Failures per login and minute, as a stream leaves them, and what the policy makes of them."""
 
+    COLUMNS = f"{KEY} string, login_key string, minute timestamp, n long, batch long"
 
-def current_state(spark: SparkSession, folder: str) -> DataFrame:
-    """State after the newest micro-batch of the stream kept in `folder`."""
-    versions = spark.read.parquet(f"{folder}/state")
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(newest, "version").drop("version")
+    def __init__(self, spark: SparkSession, folder: str):
+        schema = spark.createDataFrame([], self.COLUMNS).schema
+        self.spark, self.folder = spark, folder
+        self.table = UpsertTable(spark, f"{folder}/minutes", schema, [KEY, "login_key"])
 
+    def clock(self) -> datetime | None:
+        """The end of the newest minute with a failure; one value."""
+        return self.table.read().agg((F.max("minute") + F.expr("INTERVAL 1 MINUTE")).alias("t")).first()["t"]
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame | None, DataFrame]]
+    def totals(self, policy_login: DataFrame, as_of: datetime | Column) -> DataFrame:
+        """`login_totals` at a whole minute, from the minutes before it."""
+        now = as_of if isinstance(as_of, Column) else F.lit(as_of)
+        age = ((F.unix_seconds(now) - F.unix_seconds("minute")) / 60).cast("long")
+        minutes = self.table.read().filter(F.col("minute") < now)
+        return totals_of_minutes(minutes.select(KEY, "login_key", age.alias("age"), "n"), policy_login)
 
 
-def stateful(
-    source: DataFrame, step: Step, state_schema: StructType, folder: str, *, available_now: bool = True
+def stream_login_totals(
+    events: DataFrame, policy_login: DataFrame, folder: str, watermark: str = "10 minutes", *, available_now: bool = True
 ) -> StreamingQuery:
-    """Run `step(state, rows) -> (output, new state)` on every micro-batch.
-
-    Output of a batch is written to `folder/out/batch=<id>`, the state beside
-    it.  Read the result from `folder/out`.
+    """Failures of each watched login and in total, over the window and against the threshold its policy names.
+
+    State is the engine's count per login and minute.  Minutes that changed, open ones
+    too, are upserted into `folder/minutes`; each batch then sums them by policy,
+    every login over its own period and the total over the default one, as of the
+    end of the newest minute, into `folder/out/batch=<id>`.  A threshold or period of zero
+    switches a login off.  Events later than the watermark are dropped.  Minutes
+    older than the longest period and the watermark leave the table when their
+    bucket is next written.
     """
-    spark = source.sparkSession
-    state = VersionedState(spark, f"{folder}/state", state_schema)
+    spark = events.sparkSession
+    counted = (
+        events.filter(F.col("destination_code") == LOGIN_FAILURE)
+        .withWatermark("event_ts", watermark)
+        .groupBy(KEY, F.lower("login_name").alias("login_key"), F.window("event_ts", "1 minute").alias("w"))
+        .agg(F.count("*").alias("n"))
+        .select(KEY, "login_key", F.col("w.start").alias("minute"), "n")
+    )
+    minutes = LoginMinutes(spark, folder)
+    keep = newest([KEY, "login_key", "minute"], ["batch", "n"])
+    # the session's longest window and delay: rows older than both can't count or change any more
+    span = F.expr(f"INTERVAL {longest_period(policy_login)} MINUTE") + F.expr(f"INTERVAL {watermark}")
 
-    def run(rows: DataFrame, batch_id: int) -> None:
-        rows.persist()  # output and state both read the batch
+    def run(changed: DataFrame, batch_id: int) -> None:
+        changed = changed.withColumn("batch", F.lit(batch_id).cast("long")).persist()
         try:
-            output, left = step(state.before(batch_id), rows)
-            if output is not None:
-                output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-            state.write(left, batch_id)
+            latest = changed.agg(F.max("minute").alias("t")).first()["t"]  # one value
+            if latest is None:
+                return
+            old = lambda rows: rows.filter(F.col("minute") >= F.lit(latest) - span)
+            minutes.table.merge(changed, lambda have, more: old(keep(have, more)))
+            now = minutes.clock()
+            report = minutes.totals(policy_login, now).withColumn("as_of", F.lit(now))
+            report.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
         finally:
-            rows.unpersist()
+            changed.unpersist()
 
-    writer = source.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
+    writer = counted.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_counter_rate(samples: DataFrame, folder: str, ttl_days: int | None = None) -> StreamingQuery:
+def latest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of the newest batch."""
+    reports = spark.read.parquet(f"{folder}/out")
+    last = reports.agg(F.max("batch").alias("batch"))
+    return reports.join(last, "batch").drop("batch")
+
+
+# -- counter rates ------------------------------------------------------------------
+
+_SAMPLE = "sample_micros long, seq long, cntr_value long, ms_ticks long, base_value long"
+
+
+class _Rates(StatefulProcessor):
+    """The last sample of each counter of one stem, and of the base counter they share.
+
+    Samples of a key come in any order within a batch; those not later than the last
+    sample of their series are left out.
+    """
+
+    def __init__(self, columns: list[str], ttl_ms: int | None):
+        self.columns, self.ttl_ms = columns, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getMapState("last", "counter_name string", _SAMPLE)
+        self.base = handle.getMapState("base", "seq long", "cntr_value long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        samples = sorted(rows, key=lambda r: (r.sample_micros, r.seq))
+        bases = {r.seq: r.cntr_value for r in samples if r.cntr_type == BASE}
+        if not bases and self.base.exists():
+            bases = {k[0]: v[0] for k, v in self.base.iterator()}
+        before: dict[str, tuple] = {}
+        rated = Row(*self.columns, "base_value", "was_value", "was_ticks", "was_base")
+        for r in samples:
+            if r.cntr_type not in RATED:
+                continue
+            name = r.counter_name
+            if name not in before:
+                before[name] = self.last.getValue((name,)) if self.last.containsKey((name,)) else None
+            was = before[name]
+            if was is not None and (r.sample_micros, r.seq) <= (was[0], was[1]):
+                continue
+            if was is not None and self.ttl_ms is not None and r.sample_micros - was[0] > self.ttl_ms * 1000:
+                was = None  # forgotten, whether or not the timer has run
+            now = (r.sample_micros, r.seq, r.cntr_value, r.ms_ticks, bases.get(r.seq) if r.has_base else None)
+            if was is not None:
+                yield rated(*[r[c] for c in self.columns], now[4], was[2], was[3], was[4])
+            before[name] = now
+        for name, sample in before.items():
+            if sample is not None:
+                self.last.updateValue((name,), sample)
+        if bases:  # the newest base, for counters whose batch came without it
+            newest_seq = max(bases)
+            if self.base.exists():
+                self.base.clear()
+            self.base.updateValue((newest_seq,), (bases[newest_seq],))
+        if self.ttl_ms is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(samples[-1].sample_micros // 1000 + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Nothing came for the time to live: the stem is forgotten."""
+        for state in (self.last, self.base):
+            if state.exists():
+                state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        return
+
+
+def stream_counter_rate(
+    samples: DataFrame, folder: str, ttl_days: int | None = None, watermark: str = "1 hour", *, available_now: bool = True
+) -> StreamingQuery:
     """Counter rates of a sample stream; state is the last sample of each series.
 
-    The base counter of a sample is a series of its own and is carried along.
-    A series is never forgotten, unless `ttl_days` is given: then those silent for so
-    long are, and their next sample gets no rate.  A micro-batch must not split
-    one sample time of a series from its base.
+    A ratio or average has one key with its base counter, so both meet without a
+    join; every other series is a key of its own.  A series is never forgotten, unless
+    `ttl_days` is given: then a sample so many days after the last one of its series gets
+    no rate, the watermark clears keys that are silent for so long, and samples later than the
+    watermark are dropped.  A base that comes in another batch than its counter must come before it.
     """
-    columns = samples.columns
-    series = [KEY, "object_name", "counter_name", "instance_name"]
-
-    def step(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pool = state.withColumn("carried", F.lit(True)).unionByName(rows.withColumn("carried", F.lit(False)))
-        rates = counter_rate(pool).filter(~F.col("carried")).drop("carried")
-        newest = pool.groupBy(*series).agg(
-            F.max(F.struct("sample_ts", *[c for c in columns if c not in (*series, "sample_ts")])).alias("s")
-        ).select(*series, "s.*")
-        if ttl_days is None:
-            return rates, newest.select(*columns)
-        # one value: the newest sample of the batch
-        horizon = rows.agg((F.max("sample_ts") - F.expr(f"INTERVAL {int(ttl_days)} DAY")).alias("oldest"))
-        oldest = horizon.first()["oldest"]
-        kept = newest if oldest is None else newest.filter(F.col("sample_ts") >= F.lit(oldest))
-        return rates, kept.select(*columns)
-
-    return stateful(samples, step, samples.schema, folder)
-
-
-def stream_error_pairs(error_log: DataFrame, folder: str) -> StreamingQuery:
-    """Error headers with the line that follows, across micro-batches.
-
-    State is the last line of each instance: its successor arrives later.
+    keyed_state(samples.sparkSession)
+    stem = base_stem(F.col("counter_name"), F.col("cntr_type"))
+    keys = [KEY, "object_name", "instance_name", "stem"]
+    rows = samples.withColumn("stem", F.coalesce(F.concat(F.lit("b:"), stem), F.concat(F.lit("c:"), "counter_name")))
+    rows = rows.withColumn("has_base", stem.isNotNull()).withColumn("sample_micros", F.unix_micros("sample_ts"))
+    rows = rows.drop("sample_ts") if ttl_days is None else rows.withWatermark("sample_ts", watermark)
+    columns = [c for c in rows.columns if c not in ("stem", "has_base", "sample_ts")]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", base_value long, was_value long, was_ticks long, was_base long"
+    ttl = None if ttl_days is None else int(timedelta(days=ttl_days).total_seconds() * 1000)
+    stepped = rows.groupBy(*keys).transformWithState(
+        _Rates(columns, ttl), schema, "Append", "None" if ttl is None else "EventTime"
+    )
+    previous = F.struct(
+        F.col("was_value").alias("cntr_value"), F.col("was_ticks").alias("ms_ticks"), F.col("was_base").alias("base_value")
+    )
+    rated = stepped.withColumn("previous", previous).withColumn("sample_ts", F.timestamp_micros("sample_micros"))
+    return start(rated.withColumn("val", rate_value()).select(*samples.columns, "val"), folder, available_now=available_now)
+
+
+# -- error pairs --------------------------------------------------------------------
+
+_PAIR = f"{KEY} string, at long, source string, message_header string, message string, complete boolean"
+_Pair = Row(KEY, "at", "source", "message_header", "message", "complete")
+
+
+class _PendingHeader(StatefulProcessor):
+    """A header that ends a slice waits for the first line of the next slice, or for its time to be up."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "at long, source string, message_header string, due long")
+
+    def _drop(self) -> None:
+        due = self.pending.get()[3]
+        self.pending.clear()
+        self.handle.deleteTimer(due)
+
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        waiting = self.pending.get() if self.pending.exists() else None
+        had = waiting is not None
+        for r in sorted(rows, key=lambda r: r.slice_end):
+            if waiting is not None:
+                yield _Pair(key[0], waiting[0], waiting[1], waiting[2], r.first, True)
+            for p in r.inside:
+                yield _Pair(key[0], p["at"], p["source"], p["header"], p["message"], True)
+            last = r.last
+            waiting = None if last is None else (last["at"], last["source"], last["header"], last["at"] // 1000 + self.timeout_ms)
+        if had:
+            self._drop()
+        if waiting is not None:
+            self.pending.update(tuple(waiting))
+            self.handle.registerTimer(waiting[3])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.pending.exists():
+            at, source, header, due = self.pending.get()
+            if due <= expiredTimerInfo.getExpiryTimeInMs():
+                self.pending.clear()
+                yield _Pair(key[0], at, source, header, None, False)
+
+    def close(self) -> None:
+        return
+
+
+def stream_error_pairs(
+    error_log: DataFrame, messages: DataFrame, folder: str, *, sanitize: bool = False, watermark: str = "10 minutes",
+    slice: str = "1 minute", timeout: timedelta = timedelta(hours=1), available_now: bool = True,
+) -> StreamingQuery:
+    """Error headers with the line that follows, as `log_error_pairs` gives them, from a live log.
+
+    Lines are gathered per instance and slice of time until the watermark has passed it, so their
+    order is final however they arrive, and a busy instance is many groups.  Pairs inside a
+    slice are found there; only they and a slice's two edges go on to the state of
+    their instance, which pairs neighbouring slices.  A header that no line
+    follows within `timeout` of event time is given out with `complete` false: its text
+    is the catalogue's when sanitized, NULL otherwise.
     """
-    columns = [KEY, "log_date", "source", "seq", "message"]
-    order = ["log_date", "source", "seq"]
+    keyed_state(error_log.sparkSession)
+    line = F.struct(F.unix_micros("log_date").alias("at"), "source", "seq", "message")
+    slices = (
+        error_log.withWatermark("log_date", watermark)
+        .groupBy(KEY, F.window("log_date", slice).alias("w"))
+        .agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    )
 
-    def step(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pool = state.unionByName(rows.select(*columns))
-        lines = next_row(pool, [KEY], "log_date", order, ["message"], out="following")
-        pairs = lines.filter(F.col("message").ilike(HEADER) & F.col("following").isNotNull()).select(
-            KEY, "log_date", "source", F.col("message").alias("message_header"),
-            F.col("following.message").alias("message"),
-        )
-        last = pool.groupBy(KEY).agg(F.max(F.struct(*order, "message")).alias("s")).select(KEY, "s.*")
-        return pairs, last.select(*columns)
+    def header(of: Column) -> Column:
+        return of["message"].ilike(HEADER)
+
+    paired = F.transform(
+        F.slice("lines", 1, F.size("lines") - 1),
+        lambda x, i: F.struct(
+            x["at"].alias("at"), x["source"].alias("source"), x["message"].alias("header"),
+            F.get("lines", i + 1)["message"].alias("message"),
+        ),
+    )
+    last = F.element_at("lines", -1)
+    edges = slices.select(
+        KEY, F.window_time("w").alias("closed"), F.unix_micros("w.end").alias("slice_end"),
+        F.filter(paired, lambda p: p["header"].ilike(HEADER)).alias("inside"),
+        F.element_at("lines", 1)["message"].alias("first"),
+        F.when(header(last), F.struct(last["at"].alias("at"), last["source"].alias("source"), last["message"].alias("header"))).alias("last"),
+    )
+    found = edges.groupBy(KEY).transformWithState(
+        _PendingHeader(int(timeout.total_seconds() * 1000)), _PAIR, "Append", "EventTime"
+    )
+    pairs = found.withColumn("log_date", F.timestamp_micros("at"))
+    named = catalogued_pairs(pairs, messages, sanitize=sanitize, also=("complete",))
+    return start(named, folder, available_now=available_now)
 
-    return stateful(error_log, step, error_log.select(*columns).schema, folder)
+
+# -- inventory ----------------------------------------------------------------------
+
+_EAV = ("hierarchy", "property")
+_EAV_COLUMNS = [KEY, *_EAV, "value", "lastseen", "seq"]
+
+
+def inventory_table(spark: SparkSession, folder: str, schema) -> UpsertTable:
+    return UpsertTable(spark, f"{folder}/state", schema, [KEY, *_EAV])
 
 
 def stream_eav_upsert(
-    source: DataFrame, folder: str, *, as_of: datetime | str | None = None
+    source: DataFrame, folder: str, *, as_of: datetime | str | None = None, available_now: bool = True
 ) -> StreamingQuery:
-    """Inventory kept current; `current_state` is the inventory.
+    """Inventory kept current in hash buckets; `current_inventory` reads it.
 
-    Without `as_of` retention counts from the newest value seen in the batch.
+    A batch rewrites the buckets its keys fall into.  Without `as_of` retention counts
+    from the newest value seen in the batch; buckets that a batch doesn't touch are
+    purged when read.
     """
-    columns = [KEY, "hierarchy", "property", "value", "lastseen", "seq"]
+    rows = source.select(*_EAV_COLUMNS)
+    table = inventory_table(source.sparkSession, folder, rows.schema)
 
-    def step(state: DataFrame, rows: DataFrame) -> tuple[None, DataFrame]:
+    def run(batch: DataFrame, batch_id: int) -> None:
         now = as_of
         if now is None:
-            seen = rows.agg(F.max("lastseen").alias("t")).first()["t"]  # one value
-            now = seen if seen is not None else datetime.min.replace(year=1900)
-        merged = eav_upsert(state, rows.select(*columns), as_of=now)
-        return None, merged
+            seen = batch.agg(F.max("lastseen").alias("t")).first()["t"]  # one value
+            now = seen if seen is not None else datetime(1900, 1, 1)
+        table.merge(batch, lambda have, more: eav_upsert(have, more, as_of=now))
+
+    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_inventory(spark: SparkSession, folder: str, schema, *, as_of: datetime | str) -> DataFrame:
+    """The inventory as of a time: what retention keeps."""
+    have = inventory_table(spark, folder, schema).read()
+    return eav_upsert(have, have.limit(0), as_of=as_of)
+
+
+# -- alert transitions --------------------------------------------------------------
 
-    return stateful(source, step, source.select(*columns).schema, folder)
 
+class _LastState(StatefulProcessor):
+    """The last result of one object; a result that differs from the one before goes on."""
 
-def stream_alert_transitions(checks: DataFrame, folder: str) -> StreamingQuery:
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "checked_micros long, seq long, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        change = Row(*self.columns, "previous_state")
+        for r in sorted(rows, key=lambda r: (r.checked_micros, r.seq)):
+            if last is not None and (r.checked_micros, r.seq) <= last[:2]:
+                continue
+            if last is None or last[2] != r.state:
+                yield change(*[r[c] for c in self.columns], None if last is None else last[2])
+            last = (r.checked_micros, r.seq, r.state)
+        if last is not None:
+            self.last.update(last)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.last.update((initialState.checked_micros, initialState.seq, initialState.state))
+
+    def close(self) -> None:
+        return
+
+
+_CHECKED = [KEY, "check", "object", "checked_at", "seq", "state"]
+
+
+def stream_alert_transitions(
+    checks: DataFrame, folder: str, known: DataFrame | None = None, *, available_now: bool = True
+) -> StreamingQuery:
     """A row whenever (instance, check, object) changes state.
 
     `checks` has checked_at and seq besides the check columns.  State is the
-    last result of each object; the first result ever counts as a change.
+    last result of each object.  `known`, of the same columns, holds results from
+    before: its last one of each object seeds the state of a new checkpoint, so a stream that is
+    started anew repeats no change.  Otherwise the first result of an object counts as a
+    change.  Results not later than the last one of their object are left out.
     """
-    columns = [KEY, "check", "object", "checked_at", "seq", "state"]
+    keyed_state(checks.sparkSession)
     keys = [KEY, "check", "object"]
 
-    def step(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pool = state.withColumn("carried", F.lit(True)).unionByName(
-            rows.select(*columns).withColumn("carried", F.lit(False))
-        )
-        changes = transitions(pool).filter(~F.col("carried")).drop("carried")
-        last = pool.groupBy(*keys).agg(
-            F.max(F.struct("checked_at", "seq", "state")).alias("s")
-        ).select(*keys, "s.*")
-        return changes, last.select(*columns)
-
-    return stateful(checks, step, checks.select(*columns).schema, folder)
+    def plain(df: DataFrame) -> DataFrame:
+        return df.select(*keys, F.unix_micros("checked_at").alias("checked_micros"), "seq", "state")
+
+    rows = plain(checks)
+    schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes) + ", previous_state string"
+    seeds = None
+    if known is not None:
+        last = plain(known).groupBy(*keys).agg(F.max(F.struct("checked_micros", "seq", "state")).alias("s"))
+        seeds = last.select(*keys, "s.*").groupBy(*keys)
+    changed = rows.groupBy(*keys).transformWithState(_LastState(rows.columns), schema, "Append", "None", seeds)
+    out = changed.withColumn("checked_at", F.timestamp_micros("checked_micros")).select(*_CHECKED, "previous_state")
+    return start(out, folder, available_now=available_now)
 
 
 def transitions(results: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from fleetlens.operators import charts, policy
+from fleetlens.operators import charts, checks, history, policy
 from fleetlens.streaming import streams
+from fleetlens.streaming.upsert import UpsertTable, newest
 
 START = datetime(2024, 1, 1)
 
@@ -59,26 +61,62 @@ def test_counter_rate_across_batches(spark, tmp_path):
             data.append(("i", n, t, "o", name, "", value, kind, 10_000 * n))
     stream, whole = dropped(spark, tmp_path, split(data, 5), SAMPLE)
     finish(streams.stream_counter_rate(stream, str(tmp_path / "run")))
-    got = spark.read.parquet(str(tmp_path / "run/out")).drop("batch")
+    got = spark.read.parquet(str(tmp_path / "run/out"))
     assert rows(got.select(*sorted(got.columns))) == rows(charts.counter_rate(whole).select(*sorted(got.columns)))
 
 
 LOG = "instance_guid string, log_date timestamp, source string, seq long, message string"
 
 
-def test_error_pairs_across_batches(spark, tmp_path):
-    data = [
-        (g, START + timedelta(minutes=n), "s", n, f"Error: {n}, Severity: 1, State: 1." if n % 3 == 0 else f"text {n}")
-        for n in range(30) for g in ("hot", "cold") if g == "hot" or n % 7 == 0
-    ]
-    stream, _ = dropped(spark, tmp_path, split(data, 6), LOG)
-    finish(streams.stream_error_pairs(stream, str(tmp_path / "run")))
-    got = spark.read.parquet(str(tmp_path / "run/out"))
-    want = []
+def log_lines(n=60, seed=3):
+    r = random.Random(seed)
+    data = []
     for g in ("hot", "cold"):
-        own = [d for d in data if d[0] == g]
-        want += [(g, a[4], b[4]) for a, b in zip(own, own[1:]) if a[4].startswith("Error")]
-    assert rows(got, "instance_guid", "message_header", "message") == sorted(want, key=repr)
+        for k in range(n if g == "hot" else n // 6):
+            text = f"Error: {k % 7}, Severity: 1, State: 1." if r.random() < 0.4 else r.choice((f"text  {k}", "a\nb", None))
+            data.append((g, START + timedelta(seconds=r.randint(0, 1500)), r.choice(("spid7", "Logon")), k, text))
+    return data
+
+
+CATALOGUE = [(i, f"Template  {i}") for i in range(5)]  # 5 and 6 aren't in it
+#: Pushes the watermark past all lines, on an instance of its own.
+BEAT = ("beat", START + timedelta(hours=2), "s", 0, "x")
+
+
+@pytest.mark.parametrize("sanitize", [False, True])
+@pytest.mark.parametrize("order", ["by time", "shuffled"])
+def test_error_pairs_equal_the_batch_on_any_split(spark, tmp_path, sanitize, order):
+    data = log_lines()
+    data.sort(key=lambda d: d[1]) if order == "by time" else random.Random(8).shuffle(data)
+    end = {g: START + timedelta(minutes=40) for g in ("hot", "cold")}
+    last = [(g, end[g], "spid1", 999, "Error: 2, Severity: 1, State: 1.") for g in end]  # stays pending
+    stream, whole = dropped(spark, tmp_path, [*split(data, 5), last, [BEAT]], LOG)
+    messages = spark.createDataFrame(CATALOGUE, "message_id int, text string")
+    # lines may come late by as long as the log lasts
+    query = streams.stream_error_pairs(
+        stream, messages, str(tmp_path / "run"), sanitize=sanitize, watermark="45 minutes", timeout=timedelta(minutes=10)
+    )
+    finish(query)
+    got = spark.read.parquet(str(tmp_path / "run/out"))
+    windows = spark.createDataFrame([(g, START - timedelta(days=1), START + timedelta(days=1)) for g in end], "instance_guid string, start_at timestamp, end_at timestamp")
+    want = history.log_error_pairs(whole.filter("instance_guid <> 'beat'"), messages, windows, sanitize=sanitize)
+    assert want.count() > 10
+    assert rows(got.filter("complete").drop("complete")) == rows(want)
+    # the header at the end, which the batch can't pair, comes when its time is up
+    text = "Template 2" if sanitize else None
+    assert rows(got.filter("NOT complete"), "instance_guid", "message_header", "message") == [
+        (g, "Error: 2, Severity: 1, State: 1.", text) for g in ("cold", "hot")
+    ]
+
+
+def test_a_pending_header_meets_a_line_that_comes_in_time(spark, tmp_path):
+    head = ("i", START, "s", 1, "Error: 1, Severity: 1, State: 1.")
+    late = ("i", START + timedelta(minutes=50), "s", 2, "what follows")
+    beats = [("beat", START + timedelta(minutes=m), "s", 0, "x") for m in (20, 40, 200)]
+    stream, _ = dropped(spark, tmp_path, [[head], [beats[0]], [beats[1]], [late], [beats[2]]], LOG)
+    messages = spark.createDataFrame(CATALOGUE, "message_id int, text string")
+    finish(streams.stream_error_pairs(stream, messages, str(tmp_path / "run"), timeout=timedelta(hours=1)))
+    assert rows(spark.read.parquet(str(tmp_path / "run/out")), "message", "complete") == [("what follows", True)]
 
 
 EAV = "instance_guid string, hierarchy string, property string, value string, lastseen timestamp, seq long"
@@ -87,13 +125,40 @@ EAV = "instance_guid string, hierarchy string, property string, value string, la
 def test_inventory_across_batches(spark, tmp_path):
     data = [("i", f"h{n % 4}", "p", f"v{n}", START + timedelta(hours=n), n) for n in range(20)]
     stream, whole = dropped(spark, tmp_path, split(data, 4), EAV)
-    folder = str(tmp_path / "run")
-    finish(streams.stream_eav_upsert(stream, folder, as_of="2024-01-20 00:00:00"))
-    got = streams.current_state(spark, folder)
-    want = policy.eav_upsert(whole, whole.limit(0), as_of="2024-01-20 00:00:00")
+    folder, as_of = str(tmp_path / "run"), "2024-01-20 00:00:00"
+    finish(streams.stream_eav_upsert(stream, folder, as_of=as_of))
+    got = streams.current_inventory(spark, folder, whole.schema, as_of=as_of)
+    want = policy.eav_upsert(whole, whole.limit(0), as_of=as_of)
     assert rows(got, "hierarchy", "value") == rows(want, "hierarchy", "value")
-    # only the newest state and the one before it are kept
-    assert len([d for d in os.listdir(f"{folder}/state") if d.startswith("version=")]) == 2
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    keys, schema = ["k"], spark.createDataFrame([], "k string, at long, v string").schema
+    table = UpsertTable(spark, str(tmp_path / "t"), schema, keys, buckets=16)
+    step = newest(keys, ["at"])
+    frame = lambda data: spark.createDataFrame(data, schema)
+    assert table.read().count() == 0 and table.merge(frame([]), step) == []
+    table.merge(frame([(f"k{n}", 0, "old") for n in range(60)] + [(None, 0, "null key")]), step)
+    before = files_of(tmp_path / "t")
+    batch = frame([("k7", 5, "new")])
+    assert len(table.merge(batch, step)) == 1
+    after = files_of(tmp_path / "t")
+    changed = {name.split("/")[0] for name, _ in set(before.items()) ^ set(after.items())}
+    assert len(changed) == 1
+    want = sorted([(f"k{n}", 0, "old") for n in range(60) if n != 7] + [("k7", 5, "new"), (None, 0, "null key")], key=repr)
+    assert rows(table.read()) == want
+    # the batch again, and an older row: nothing changes
+    table.merge(batch, step)
+    table.merge(frame([("k7", 1, "late")]), step)
+    assert rows(table.read()) == want
+    # a bucket may lose all its rows
+    table.merge(frame([(k, 9, None) for k, _, _ in want if k]), lambda old, new: newest(keys, ["at"])(old, new).filter("v IS NOT NULL"))
+    assert rows(table.read()) == [(None, 0, "null key")]
+    assert rows(UpsertTable(spark, str(tmp_path / "t"), schema, keys, buckets=16).read()) == [(None, 0, "null key")]
 
 
 CHECK = "instance_guid string, check string, object string, checked_at timestamp, seq long, state string"
@@ -109,6 +174,17 @@ def test_transitions_across_batches(spark, tmp_path):
     assert rows(got, "object", "seq", "previous_state", "state") == rows(want, "object", "seq", "previous_state", "state")
 
 
+def test_a_restart_from_known_results_repeats_no_change(spark, tmp_path):
+    early = [("i", "c", o, START + timedelta(minutes=n), n, s) for n, (o, s) in enumerate((("a", "OK"), ("b", "WARNING"), ("a", "CRITICAL")))]
+    late = [("i", "c", o, START + timedelta(minutes=10 + n), n, s) for n, (o, s) in enumerate((("a", "CRITICAL"), ("b", "OK"), ("new", "OK"), ("a", "OK")))]
+    stale = [("i", "c", "a", START, 0, "WARNING")]
+    stream, _ = dropped(spark, tmp_path, [stale + late[:2], late[2:]], CHECK)
+    known = spark.createDataFrame(early, CHECK)
+    finish(streams.stream_alert_transitions(stream, str(tmp_path / "run"), known))
+    got = spark.read.parquet(str(tmp_path / "run/out"))
+    assert rows(got, "object", "previous_state", "state") == [("a", "CRITICAL", "OK"), ("b", "WARNING", "OK"), ("new", None, "OK")]
+
+
 EVENT = "instance_guid string, event_id long, event_ts timestamp, login_name string, destination_code string"
 
 
@@ -155,15 +231,73 @@ def test_extract_reads_only_what_is_new(spark, tmp_path):
     assert rows(spark.read.parquet(out)) == [(n,) for n in range(5)]
 
 
-def test_rerun_of_a_batch_overwrites_its_own_version(spark, tmp_path):
-    schema = spark.createDataFrame([], "k string, n long").schema
-    state = streams.VersionedState(spark, str(tmp_path / "s"), schema)
-    assert state.before(0).count() == 0
-    state.write(spark.createDataFrame([("a", 1)], schema), 0)
-    for _ in range(2):
-        before = state.before(1)
-        state.write(before.withColumn("n", F.col("n") + 1), 1)
-    assert rows(state.before(2)) == [("a", 2)]
+POLICY = "instance_guid string, name string, failed_login_threshold int, monitoring_period_minutes int, login_failure_alert string"
+
+
+def test_login_totals_equal_the_batch_after_every_batch(spark, tmp_path):
+    r = random.Random(4)
+    policy_rows = [
+        ("i", "_default", 12, 30, "WARNING"), ("i", "Bob", 4, 10, "CRITICAL"), ("i", "off", 0, 10, "WARNING"),
+        ("i", "idle", 3, 0, "WARNING"), ("i", "wide", 30, 90, "WARNING"), ("j", "_default", 1, 5, "CRITICAL"), ("k", "eve", 1, 5, "CRITICAL"),
+    ]
+    data = [
+        (g, n, START + timedelta(seconds=20 * n + r.randint(0, 300)), r.choice(("bob", "BOB", "off", "idle", "wide", "eve")), r.choice(("0x0000001c", "0x00000002")))
+        for n in range(300) for g in ("i", "j", "k") if g == "i" or n % 4 == 0
+    ]
+    batches = split(data, 4)
+    stream, whole = dropped(spark, tmp_path, batches, EVENT)
+    limits = spark.createDataFrame(policy_rows, POLICY)
+    folder = str(tmp_path / "run")
+    finish(streams.stream_login_totals(stream, limits, folder))
+    for n in range(4):
+        seen = spark.createDataFrame([d for b in batches[: n + 1] for d in b], EVENT)
+        report = spark.read.parquet(f"{folder}/out/batch={n}")
+        as_of = report.first()["as_of"]
+        newest_failure = max(d[2] for b in batches[: n + 1] for d in b if d[4] == "0x0000001c")
+        assert as_of == newest_failure.replace(second=0, microsecond=0) + timedelta(minutes=1)
+        assert rows(report.drop("as_of")) == rows(checks.login_totals(seen, limits, as_of=as_of))
+    names = {name for (name,) in rows(report.filter("instance_guid = 'i'"), "name")}
+    assert {"_Total", "Bob", "wide"} == names  # off and idle are switched off
+    assert rows(streams.latest_totals(spark, folder)) == rows(report)
+    # at any whole minute within reach, and an instance without a default isn't watched
+    at = as_of - timedelta(minutes=3)
+    before = whole.filter(F.col("event_ts") < F.lit(at))
+    got = streams.LoginMinutes(spark, folder).totals(limits, at)
+    assert rows(got) == rows(checks.login_totals(before, limits, as_of=at))
+    assert got.filter("instance_guid = 'k'").count() == 0
+
+
+def test_counter_state_follows_the_keys_touched(spark, tmp_path):
+    """A batch that touches one series writes one key of state."""
+    first = [("i", 0, START, "o", f"N{k}", "", 1, charts.INSTANT, 0) for k in range(60)]
+    second = [("i", 1, START + timedelta(seconds=5), "o", "N7", "", 4, charts.INSTANT, 5)]
+    stream, _ = dropped(spark, tmp_path, [first, second], SAMPLE)
+    query = streams.stream_counter_rate(stream, str(tmp_path / "run"))
+    finish(query)
+    updated = [sum(o.numRowsUpdated for o in p.stateOperators) for p in query.recentProgress if p.numInputRows]
+    assert updated[0] >= 60 and updated[1] <= 5
+    assert rows(spark.read.parquet(str(tmp_path / "run/out")), "counter_name", "val") == [("N7", Decimal("4.00"))]
+
+
+def test_silent_series_are_forgotten(spark, tmp_path):
+    sample = lambda n, name, value: ("i", n, START + timedelta(hours=n), "o", name, "", value, charts.INSTANT, n)
+    batches = [[sample(0, "a", 1), sample(0, "b", 1)], [sample(20, "b", 2)], [sample(30, "b", 3)], [sample(31, "a", 4), sample(31, "b", 4)]]
+    stream, _ = dropped(spark, tmp_path, batches, SAMPLE)
+    finish(streams.stream_counter_rate(stream, str(tmp_path / "run"), ttl_days=1, watermark="1 hour"))
+    got = rows(spark.read.parquet(str(tmp_path / "run/out")), "counter_name", "seq")
+    assert got == [("b", 20), ("b", 30), ("b", 31)]
+
+
+def test_a_base_may_come_in_the_batch_before_its_counter(spark, tmp_path):
+    sample = lambda n, name, kind, value: ("i", n, START + timedelta(seconds=n), "o", name, "", value, kind, n)
+    batches = [
+        [sample(0, "X Ratio", charts.RATIO, 5), sample(0, "X Ratio Base", charts.BASE, 10)],
+        [sample(1, "X Ratio Base", charts.BASE, 20)],
+        [sample(1, "X Ratio", charts.RATIO, 5), sample(0, "X Ratio", charts.RATIO, 1)],
+    ]
+    stream, _ = dropped(spark, tmp_path, batches, SAMPLE)
+    finish(streams.stream_counter_rate(stream, str(tmp_path / "run")))
+    assert rows(spark.read.parquet(str(tmp_path / "run/out")), "seq", "val") == [(1, Decimal("25.00"))]
 
 
 @pytest.mark.parametrize("slide", ["5 minutes", None])
