@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut_lineage
 from .semantics import KEY
 
 STATES = ("NA", "OK", "WARNING", "CRITICAL")
@@ -33,10 +34,12 @@ def shaped(check: str, rows: DataFrame) -> DataFrame:
 def with_summary(check: str, rows: DataFrame, summary: DataFrame) -> DataFrame:
     """Rows of a check; instances without any get their summary line as `NA`.
 
-    `summary` has one (instance, message) row per instance.  The instances that
-    do have rows are reduced to a key set before the anti join, so a hot
+    `summary` has one (instance, message) row per instance.  The rows found are
+    written once and read twice, so the history behind them is scanned once.
+    The instances that do have rows are reduced to a key set before the anti join, so a hot
     instance costs one partial aggregate, not a shuffle of its rows.
     """
+    rows = cut_lineage(rows.select(KEY, "object", "message", "state"))
     reported = rows.select(KEY).distinct()
     quiet = summary.join(reported, KEY, "left_anti").select(
         KEY, F.lit(None).cast("string").alias("object"), "message", F.lit("NA").alias("state")

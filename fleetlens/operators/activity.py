@@ -97,12 +97,12 @@ def session_delta(
 
 
 def wait_rollup(waits: DataFrame) -> DataFrame:
-    """Waits per request and type with a rank: blocked first, then most tasks.
+    """Waits per collection, request and type with a rank: blocked first, then most tasks.
 
     The window runs over the distinct wait types of one request, a few hundred
     at most, not over its tasks.
     """
-    request = [KEY, "session_id", "request_id"]
+    request = [KEY, "snapshot_ts", "session_id", "request_id"]
     rolled = waits.filter(F.col("wait_ms") > 0).groupBy(*request, "wait_type").agg(
         F.count("*").alias("tasks"),
         F.min("wait_ms").alias("min_ms"),
@@ -133,9 +133,9 @@ def wait_format(rollup: DataFrame) -> DataFrame:
     one = F.concat(F.lit("("), text("tasks"), F.lit("x: "), times, F.lit("ms)"), F.col("wait_type"))
     return (
         rollup.withColumn("one", one)
-        .groupBy(KEY, "session_id", "request_id")
+        .groupBy(KEY, "snapshot_ts", "session_id", "request_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "one"))).alias("all"))
-        .select(KEY, "session_id", "request_id", F.array_join("all.one", ", ").alias("wait_info"))
+        .select(KEY, "snapshot_ts", "session_id", "request_id", F.array_join("all.one", ", ").alias("wait_info"))
     )
 
 
@@ -153,11 +153,11 @@ def block_leaders(sessions: DataFrame) -> DataFrame:
 
 
 def lock_rollup(locks: DataFrame) -> DataFrame:
-    """Lock requests counted and nested by object.
+    """Lock requests of a collection counted and nested by object.
 
     The inner array is bounded by lock modes times states, not by the locks.
     """
-    at = [KEY, "session_id", "request_id", "database_name", "resource_type", "schema_name", "object_name"]
+    at = [KEY, "snapshot_ts", "session_id", "request_id", "database_name", "resource_type", "schema_name", "object_name"]
     is_database = F.col("resource_type") == "DATABASE"
     placed = locks.withColumn(
         "object_name",
@@ -173,8 +173,8 @@ def lock_rollup(locks: DataFrame) -> DataFrame:
 
 
 def tran_log_rollup(tran_log: DataFrame) -> DataFrame:
-    """Log records, kB, first write and implicit flag per request and database."""
-    return tran_log.groupBy(KEY, "session_id", "request_id", "database_name").agg(
+    """Log records, kB, first write and implicit flag per collection, request and database."""
+    return tran_log.groupBy(KEY, "snapshot_ts", "session_id", "request_id", "database_name").agg(
         F.coalesce(F.sum("log_records"), F.lit(0)).alias("log_record_count"),
         F.floor(F.coalesce(F.sum("log_bytes"), F.lit(0)) / 1024).cast("long").alias("log_kb_used"),
         F.min("begin_time").alias("transaction_start_time"),
@@ -188,7 +188,7 @@ def tran_log_format(rollup: DataFrame) -> DataFrame:
         F.coalesce("database_name", F.lit("(null)")), F.lit(": "), F.col("log_record_count").cast("string"),
         F.lit(" ("), F.col("log_kb_used").cast("string"), F.lit(" kB)"),
     )
-    request = [KEY, "session_id", "request_id"]
+    request = [KEY, "snapshot_ts", "session_id", "request_id"]
     totals = rollup.groupBy(*request).agg(
         F.min("transaction_start_time").alias("transaction_start_time"),
         F.max("implicit_tran").alias("implicit_tran"),

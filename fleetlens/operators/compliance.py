@@ -22,7 +22,7 @@ RULES: tuple[tuple[str, str, bool], ...] = (
     ("2.7", "Set the Remote Admin Connections Server Configuration Option to 0", True),
     ("2.8", "Set the Scan For Startup Procs Server Configuration Option to 0", True),
     ("2.9", "Set the Trustworthy Database Property to Off", True),
-    ("2.10", "Disable Unnecessary SQL Server Protocols", False),
+    ("2.10", "Disable Unnecessary SQL Server Protocols – ‘Shared Memory and TCP/IP Protocol is enabled’", False),
     ("2.11", "Configure SQL Server to use non-standard ports", False),
     ("2.12", "Set the Hide Instance option to Yes for Production SQL Server instances", True),
     ("2.13", "Disable the sa Login Account", True),
@@ -31,13 +31,13 @@ RULES: tuple[tuple[str, str, bool], ...] = (
     ("2.16", "Ensure no login exists with the name 'sa'", True),
     ("2.17", "Set 'clr strict security' Server Configuration Option to 1", True),
     ("3.1", "Set The Server Authentication Property To Windows Authentication mode", True),
-    ("3.2", "Revoke CONNECT permissions on the guest user within all SQL Server databases", True),
+    ("3.2", "Revoke CONNECT permissions on the guest user within all SQL Server databases excluding the master, msdb and tempdb", True),
     ("3.3", "Drop Orphaned Users From SQL Server Databases", True),
     ("3.4", "Do not use SQL Authentication in contained databases", True),
     ("3.5", "Ensure the SQL Server's MSSQL Service Account is Not an Administrator", True),
     ("3.6", "Ensure the SQL Server's SQLAgent Service Account is Not an Administrator", True),
     ("3.7", "Ensure the SQL Server's Full-Text Service Account is Not an Administrator", True),
-    ("3.8", "Ensure only the default permissions are granted to the public server role", True),
+    ("3.8", "Ensure only the default permissions specified by Microsoft are granted to the public server role", True),
     ("3.9", "Ensure Windows BUILTIN groups are not SQL Logins", True),
     ("3.10", "Ensure Windows local groups are not SQL Logins", True),
     ("3.11", "Ensure the public role in the msdb database is not granted access to SQL Agent proxies", True),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import KEY, clean_text, pages_to_mb, quote_name
-from ..plans.fixpoint import closure
+from ..plans.fixpoint import closure, reachable
 from ..plans.nesting import nest
 
 # fixed values: schedule vocabulary
@@ -331,13 +331,27 @@ def fact_mirroring(mirror_state: DataFrame) -> DataFrame:
     )
 
 
+#: Publication settings given as they are; passwords aren't collected.
+PUBLICATION_SETTINGS = (
+    "enabled_for_internet", "immediate_sync_ready", "allow_queued_tran", "allow_sync_tran", "autogen_sync_procs",
+    "snapshot_in_defaultfolder", "alt_snapshot_folder", "pre_snapshot_script", "post_snapshot_script", "compress_snapshot",
+    "ftp_address", "ftp_port", "ftp_subdirectory", "ftp_login", "allow_dts", "allow_anonymous", "centralized_conflicts",
+    "conflict_retention", "backward_comp_level", "independent_agent", "immediate_sync", "allow_push", "allow_pull",
+    "retention", "allow_subscription_copy", "allow_initialize_from_backup", "replicate_ddl",
+)
+ARTICLE_SETTINGS = (
+    "dest_owner", "dest_object_name", "filter_clause", "ins_cmd", "upd_cmd", "del_cmd", "ins_scripting_proc",
+    "upd_scripting_proc", "del_scripting_proc", "custom_script", "fire_triggers_on_snapshot",
+)
+
+
 def fact_replication_publisher(
     publications: DataFrame, articles: DataFrame, subscriptions: DataFrame
 ) -> DataFrame:
-    """Publications with decoded codes, articles and distinct subscribers."""
+    """Publications with their settings, decoded codes, articles and distinct subscribers."""
     shipped = articles.select(
         KEY, "publication_id", "name", "article_type",
-        decoded(F.col("pre_creation_cmd"), PRE_CREATION).alias("pre_creation_cmd"),
+        decoded(F.col("pre_creation_cmd"), PRE_CREATION).alias("pre_creation_cmd"), *ARTICLE_SETTINGS,
     )
     subscribers = subscriptions.filter(F.col("srvid") >= 0).select(
         KEY, "publication_id", F.col("srvname").alias("dest_server"), "dest_db", "login_name",
@@ -347,13 +361,12 @@ def fact_replication_publisher(
         KEY, "publication_id", "publication_db", "publication_name", "description",
         decoded(F.col("repl_freq"), REPLICATION_FREQUENCY).alias("repl_freq"),
         decoded(F.col("sync_method"), SYNC_METHOD).alias("sync_method"),
-        decoded(F.col("conflict_policy"), CONFLICT_POLICY).alias("conflict_policy"),
-        "retention",
+        decoded(F.col("conflict_policy"), CONFLICT_POLICY).alias("conflict_policy"), *PUBLICATION_SETTINGS,
     )
     return nest(
         parent, [KEY, "publication_id"],
         {
-            "articles": (shipped, ["name", "article_type", "pre_creation_cmd"]),
+            "articles": (shipped, ["name", "article_type", "pre_creation_cmd", *ARTICLE_SETTINGS]),
             "subscribers": (subscribers, ["dest_server", "dest_db", "login_name", "subscription_type"]),
         },
     )
@@ -405,11 +418,14 @@ SQL_LOGIN_PROPERTIES = (
 
 def fact_security(
     principals: DataFrame, server_role_members: DataFrame, permissions: DataFrame,
-    group_members: DataFrame, database_principals: DataFrame,
+    group_members: DataFrame, database_principals: DataFrame, database_role_members: DataFrame,
 ) -> DataFrame:
     """Logins with roles, permissions, members and database roles.
 
-    Database users whose login is gone appear as `DB_ORPHANED`.
+    Database users whose login is gone appear as `DB_ORPHANED`.  A user's database
+    roles are those of `database_principals` and all that these are members of,
+    directly or through others: `database_role_members` has (database_name, member_role,
+    role_name), and roles are closed within each database once, for all users.
     """
     logins = principals.filter(F.col("type_desc") != "SERVER_ROLE")
     in_databases = database_principals.select(KEY, "sid").distinct().withColumn("in_database", F.lit(True))
@@ -434,7 +450,13 @@ def fact_security(
         ).otherwise(""),
     )
     known_sids = logins.filter(F.col("sid").isNotNull()).select(KEY, "sid", "principal_id")
-    database_roles = database_principals.join(known_sids, [KEY, "sid"], "left").select(
+    at = [KEY, "database_name"]
+    nested = reachable(
+        database_role_members.select(*at, F.col("member_role").alias("source"), F.col("role_name").alias("target")), at
+    )
+    further = database_principals.withColumnRenamed("role_name", "source").join(nested, [*at, "source"]).drop("source")
+    held = database_principals.unionByName(further.withColumnRenamed("target", "role_name")).distinct()
+    database_roles = held.join(known_sids, [KEY, "sid"], "left").select(
         KEY,
         F.coalesce(
             F.concat(F.lit("login:"), F.col("principal_id").cast("string")), F.concat(F.lit("sid:"), F.col("sid"))

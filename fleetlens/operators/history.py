@@ -12,6 +12,7 @@ from ..functions.semantics import (
     name_key, pages_to_mb,
 )
 from ..plans.adjacent import next_row
+from ..sources.exchange import expire_snapshots, read_snapshots, write_snapshots
 from .policy import retention_purge
 
 # fixed values: how run states read in the job history
@@ -164,6 +165,24 @@ def stage_capacity_append(
     return retention_purge(both, "__at", as_of=as_of, keep_months=keep).drop("__at")
 
 
+def append_capacity(
+    capacity: DataFrame, path: str, *, as_of: datetime | str, keep_months: int | None = None
+) -> DataFrame:
+    """`stage_capacity_append` on a table of month folders: append, drop what expired, read the rest.
+
+    Retention counts in months.  Kept folders are neither read for the append nor written again;
+    the month the retention ends in is cut when it is read.
+    """
+    keep = 3 if keep_months is None else keep_months
+    spark = capacity.sparkSession
+    write_snapshots(capacity, path, "check_date", period="month")
+    limit = instant(as_of) - F.expr(f"INTERVAL {abs(int(keep))} MONTH")
+    first_day = spark.range(1).select(F.to_date(limit).alias("d")).first()["d"]  # one value
+    expire_snapshots(path, first_day, period="month")
+    rows = read_snapshots(spark, path, capacity.schema, first_day, period="month")
+    return stage_capacity_append(rows, rows.limit(0), as_of=as_of, keep_months=keep_months)
+
+
 def sanitize_message(
     df: DataFrame, messages: DataFrame, text: str, message_id: str, *, sanitize: bool,
     unmatched: str | None = SANITIZED_NOTICE,

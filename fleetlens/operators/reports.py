@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import KEY, MB, agent_timestamp, instant, name_key
 from ..plans.adjacent import previous_row
+from ..plans.fixpoint import cut_lineage
 
 # fixed values: marks of the report parameters
 FREQUENCY_MARK = "Database Backup Frequency (Days)"
@@ -150,6 +151,7 @@ def error_keyword_report(
             F.lit("\r"), F.lit(""),
         ).alias("message"),
     )
+    shown = cut_lineage(shown)  # read for the quiet instances too
     quiet = instances.select(KEY).join(shown.select(KEY).distinct(), KEY, "left_anti").select(
         KEY, now.alias("log_date"), F.lit("").alias("source"),
         F.lit("There are no error log messages").alias("message"),
@@ -162,21 +164,30 @@ def job_failure_report(
 ) -> DataFrame:
     """Failed steps since 06:00, and failed jobs that show no failed step.
 
-    `days` moves the start back.  Job-level rows reach one day further.  Messages
-    are given whole; cutting them is for who shows them.
+    `days` moves the start back.  Job-level rows reach one day further.  Runs after
+    `as_of` aren't known yet.  Messages are given whole; cutting them is for who shows them.
+    The history is scanned once: what may be shown is written, and steps, jobs and
+    quiet instances are told from that.
     """
     now = instant(as_of)
     since = F.date_trunc("DAY", now) + F.expr("INTERVAL 6 HOUR") - F.expr(f"INTERVAL {int(days)} DAY")
     # whole days as numbers, for the scan; the exact instants follow
     first_day = F.date_format(since - F.expr("INTERVAL 1 DAY"), "yyyyMMdd").cast("long")
-    timed = job_history.filter(F.col("run_date") >= first_day).withColumn("run_at", agent_timestamp(F.col("run_date"), F.col("run_time")))
-    steps = timed.filter(
-        ~F.col("run_status").isin(1, 4) & (F.col("step_id") != 0) & (F.col("run_at") >= since)
-    )
-    outcomes = timed.filter(
-        (F.col("run_status") != 1) & (F.col("step_id") == 0)
-        & (F.col("run_at") >= since - F.expr("INTERVAL 1 DAY"))
-    ).join(steps.select(KEY, "job_name").distinct(), [KEY, "job_name"], "left_anti")
+    last_day = F.date_format(now, "yyyyMMdd").cast("long")
+    timed = job_history.filter(F.col("run_date").between(first_day, last_day)).withColumn(
+        "run_at", agent_timestamp(F.col("run_date"), F.col("run_time"))
+    )
+    is_step = ~F.col("run_status").isin(1, 4) & (F.col("step_id") != 0) & (F.col("run_at") >= since)
+    is_outcome = (
+        (F.col("run_status") != 1) & (F.col("step_id") == 0) & (F.col("run_at") >= since - F.expr("INTERVAL 1 DAY"))
+    )
+    recent = cut_lineage(
+        timed.filter((F.col("run_at") <= now) & (is_step | is_outcome)).select(
+            KEY, "job_name", "step_id", "step_name", "run_status", "run_at", "message"
+        )
+    )
+    steps = recent.filter("step_id <> 0")
+    outcomes = recent.filter("step_id = 0").join(steps.select(KEY, "job_name").distinct(), [KEY, "job_name"], "left_anti")
 
     def unquoted(c: Column) -> Column:
         return F.replace(c, F.lit('"'), F.lit("'"))

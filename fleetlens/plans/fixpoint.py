@@ -87,6 +87,27 @@ def closure(start: DataFrame, step: DataFrame, key: str) -> DataFrame:
     return known
 
 
+def reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source, target): all that can be reached within the group of `keys`, by path doubling.
+
+    `edges` has the keys, source and target.  Each round joins the pairs known with
+    themselves, so paths of twice the length are covered: rounds grow with the
+    logarithm of the longest path, and each reads the last table alone.  Cycles
+    add nothing after a while; then the table stops growing.
+    """
+    columns = [*keys, "source", "target"]
+    known = cut_lineage(edges.select(*columns).distinct())
+    size = known.count()
+    while True:
+        ahead = known.select(*keys, F.col("source").alias("target"), F.col("target").alias("reached"))
+        longer = known.join(ahead, [*keys, "target"]).select(*keys, "source", F.col("reached").alias("target"))
+        known = cut_lineage(known.unionByName(longer).distinct())
+        grown = known.count()
+        if grown == size:
+            return known
+        size = grown
+
+
 def _gather(links: DataFrame, key: str, rounds: int) -> DataFrame:
     """Pointer doubling; rows whose `up` is still set afterwards lead to a ring."""
     state = links.select(key, "node", "up", F.lit(1).cast("long").alias("size"))

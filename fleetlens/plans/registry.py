@@ -14,7 +14,9 @@ from ..operators import (
     activity, advice, charts, checks, compliance, facts, history, policy, reports,
 )
 from ..sources.adapters import AS_OF, AS_OF_EVENTS, adapt
-from ..sources.exchange import read_collected, route_by_dataset, shred_events_xml, write_dataset
+from ..sources.exchange import (
+    read_collected, read_collected_xml, route_by_dataset, shred_events_xml, write_dataset, write_snapshots,
+)
 from ..sources.tables import prepare, stream_table
 from ..streaming import streams
 from .fixpoint import run_folder
@@ -311,9 +313,15 @@ def _log_capacity(i: Inputs) -> DataFrame:
 
 
 query("drive_sizes")(lambda i: history.drive_sizes(i("volume_eav"), i("drive_free")))
-query("stage_capacity_append")(
-    lambda i: history.stage_capacity_append(i("stage_capacity"), _log_capacity(i), as_of=AS_OF)
-)
+@query("stage_capacity_append")
+def _(i: Inputs) -> DataFrame:
+    """The staged months are folders of one table; today's rows go to it, expired months from it."""
+    folder = i.scratch()
+    write_snapshots(i("stage_capacity"), folder, "check_date", period="month")
+    return history.append_capacity(_log_capacity(i).select(*i("stage_capacity").columns), folder, as_of=AS_OF)
+
+
+
 query("log_error_pairs")(
     lambda i: history.log_error_pairs(
         i("error_log"), i("messages"), _windows(i, "log_error", AS_OF_EVENTS), sanitize=False
@@ -444,7 +452,7 @@ query("fact_resource_governor")(
 query("fact_security")(
     lambda i: facts.fact_security(
         i("principals"), i("server_role_members"), i("permissions"), i("group_members"),
-        i("database_principals"),
+        i("database_principals"), i("database_role_members"),
     )
 )
 query("role_membership_closure")(
@@ -574,6 +582,21 @@ def _(i: Inputs) -> DataFrame:
     return read_collected(i.spark, write_dataset(rows, i.scratch(), "[log].[command]", "20010802000000"))
 
 
+@query("read_collected_xml")
+def _(i: Inputs) -> DataFrame:
+    """Documents per instance and run, one of them broken off, read back; the broken record is counted apart."""
+    rows = i("command_log").select("instance_guid", "database_name", "command_type", "start_time", "error_number")
+    target = write_dataset(rows, i.scratch(), "[log].[command]", "20010802000000", format="xml")
+    # the first document of one instance, cut in the middle of a row
+    one = rows.filter(F.col("database_name").isNotNull()).orderBy(*rows.columns).limit(1)
+    torn = one.select(F.concat(F.lit("<table><row><database_name>"), "database_name").alias("value"))
+    torn.coalesce(1).write.text(f"{target}/drop=[torn]_logcommand_20010802000000")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "instance_guid")
+    found = read_collected_xml(i.spark, target, schema)
+    broken = found.broken.groupBy("instance_guid", "dataset").agg(F.count("*").alias("broken_records"))
+    return found.rows.withColumn("broken_records", F.lit(0).cast("long")).unionByName(broken, allowMissingColumns=True)
+
+
 @query("write_dataset")
 def _(i: Inputs) -> DataFrame:
     """Folders a write leaves behind, with their rows."""

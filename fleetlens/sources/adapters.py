@@ -365,19 +365,22 @@ ADAPTERS: dict[str, str] = {
                CAST(o_custkey % 5 AS BIGINT), CAST(MAX(o_orderkey) % 2000 AS BIGINT), CAST(o_custkey % 95 AS BIGINT)
         FROM {{orders}} GROUP BY o_custkey""",
     "waits": f"""
-        SELECT {_guid('l_partkey')} AS instance_guid, l_partkey AS session_id, CAST(l_linenumber % 2 AS INT) AS request_id,
+        SELECT {_guid('l_partkey')} AS instance_guid, CASE WHEN l_linenumber % 3 = 0 THEN TIMESTAMP '2000-06-01 00:00:00' ELSE TIMESTAMP '1998-06-01 00:00:00' END AS snapshot_ts,
+               l_partkey AS session_id, CAST(l_linenumber % 2 AS INT) AS request_id,
                CASE WHEN l_tax < 0.01 THEN 'RUNNABLE' WHEN l_returnflag = 'A' THEN 'LCK_M_X' WHEN l_returnflag = 'N' THEN 'PAGEIOLATCH_SH' ELSE 'CXPACKET' END AS wait_type,
                CAST(l_quantity AS BIGINT) * 10 AS wait_ms,
                CASE WHEN l_returnflag = 'A' AND l_quantity > 40 THEN l_suppkey ELSE NULL END AS blocking_session_id
         FROM {{lineitem}}""",
     "locks": f"""
-        SELECT {_guid('l_suppkey')} AS instance_guid, l_suppkey AS session_id, 0 AS request_id, CONCAT('db', CAST(l_suppkey % 20 AS STRING)) AS database_name,
+        SELECT {_guid('l_suppkey')} AS instance_guid, CASE WHEN l_linenumber % 3 = 0 THEN TIMESTAMP '2000-06-01 00:00:00' ELSE TIMESTAMP '1998-06-01 00:00:00' END AS snapshot_ts,
+               l_suppkey AS session_id, 0 AS request_id, CONCAT('db', CAST(l_suppkey % 20 AS STRING)) AS database_name,
                CASE WHEN l_tax < 0.02 THEN 'DATABASE' ELSE 'OBJECT' END AS resource_type,
                CASE WHEN l_tax < 0.02 THEN NULL ELSE CONCAT('t', CAST(l_partkey % 50 AS STRING)) END AS object_name, 'dbo' AS schema_name,
                CASE l_returnflag WHEN 'A' THEN 'X' WHEN 'N' THEN 'S' ELSE 'IX' END AS request_mode, CASE l_linestatus WHEN 'O' THEN 'WAIT' ELSE 'GRANT' END AS request_status
         FROM {{lineitem}}""",
     "tran_log": f"""
-        SELECT {_guid('l_orderkey')} AS instance_guid, l_orderkey AS transaction_id, CAST(l_orderkey % 500 AS BIGINT) AS session_id, 0 AS request_id,
+        SELECT {_guid('l_orderkey')} AS instance_guid, CASE WHEN l_linenumber % 3 = 0 THEN TIMESTAMP '2000-06-01 00:00:00' ELSE TIMESTAMP '1998-06-01 00:00:00' END AS snapshot_ts,
+               l_orderkey AS transaction_id, CAST(l_orderkey % 500 AS BIGINT) AS session_id, 0 AS request_id,
                CONCAT('db', CAST(l_suppkey % 20 AS STRING)) AS database_name, CAST(l_quantity AS BIGINT) AS log_records,
                CAST(FLOOR(l_extendedprice) AS BIGINT) AS log_bytes, l_shipdate AS begin_time,
                CASE l_returnflag WHEN 'A' THEN 'implicit_transaction' ELSE 'user_transaction' END AS name
@@ -415,6 +418,11 @@ ADAPTERS: dict[str, str] = {
                CONCAT('sid', CAST(o_custkey * (1 + o_orderkey % 2 * 24) AS STRING)) AS sid, CONCAT('user_', CAST(o_custkey AS STRING)) AS user_name,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'db_owner' WHEN '2-HIGH' THEN 'db_datareader' ELSE 'db_datawriter' END AS role_name
         FROM {{orders}} GROUP BY o_custkey, o_orderkey % 60, o_orderkey % 2, o_orderpriority""",
+    "database_role_members": f"""
+        SELECT {_guid('o_custkey')} AS instance_guid, CONCAT('db', CAST(o_orderkey % 60 AS STRING)) AS database_name,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'db_owner' WHEN '2-HIGH' THEN 'nested_1' WHEN '3-MEDIUM' THEN 'nested_2' WHEN '5-LOW' THEN 'nested_3' ELSE 'db_datareader' END AS member_role,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'nested_1' WHEN '2-HIGH' THEN 'nested_2' WHEN '3-MEDIUM' THEN 'nested_3' WHEN '5-LOW' THEN 'nested_4' ELSE 'nested_2' END AS role_name
+        FROM {{orders}} WHERE o_custkey % 2 = 0 GROUP BY {_guid('o_custkey')}, o_orderkey % 60, o_orderpriority""",
     "permissions": f"""
         SELECT {_guid('o_custkey')} AS instance_guid, o_custkey AS principal_id, CASE o_orderstatus WHEN 'F' THEN 'GRANT' WHEN 'P' THEN 'DENY' ELSE 'GRANT_WITH_GRANT_OPTION' END AS state_desc,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'VIEW ANY DATABASE' WHEN '2-HIGH' THEN 'CONNECT' WHEN '3-MEDIUM' THEN 'CONTROL SERVER' ELSE 'IMPERSONATE' END AS permission_name,
@@ -578,11 +586,35 @@ ADAPTERS: dict[str, str] = {
         FROM {{part}}""",
     "publications": f"""
         SELECT {_guid('p_partkey')} AS instance_guid, CONCAT('db', CAST(p_partkey % 40 AS STRING)) AS publication_db, p_partkey AS publication_id, p_name AS publication_name, p_type AS description,
-               CAST(p_partkey % 2 AS INT) AS repl_freq, CAST(p_partkey % 5 AS INT) AS sync_method, CAST(1 + p_partkey % 3 AS INT) AS conflict_policy, CAST(p_size AS INT) AS retention
+               CAST(p_partkey % 2 AS INT) AS repl_freq, CAST(p_partkey % 5 AS INT) AS sync_method, CAST(1 + p_partkey % 3 AS INT) AS conflict_policy, CAST(p_size AS INT) AS retention,
+               p_partkey % 2 = 0 AS enabled_for_internet,
+               p_partkey % 3 = 0 AS immediate_sync_ready,
+               p_partkey % 4 = 0 AS allow_queued_tran,
+               p_partkey % 5 = 0 AS allow_sync_tran,
+               p_partkey % 6 = 0 AS autogen_sync_procs,
+               p_partkey % 7 = 0 AS snapshot_in_defaultfolder,
+               p_partkey % 8 = 0 AS compress_snapshot,
+               p_partkey % 9 = 0 AS allow_dts,
+               p_partkey % 10 = 0 AS allow_anonymous,
+               p_partkey % 11 = 0 AS centralized_conflicts,
+               p_partkey % 12 = 0 AS independent_agent,
+               p_partkey % 13 = 0 AS immediate_sync,
+               p_partkey % 14 = 0 AS allow_push,
+               p_partkey % 15 = 0 AS allow_pull,
+               p_partkey % 16 = 0 AS allow_subscription_copy,
+               p_partkey % 17 = 0 AS allow_initialize_from_backup,
+               p_partkey % 18 = 0 AS replicate_ddl,
+               CONCAT('share', CAST(p_size AS STRING)) AS alt_snapshot_folder, CASE WHEN p_partkey % 4 = 0 THEN CONCAT('pre', CAST(p_partkey AS STRING)) ELSE NULL END AS pre_snapshot_script,
+               CASE WHEN p_partkey % 6 = 0 THEN CONCAT('post', CAST(p_partkey AS STRING)) ELSE NULL END AS post_snapshot_script, p_brand AS ftp_address, CAST(21 + p_partkey % 3 AS INT) AS ftp_port,
+               CONCAT('sub', CAST(p_size AS STRING)) AS ftp_subdirectory, CONCAT('login ', CAST(p_partkey % 9 AS STRING)) AS ftp_login, CAST(p_size * 2 AS INT) AS conflict_retention, CAST(10 + p_partkey % 9 AS INT) AS backward_comp_level
         FROM {{part}}""",
     "articles": f"""
         SELECT {_guid('l_partkey')} AS instance_guid, l_partkey AS publication_id, CONCAT('article ', CAST(l_suppkey AS STRING)) AS name, 'USER_TABLE' AS article_type,
-               CAST(MIN(l_linenumber) % 4 AS INT) AS pre_creation_cmd
+               CAST(MIN(l_linenumber) % 4 AS INT) AS pre_creation_cmd, CASE WHEN l_suppkey % 2 = 0 THEN 'dbo' ELSE 'repl' END AS dest_owner, CONCAT('t', CAST(l_suppkey AS STRING)) AS dest_object_name,
+               CASE WHEN l_suppkey % 5 = 0 THEN CONCAT('id > ', CAST(l_partkey AS STRING)) ELSE NULL END AS filter_clause, CONCAT('CALL ins_', CAST(l_suppkey AS STRING)) AS ins_cmd,
+               CONCAT('CALL upd_', CAST(l_suppkey AS STRING)) AS upd_cmd, CASE WHEN l_suppkey % 3 = 0 THEN 'NONE' ELSE 'CALL del' END AS del_cmd, CASE WHEN l_suppkey % 7 = 0 THEN 'gen_ins' ELSE NULL END AS ins_scripting_proc,
+               CASE WHEN l_suppkey % 8 = 0 THEN 'gen_upd' ELSE NULL END AS upd_scripting_proc, CASE WHEN l_suppkey % 9 = 0 THEN 'gen_del' ELSE NULL END AS del_scripting_proc,
+               CASE WHEN l_suppkey % 4 = 0 THEN 'custom' ELSE NULL END AS custom_script, l_suppkey % 6 = 0 AS fire_triggers_on_snapshot
         FROM {{lineitem}} GROUP BY l_partkey, l_suppkey""",
     "subscriptions": f"""
         SELECT {_guid('l_partkey')} AS instance_guid, l_partkey AS publication_id, CAST(l_suppkey % 3 - 1 AS INT) AS srvid, CONCAT('SRV', CAST(l_suppkey % 3 AS STRING)) AS srvname,

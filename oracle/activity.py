@@ -13,13 +13,13 @@ SELECT b.instance_guid, b.session_id, b.request_id, {ts('b.start_time')} AS star
   {', '.join(f"CASE WHEN a.start_time = b.start_time AND b.{m} - a.{m} >= 0 THEN b.{m} - a.{m} END AS {m}_delta" for m in _M)}
 FROM b LEFT JOIN a USING (instance_guid, session_id, request_id)""")
 
-WAITS = """, w AS (SELECT instance_guid, session_id, request_id, wait_type, count(*) AS tasks, min(wait_ms) AS min_ms, CAST(sum(wait_ms) // count(*) AS BIGINT) AS avg_ms, max(wait_ms) AS max_ms,
-    bool_or(blocking_session_id IS NOT NULL) AS is_blocked FROM waits WHERE wait_ms > 0 GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY instance_guid, session_id, request_id ORDER BY is_blocked DESC, tasks DESC, wait_type) AS rank FROM w)"""
-sql("wait_rollup", "waits", WAITS + " SELECT * FROM r")
-sql("wait_format", "waits", WAITS + """
-SELECT instance_guid, session_id, request_id, string_agg('(' || tasks || 'x: ' || CASE WHEN tasks = 1 THEN CAST(min_ms AS VARCHAR) WHEN tasks = 2 THEN min_ms || '/' || max_ms ELSE min_ms || '/' || avg_ms || '/' || max_ms END
-  || 'ms)' || wait_type, ', ' ORDER BY rank) AS wait_info FROM r GROUP BY 1, 2, 3""")
+WAITS = """, w AS (SELECT instance_guid, snapshot_ts, session_id, request_id, wait_type, count(*) AS tasks, min(wait_ms) AS min_ms, CAST(sum(wait_ms) // count(*) AS BIGINT) AS avg_ms, max(wait_ms) AS max_ms,
+    bool_or(blocking_session_id IS NOT NULL) AS is_blocked FROM waits WHERE wait_ms > 0 GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY instance_guid, snapshot_ts, session_id, request_id ORDER BY is_blocked DESC, tasks DESC, wait_type) AS rank FROM w)"""
+sql("wait_rollup", "waits", WAITS + f" SELECT * REPLACE ({ts('snapshot_ts')} AS snapshot_ts) FROM r")
+sql("wait_format", "waits", WAITS + f"""
+SELECT instance_guid, {ts('snapshot_ts')} AS snapshot_ts, session_id, request_id, string_agg('(' || tasks || 'x: ' || CASE WHEN tasks = 1 THEN CAST(min_ms AS VARCHAR) WHEN tasks = 2 THEN min_ms || '/' || max_ms ELSE min_ms || '/' || avg_ms || '/' || max_ms END
+  || 'ms)' || wait_type, ', ' ORDER BY rank) AS wait_info FROM r GROUP BY 1, 2, 3, 4""")
 
 sql("block_leaders", "sessions", f"""
 , s AS (SELECT DISTINCT instance_guid, snapshot_ts, session_id, blocking_session_id FROM sessions),
@@ -29,18 +29,18 @@ SELECT instance_guid, {ts('snapshot_ts')} AS snapshot_ts, top AS session_id, cou
 
 sql("lock_rollup", "locks", """
 , p AS (SELECT * REPLACE (CASE WHEN resource_type <> 'DATABASE' THEN coalesce(object_name, '(null)') END AS object_name, CASE WHEN resource_type <> 'DATABASE' THEN schema_name END AS schema_name) FROM locks),
-c AS (SELECT instance_guid, session_id, request_id, database_name, resource_type, schema_name, object_name, request_mode, request_status, count(*) AS request_count FROM p GROUP BY ALL)
-SELECT instance_guid, session_id, request_id, database_name, resource_type, schema_name, object_name, CAST(sum(request_count) AS BIGINT) AS request_count,
+c AS (SELECT instance_guid, snapshot_ts, session_id, request_id, database_name, resource_type, schema_name, object_name, request_mode, request_status, count(*) AS request_count FROM p GROUP BY ALL)
+SELECT instance_guid, strftime(snapshot_ts, '%Y-%m-%d %H:%M:%S.%f') AS snapshot_ts, session_id, request_id, database_name, resource_type, schema_name, object_name, CAST(sum(request_count) AS BIGINT) AS request_count,
   CAST(to_json(list({'request_mode': c.request_mode, 'request_status': c.request_status, 'request_count': c.request_count} ORDER BY c.request_mode, c.request_status)) AS VARCHAR) AS locks
-FROM c GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+FROM c GROUP BY c.snapshot_ts, 1, 2, 3, 4, 5, 6, 7, 8""")
 
-TRAN = """, t AS (SELECT instance_guid, session_id, request_id, database_name, CAST(sum(log_records) AS BIGINT) AS log_record_count, CAST(sum(log_bytes) // 1024 AS BIGINT) AS log_kb_used, min(begin_time) AS transaction_start_time,
-  max(CASE WHEN name = 'implicit_transaction' THEN 1 ELSE 0 END) AS implicit_tran FROM tran_log GROUP BY 1, 2, 3, 4)"""
-sql("tran_log_rollup", "tran_log", TRAN + f" SELECT * REPLACE ({ts('transaction_start_time')} AS transaction_start_time) FROM t")
+TRAN = """, t AS (SELECT instance_guid, snapshot_ts, session_id, request_id, database_name, CAST(sum(log_records) AS BIGINT) AS log_record_count, CAST(sum(log_bytes) // 1024 AS BIGINT) AS log_kb_used, min(begin_time) AS transaction_start_time,
+  max(CASE WHEN name = 'implicit_transaction' THEN 1 ELSE 0 END) AS implicit_tran FROM tran_log GROUP BY 1, 2, 3, 4, 5)"""
+sql("tran_log_rollup", "tran_log", TRAN + f" SELECT * REPLACE ({ts('transaction_start_time')} AS transaction_start_time, {ts('snapshot_ts')} AS snapshot_ts) FROM t")
 sql("tran_log_format", "tran_log", TRAN + f"""
 , l AS (SELECT *, database_name || ': ' || log_record_count || ' (' || log_kb_used || ' kB)' AS line FROM t)
-SELECT instance_guid, session_id, request_id, line AS tran_log_write, {ts('min(transaction_start_time) OVER r')} AS transaction_start_time, max(implicit_tran) OVER r AS implicit_tran FROM l
-WINDOW r AS (PARTITION BY instance_guid, session_id, request_id)""")
+SELECT instance_guid, {ts('snapshot_ts')} AS snapshot_ts, session_id, request_id, line AS tran_log_write, {ts('min(transaction_start_time) OVER r')} AS transaction_start_time, max(implicit_tran) OVER r AS implicit_tran FROM l
+WINDOW r AS (PARTITION BY instance_guid, l.snapshot_ts, session_id, request_id)""")
 
 sql("avg_elapsed", "requests statement_stats", """
 SELECT r.instance_guid, r.request_id, r.statement_id, s.total_elapsed_ms // nullif(s.execution_count, 0) AS avg_elapsed_ms FROM requests r LEFT JOIN statement_stats s USING (instance_guid, statement_id)""")

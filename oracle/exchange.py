@@ -6,6 +6,9 @@ from .common import ORACLE, clean, iso, sql, ts
 
 sql("read_collected", "command_log", f"""
 SELECT instance_guid, database_name, command_type, {ts('start_time')} AS start_time, error_number, 'logcommand' AS dataset FROM command_log""")
+sql("read_collected_xml", "command_log", f"""
+SELECT instance_guid, database_name, command_type, {ts('start_time')} AS start_time, error_number, 'logcommand' AS dataset, 0 AS broken_records FROM command_log
+UNION ALL SELECT 'torn', NULL, NULL, NULL, NULL, 'logcommand', 1""")
 sql("write_dataset", "job_activity", """
 SELECT '[' || instance_guid || ']_logjobactivity_20010802000000' AS "drop", count(*) AS "rows" FROM job_activity GROUP BY 1""")
 sql("route_by_dataset", "file_names", """

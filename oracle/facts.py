@@ -108,14 +108,16 @@ sql("fact_mirroring", "mirror_state", """
 SELECT instance_guid, database_name, mirroring_role_desc, mirroring_safety_level_desc, mirroring_partner_instance, mirroring_partner_name, mirroring_witness_name FROM mirror_state WHERE mirroring_guid IS NOT NULL""")
 
 sql("fact_replication_publisher", "publications articles subscriptions", """
-, a0 AS (SELECT instance_guid, publication_id, name, article_type, CASE pre_creation_cmd WHEN 0 THEN 'None' WHEN 1 THEN 'Drop' WHEN 2 THEN 'Delete' WHEN 3 THEN 'Truncate' END AS pre_creation_cmd FROM articles),
+, a0 AS (SELECT instance_guid, publication_id, name, article_type, CASE pre_creation_cmd WHEN 0 THEN 'None' WHEN 1 THEN 'Drop' WHEN 2 THEN 'Delete' WHEN 3 THEN 'Truncate' END AS pre_creation_cmd,
+  dest_owner, dest_object_name, filter_clause, ins_cmd, upd_cmd, del_cmd, ins_scripting_proc, upd_scripting_proc, del_scripting_proc, custom_script, fire_triggers_on_snapshot FROM articles),
 s0 AS (SELECT DISTINCT instance_guid, publication_id, srvname AS dest_server, dest_db, login_name, CASE subscription_type WHEN 0 THEN 'Push' WHEN 1 THEN 'Pull' END AS subscription_type FROM subscriptions WHERE srvid >= 0)"""
-    + children("a", "a0", "instance_guid, publication_id", "name, article_type, pre_creation_cmd")
+    + children("a", "a0", "instance_guid, publication_id", "name, article_type, pre_creation_cmd, dest_owner, dest_object_name, filter_clause, ins_cmd, upd_cmd, del_cmd, ins_scripting_proc, upd_scripting_proc, del_scripting_proc, custom_script, fire_triggers_on_snapshot")
     + children("s", "s0", "instance_guid, publication_id", "dest_server, dest_db, login_name, subscription_type") + f"""
 SELECT p.instance_guid, p.publication_id, publication_db, publication_name, description, CASE repl_freq WHEN 0 THEN 'Transactional' WHEN 1 THEN 'Snapshot' END AS repl_freq,
   CASE sync_method WHEN 0 THEN 'Native bulk copy program utility (BCP)' WHEN 1 THEN 'Character BCP' WHEN 3 THEN 'Concurrent, which means that native BCP is used but tables are not locked during the snapshot'
     WHEN 4 THEN 'Concurrent_c, which means that character BCP is used but tables are not locked during the snapshot' END AS sync_method,
-  CASE conflict_policy WHEN 1 THEN 'Publisher wins the conflict' WHEN 2 THEN 'Subscriber wins the conflict' WHEN 3 THEN 'Subscription is reinitialized' END AS conflict_policy, retention, {OWN}
+  CASE conflict_policy WHEN 1 THEN 'Publisher wins the conflict' WHEN 2 THEN 'Subscriber wins the conflict' WHEN 3 THEN 'Subscription is reinitialized' END AS conflict_policy,
+  enabled_for_internet, immediate_sync_ready, allow_queued_tran, allow_sync_tran, autogen_sync_procs, snapshot_in_defaultfolder, alt_snapshot_folder, pre_snapshot_script, post_snapshot_script, compress_snapshot, ftp_address, ftp_port, ftp_subdirectory, ftp_login, allow_dts, allow_anonymous, centralized_conflicts, conflict_retention, backward_comp_level, independent_agent, immediate_sync, allow_push, allow_pull, retention, allow_subscription_copy, allow_initialize_from_backup, replicate_ddl, {OWN}
 FROM publications p""" + of_kind("publications", "instance_guid, publication_id", articles="a", subscribers="s"))
 sql("fact_replication_subscriber", "replication_subscriptions", " SELECT * FROM replication_subscriptions")
 
@@ -124,10 +126,12 @@ sql("fact_resource_governor", "governor_config resource_pools workload_groups",
     + children("g", "workload_groups", "instance_guid", "group_id, name, importance")
     + f" SELECT *, {OWN} FROM governor_config" + of_kind("governor_config", "instance_guid", resource_pools="p", workload_groups="g"))
 
-sql("fact_security", "principals server_role_members permissions group_members database_principals", f"""
+sql("fact_security", "principals server_role_members permissions group_members database_principals database_role_members", f"""
+, RECURSIVE_MARK up AS (SELECT instance_guid, database_name, sid, user_name, role_name FROM database_principals
+  UNION SELECT u.instance_guid, u.database_name, u.sid, u.user_name, m.role_name FROM up u JOIN database_role_members m ON m.instance_guid = u.instance_guid AND m.database_name = u.database_name AND m.member_role = u.role_name)
 , l AS (SELECT * FROM principals WHERE type_desc <> 'SERVER_ROLE'),
 gm AS (SELECT instance_guid, 'login:' || principal_id AS entry, account_name FROM group_members),
-dr AS (SELECT d.instance_guid, coalesce('login:' || l.principal_id, 'sid:' || d.sid) AS entry, database_name, user_name, role_name FROM database_principals d LEFT JOIN l ON l.instance_guid = d.instance_guid AND l.sid = d.sid),
+dr AS (SELECT d.instance_guid, coalesce('login:' || l.principal_id, 'sid:' || d.sid) AS entry, database_name, user_name, role_name FROM up d LEFT JOIN l ON l.instance_guid = d.instance_guid AND l.sid = d.sid),
 par AS (SELECT coalesce(l.instance_guid, d.instance_guid) AS instance_guid, coalesce('login:' || l.principal_id, 'sid:' || d.sid) AS entry, l.* EXCLUDE (instance_guid)
   FROM l FULL JOIN (SELECT DISTINCT instance_guid, sid FROM database_principals) d ON d.instance_guid = l.instance_guid AND d.sid = l.sid),
 ro0 AS (SELECT instance_guid, 'login:' || principal_id AS entry, role_name FROM server_role_members),

@@ -41,8 +41,8 @@ SELECT * FROM s UNION ALL SELECT instance_guid, {ts(NOW_EV)}, '', 'There are no
 def failures(now: str, days: int) -> str:
     return f"""
 , t AS (SELECT *, make_timestamp(run_date // 10000, run_date // 100 % 100, run_date % 100, run_time // 10000, run_time // 100 % 100, CAST(run_time % 100 AS DOUBLE)) AS run_at FROM job_history),
-a AS (SELECT *, message AS msg FROM t WHERE run_status NOT IN (1, 4) AND step_id <> 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days} DAY),
-b AS (SELECT *, message AS msg FROM t WHERE run_status <> 1 AND step_id = 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days + 1} DAY
+a AS (SELECT *, message AS msg FROM t WHERE run_status NOT IN (1, 4) AND step_id <> 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days} DAY AND run_at <= {now}),
+b AS (SELECT *, message AS msg FROM t WHERE run_status <> 1 AND step_id = 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days + 1} DAY AND run_at <= {now}
   AND NOT EXISTS (SELECT 1 FROM a WHERE a.instance_guid = t.instance_guid AND a.job_name = t.job_name)),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT instance_guid, replace(job_name, '"', '''') AS job_name, step_id, replace(step_name, '"', '''') AS step_name,

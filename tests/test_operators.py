@@ -552,7 +552,11 @@ def test_wait_texts(spark):
          *[("i", 1, 0, "MANY", n, None) for n in (1, 2, 4)], ("i", 1, 0, "LCK", 7, 2), ("i", 1, 0, "ZERO", 0, None)],
         "instance_guid string, session_id int, request_id int, wait_type string, wait_ms long, blocking_session_id int",
     )
-    got = activity.wait_format(activity.wait_rollup(df)).first()["wait_info"]
+    df = df.withColumn("snapshot_ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    later = df.limit(1).withColumn("snapshot_ts", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    texts = rows(activity.wait_format(activity.wait_rollup(df.unionByName(later))), "snapshot_ts", "wait_info")
+    assert len(texts) == 2  # collections aren't merged
+    got = texts[0][1]
     assert got == "(1x: 7ms)LCK, (3x: 1/2/4ms)MANY, (2x: 3/9ms)TWO, (1x: 5ms)ONE"
 
 
