@@ -11,12 +11,8 @@ from ..plans.fixpoint import cut_lineage
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 8
-#: Share of a text's characters in boilerplate from which on the SQL of op1_line_dedup leaves it whole.
-COPY_SHARE = 0.5
 #: Registers of a sketch are 2^LG_K; the estimate is trusted beyond three standard errors.
 LG_K = 12
-#: Boilerplate lines up to which they are applied as a set within the plan; 8 bytes each.
-FEW_LINES = 5_000
 _ERROR = 3 * 1.04 / math.sqrt(1 << LG_K)
 _BLANK = " \t\r"
 
@@ -36,32 +32,22 @@ def text_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("tkey", F.xxhash64("l").alias("line"))
 
 
-def boilerplate(
-    documents: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", first_site: bool = False
-) -> DataFrame:
+def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
     """(line) hashes of lines that occur on `min_sites` sites or more, in two or more distinct texts.
 
     Every site of every row counts; a line of one text only is no boilerplate,
-    however many sites copy that text.  With `first_site`, a text instead stands
-    on the smallest of its sites alone, and one text is enough: the rule of the
-    SQL of op1_line_dedup.  Each line has a HyperLogLog sketch of its sites,
+    however many sites copy that text.  Each line has a HyperLogLog sketch of its sites,
     built before the shuffle and merged after it; only lines whose estimate is
     within three standard errors of the bound get an exact distinct count.  A
     null site is the site ''.
     """
-    site_of = F.coalesce(F.col(site), F.lit(""))
-    if first_site:
-        first = documents.filter(F.col(text).isNotNull()).groupBy(_key(F.col(text)).alias("tkey")).agg(F.min(site_of).alias("site"))
-        seen = text_lines(documents, text).distinct().join(first, "tkey").select("line", "site")
-        several = F.lit(True)
-    else:
-        lines = documents.select(
-            _key(F.col(text)).alias("tkey"), site_of.alias("site"), F.explode(F.split(F.col(text), "\n")).alias("l")
-        )
-        lines = lines.select("tkey", "site", _trimmed(F.col("l")).alias("l")).filter("l != ''")
-        pairs = lines.groupBy(F.xxhash64("l").alias("line"), "site")
-        seen = pairs.agg(F.min("tkey").alias("low"), F.max("tkey").alias("high"))
-        several = F.min("low") < F.max("high")
+    lines = documents.select(
+        _key(F.col(text)).alias("tkey"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.explode(F.split(F.col(text), "\n")).alias("l")
+    )
+    lines = lines.select("tkey", "site", _trimmed(F.col("l")).alias("l")).filter("l != ''")
+    pairs = lines.groupBy(F.xxhash64("l").alias("line"), "site")
+    seen = pairs.agg(F.min("tkey").alias("low"), F.max("tkey").alias("high"))
+    several = F.min("low") < F.max("high")
     seen = cut_lineage(seen)
     spread = seen.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about"), several.alias("several")
@@ -76,11 +62,9 @@ def boilerplate(
 def dedupe_lines(
     documents: DataFrame,
     min_sites: int = MIN_SITES,
-    copy_share: float | None = None,
     text: str = "text",
     site: str = "source",
     counts: tuple[str, str] = ("n_lines", "n_removed"),
-    first_site: bool = False,
 ) -> DataFrame:
     """`documents` without cross-site boilerplate lines, with the `counts` of lines and of removed ones.
 
@@ -88,38 +72,26 @@ def dedupe_lines(
     lines stay, and so does the order.  The lines go from every text, whatever
     share of it they are.  Only a text that would keep no line, and that other
     rows have word for word, is a copy as a whole, which is for a near-duplicate
-    step: it stays as it is.  With `copy_share`, a text of which that share of
-    characters or more is boilerplate stays instead: the rule of the SQL of
-    op1_line_dedup.  A null text stays null, with no lines; an empty one has one.
+    step: it stays as it is.  A null text stays null, with no lines; an empty one has one.
     All rows and columns come back; columns named like the counts are replaced.
-    `first_site` is that of `boilerplate`.
+
+    The lines to cut come to each text by a join on its hash, however many there are.
     """
-    bad = cut_lineage(boilerplate(documents, min_sites, text, site, first_site))
+    bad = cut_lineage(boilerplate(documents, min_sites, text, site))
     kept = [F.col(f"`{c}`") for c in documents.columns if c not in counts]
-    found = [r.line for r in bad.limit(FEW_LINES + 1).collect()]
-    if len(found) <= FEW_LINES:  # a set within the plan: texts are cut where they are
-        rows = documents.select(*kept)
-        is_bad = lambda line: F.xxhash64(_trimmed(line)).isin(found)
-    else:  # the lines to cut come to each text by a join on its hash
-        hits = text_lines(documents, text).join(bad, "line", "left_semi").distinct()
-        strip = hits.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_list("line").alias("__strip"))
-        rows = documents.select(*kept, _key(F.col(text)).alias("__tkey")).join(strip.hint("merge"), "__tkey", "left")
-        is_bad = lambda line: F.coalesce(F.array_contains("__strip", F.xxhash64(_trimmed(line))), F.lit(False))
-
+    hits = text_lines(documents, text).join(bad, "line", "left_semi").distinct()
+    strip = hits.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_list("line").alias("__strip"))
+    rows = documents.select(*kept, _key(F.col(text)).alias("__tkey")).join(strip.hint("merge"), "__tkey", "left")
     lines = F.split(F.col(text), "\n")
     rest = F.col("__some")
-    rows = rows.withColumn("__some", F.filter(lines, lambda line: ~is_bad(line)))
-    if copy_share is None:
-        emptied = (F.size(rest) < F.size(lines)) & F.forall(rest, lambda line: _trimmed(line) == "")
-        emptied = F.coalesce(emptied, F.lit(False))
-        # only texts that would keep no line are moved, to learn whether they come again
-        again = rows.filter(emptied).groupBy(_key(F.col(text)).alias("__key")).agg((F.count("*") > 1).alias("__copy"))
-        whole = rows.filter(emptied).withColumn("__key", _key(F.col(text))).join(cut_lineage(again), "__key").drop("__key")
-        rows = rows.filter(~emptied).withColumn("__copy", F.lit(False)).unionByName(whole)
-        carrier = (F.size(rest) < F.size(lines)) & ~F.col("__copy")
-    else:
-        size = lambda which: F.aggregate(which, F.lit(0), lambda n, line: n + F.length(_trimmed(line)))
-        carrier = (F.size(rest) < F.size(lines)) & (size(lines) - size(rest) < copy_share * size(lines))
+    good = F.filter(lines, lambda line: ~F.array_contains("__strip", F.xxhash64(_trimmed(line))))
+    rows = rows.withColumn("__some", F.when(F.col("__strip").isNull(), lines).otherwise(good)).drop("__strip")
+    emptied = (F.size(rest) < F.size(lines)) & F.forall(rest, lambda line: _trimmed(line) == "")
+    emptied = F.coalesce(emptied, F.lit(False))
+    # texts that would keep no line are few and short: they learn whether they come again
+    again = rows.filter(emptied).groupBy("__tkey").agg((F.count("*") > 1).alias("__copy"))
+    rows = rows.join(cut_lineage(again.filter("__copy")).hint("merge"), "__tkey", "left")
+    carrier = (F.size(rest) < F.size(lines)) & F.col("__copy").isNull()
     rows = rows.withColumn("__rest", F.when(carrier, rest))
     removed = F.when(F.col("__rest").isNotNull(), F.size(lines) - F.size("__rest")).otherwise(0)
     return rows.select(

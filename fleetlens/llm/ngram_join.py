@@ -28,9 +28,11 @@ from .components import components
 from .joins import join_checked
 from .text import NOT_SPACE, SHINGLE, chunks, mix, texts_of
 
-#: Counters of the token frequencies that order the tokens; a fixed 2^20.
-COUNTERS = 1 << 20
+#: Counters of the token frequencies that order the tokens; a fixed 2^23.
+COUNTERS = 1 << 23
 _BLOCKS = 32
+#: Rounds of grouping, each by a min-hash of its own.
+ROUNDS = 4
 #: Bits of a group's hashed row of the matrix; a class has a finer one too, of twice its tokens.
 BITS = 2048
 _WORDS = BITS // 64
@@ -82,37 +84,43 @@ def _differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
+    at, n = np.unique(np.concatenate(sets) & np.uint64(COUNTERS - 1), return_counts=True)
+    counts[at] += n.astype(np.int32)
+
+
 def _profile(rows: DataFrame, k: int) -> DataFrame:
-    """Per text its class, size, min-hash and bit row; per task the counts of its tokens."""
+    """Per text its class, size, min-hashes and bit row; per task the counts of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
+        counts = np.zeros(COUNTERS, dtype=np.int32)
+        salts = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64))
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("rkey", pa.int64()), ("n", pa.int32()), ("cid", pa.int64()), ("gkey", pa.int64()),
+            [("doc_id", pa.int64()), ("rkey", pa.int64()), ("n", pa.int32()), ("cid", pa.int64()), ("mins", pa.list_(pa.int64())),
              ("bits", pa.list_(pa.int64())), ("fine", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())]
         )
         for batch in batches:
-            n, cid, gkey, bits, fine = [], [], [], [], []
+            n, cid, mins, bits, fine = [], [], [], [], []
             waiting: list[np.ndarray] = []
             for _, tokens in _sets(texts_of(batch.column(2)), k):
                 n.append(len(tokens))
                 cid.append(_class(tokens))
-                gkey.append(int(mix(tokens ^ np.uint64(0xC0FFEE)).min().view(np.int64)) if len(tokens) else 0)
+                mins.append([int(mix(tokens ^ salt).min().view(np.int64)) if len(tokens) else 0 for salt in salts])
                 bits.append(_bits(tokens))
                 fine.append(_fine(tokens))
                 waiting.append(tokens)
                 if len(waiting) == 2000:
-                    counts += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+                    _count(counts, waiting)
                     waiting = []
             if waiting:
-                counts += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+                _count(counts, waiting)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(gkey, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(mins, pa.list_(pa.int64())),
                  pa.array(bits, pa.list_(pa.int64())), pa.array(fine, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
             )
         if counts.any():
-            parts = [zlib.compress(p.astype(np.int32).tobytes(), 1) for p in np.minimum(counts, 2**31 - 1).reshape(_BLOCKS, -1)]
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.minimum(counts, 2**16 - 1).astype(np.uint16).reshape(_BLOCKS, -1)]
             none = pa.nulls(_BLOCKS)
             yield pa.RecordBatch.from_arrays(
                 [*(none.cast(t) for t in schema.types[:7]), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())],
@@ -120,33 +128,35 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
             )
 
     return rows.mapInArrow(
-        run, "doc_id long, rkey long, n int, cid long, gkey long, bits array<long>, fine binary, block int, counts binary"
+        run, "doc_id long, rkey long, n int, cid long, mins array<long>, bits array<long>, fine binary, block int, counts binary"
     )
 
 
 def _token_order(profile: DataFrame) -> np.ndarray:
-    """Frequency class of each counter, 0 for ordinary ones; frequent tokens come last in the order."""
+    """Frequency class of each counter, 0 for ordinary ones; frequent tokens come last in the order.
+
+    The counters are summed and classed by block in tasks; a byte each reaches the driver.
+    """
+    usual = (profile.agg(F.sum("n")).first()[0] or 0) / COUNTERS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), dtype=np.int32).astype(np.int64)
+                part = np.frombuffer(zlib.decompress(counts), dtype=np.uint16).astype(np.int64)
                 sums[block] = sums[block] + part if block in sums else part
-        if sums:
+        for block, total in sums.items():
+            above = np.maximum(total - usual - 3 * math.sqrt(usual) - 4, 0)
+            classes = np.minimum(np.ceil(np.log2(above + 1)), 31).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-                names=["block", "counts"],
+                [pa.array([block], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["block", "classes"]
             )
 
     parts = profile.filter("block is not null").select("block", "counts").repartition(_BLOCKS, "block")
-    total = np.zeros((_BLOCKS, COUNTERS // _BLOCKS), dtype=np.int64)
-    for r in parts.mapInArrow(add, "block int, counts binary").collect():  # a fixed 8 MB
-        total[r.block] = np.frombuffer(r.counts, dtype=np.int64)
-    total = total.ravel()
-    usual = total.mean()
-    above = np.maximum(total - usual - 4 * math.sqrt(usual) - 8, 0)
-    return np.minimum(np.ceil(np.log2(above + 1)), 31).astype(np.uint8)
+    order = np.zeros((_BLOCKS, COUNTERS // _BLOCKS), dtype=np.uint8)
+    for r in parts.mapInArrow(add, "block int, classes binary").toLocalIterator():  # a fixed 8 MB, a block at a time
+        order[r.block] = np.frombuffer(r.classes, dtype=np.uint8)
+    return order.ravel()
 
 
 def _prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -155,7 +165,7 @@ def _prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataF
     `frequent` is how many of them are of a frequency class above 0; those come last.
     """
     schema = "cid long, n long, frequent long, prefix array<long>"
-    held = rows.sparkSession.sparkContext.broadcast(order)  # a fixed 1 MB
+    held = rows.sparkSession.sparkContext.broadcast(order)  # a fixed 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,6 +277,30 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
     return cut_lineage(full.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, shared long"))
 
 
+def _groups(reps: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, (cid, gid) of the groups with more than their leader).
+
+    In each round the leaders left, those of one class included, meet by a min-hash
+    of that round; those that link with the smallest of their min-hash join its group.
+    So a cluster of near copies comes to few groups, and every group is connected.
+    """
+    heads = reps.select("cid", "mins")
+    links, of = None, reps.select("cid", F.col("cid").alias("gid"))
+    for round_ in range(ROUNDS):
+        keyed = heads.select("cid", F.col("mins")[round_].alias("key"))
+        leaders = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("c")).filter("c > 1")
+        meet = keyed.select("key", F.col("cid").alias("b")).join(leaders, "key").filter("a != b").select("a", "b")
+        found = _verified(meet, reps, rows, k, percent)
+        links = found if links is None else links.union(found)
+        if found.isEmpty():
+            continue
+        joined = found.select(F.col("b").alias("gid"), F.col("a").alias("to"))
+        of = cut_lineage(join_checked(of, cut_lineage(joined), ["gid"], "left").select("cid", F.coalesce("to", "gid").alias("gid")))
+        heads = cut_lineage(heads.join(joined.select(F.col("gid").alias("cid")), "cid", "left_anti"))
+    many = of.groupBy("gid").agg(F.count("*").alias("c")).filter("c > 1").select("gid")
+    return links, cut_lineage(of.join(many, "gid", "left_semi").select("cid", "gid"))
+
+
 def classes_and_links(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = 80
 ) -> tuple[DataFrame, DataFrame]:
@@ -280,15 +314,10 @@ def classes_and_links(
     profile = cut_lineage(_profile(rows.select("doc_id", "rkey", "text"), k))
     order = _token_order(profile)
     members = profile.filter("block is null").select("doc_id", "rkey", "n", "cid")
-    reps = profile.filter("n > 0").select("cid", "n", "gkey", "bits", "fine", "rkey").dropDuplicates(["cid"])
+    reps = profile.filter("n > 0").select("cid", "n", "mins", "bits", "fine", "rkey").dropDuplicates(["cid"])
     reps = cut_lineage(reps)
 
-    # groups: a leader, and those of its min-hash that link with it
-    leaders = reps.groupBy("gkey").agg(F.min("cid").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    to_leader = reps.select("gkey", F.col("cid").alias("b")).join(leaders, "gkey").filter("a != b").select("a", "b")
-    star = _verified(to_leader, reps, rows, k, percent)
-    grouped = star.select(F.col("b").alias("cid"), F.col("a").alias("gid")).union(star.select("a", "a").distinct())
-    grouped = cut_lineage(grouped)  # of groups with more than the leader
+    star, grouped = _groups(reps, rows, k, percent)
 
     # the matrix: (token, group), with the sizes of the members that have the token, and how many of a member's tokens
     # are left from it on at most; 21 bits each, which only makes sizes from 2^21 on look alike

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,23 @@ from . import (
     warc,
 )
 
+from .text import bounded_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def keep(build):
-        QUERIES[name] = build
+        @wraps(build)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            bounded_batches(spark)
+            return build(spark, folder)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
-        return build
+        return run
 
     return keep
 
@@ -105,15 +113,16 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LINE_DEDUP_SQL = f"""
-WITH texts AS (SELECT text, min(coalesce(source, '')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
-split AS (SELECT text, site, string_split(text, chr(10)) AS ls FROM texts),
-lines AS (SELECT text, site, generate_subscripts(ls, 1) AS pos, unnest(ls) AS raw FROM split),
+WITH texts AS (SELECT text, count(*) AS copies, list(DISTINCT coalesce(source, '')) AS sites FROM documents WHERE text IS NOT NULL GROUP BY text),
+split AS (SELECT *, string_split(text, chr(10)) AS ls FROM texts),
+lines AS (SELECT text, copies, sites, generate_subscripts(ls, 1) AS pos, unnest(ls) AS raw FROM split),
 cut AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
-bad AS (SELECT line FROM cut WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
-flagged AS (SELECT c.text, c.pos, c.raw, length(c.line) AS n, b.line IS NOT NULL AS bad FROM cut c LEFT JOIN bad b USING (line)),
+bad AS (SELECT line FROM (SELECT DISTINCT line, text, unnest(sites) AS site FROM cut WHERE line <> '')
+        GROUP BY line HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES} AND count(DISTINCT text) >= 2),
+flagged AS (SELECT c.text, c.copies, c.pos, c.raw, c.line, b.line IS NOT NULL AS bad FROM cut c LEFT JOIN bad b USING (line)),
 done AS (
   SELECT text, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
-         coalesce(sum(n) FILTER (bad), 0) < {line_dedup.COPY_SHARE} * sum(n) AND count(*) FILTER (bad) > 0 AS carrier,
+         count(*) FILTER (bad) > 0 AND (count(*) FILTER (NOT bad AND line <> '') > 0 OR max(copies) = 1) AS carrier,
          coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS rest
   FROM flagged GROUP BY text)
 SELECT d.doc_id, CASE WHEN c.carrier THEN c.rest ELSE d.text END AS text,
@@ -124,9 +133,7 @@ FROM documents d LEFT JOIN done c ON d.text = c.text
 
 @query("op1_line_dedup", LINE_DEDUP_SQL)
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    # as the SQL counts sites and leaves texts whole
-    return line_dedup.dedupe_lines(docs, copy_share=line_dedup.COPY_SHARE, first_site=True).drop("source")
+    return line_dedup.dedupe_lines(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("source")
 
 
 @query("op2_decontaminate")

@@ -85,6 +85,13 @@ def labelled_samples(documents: DataFrame, text: str = "text", most: int = 20_00
     )
 
 
+def _pairs(value: Column, of) -> Column:
+    """`of` the codes of each two neighbouring characters; the string is taken apart once for either side."""
+    codes = F.transform(F.split(value, ""), F.ascii)
+    n = F.length(value) - 1
+    return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), of)
+
+
 def log_ratios(samples: DataFrame) -> list[float]:
     """log P(next | char, random) - log P(next | char, ordinary) by 128 * char + next.
 
@@ -92,10 +99,9 @@ def log_ratios(samples: DataFrame) -> list[float]:
     2 * 128^2 numbers reach the driver.  Pairs are smoothed towards the
     frequency of the next character; without samples all ratios are 0.
     """
-    pair = F.explode(F.sequence(F.lit(1), F.length("token") - 1))
-    pairs = samples.filter(F.length("token") > 1).select("is_random", "token", pair.alias("i"))
-    code = lambda at: F.ascii(F.substring("token", at, F.lit(1)))
-    pairs = pairs.select("is_random", code(F.col("i")).alias("x"), code(F.col("i") + 1).alias("y")).filter(f"x < {_CODES} and y < {_CODES}")
+    pair = F.explode(_pairs(F.col("token"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+    pairs = samples.filter(F.length("token") > 1).select("is_random", pair.alias("p")).select("is_random", "p.*")
+    pairs = pairs.filter(f"x < {_CODES} and y < {_CODES}")
     counted = pairs.groupBy("is_random", "x", "y").agg(F.count("*").alias("n")).collect()
     if len({r.is_random for r in counted}) < 2:
         return [0.0] * (_CODES * _CODES)
@@ -130,12 +136,8 @@ def find(
     rows = documents.withColumn("base", base_spans(t))
 
     def ratio(value: Column) -> Column:
-        code = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(value) - 1),
-            F.lit(0.0),
-            lambda total, i: total + F.element_at(table, code(i) * _CODES + code(i + 1) + 1),
-        )
+        scores = _pairs(value, lambda x, y: F.element_at(table, x * _CODES + y + 1))
+        return F.aggregate(scores, F.lit(0.0), lambda total, score: total + score)
 
     def looks_random(span: Column) -> Column:
         total = ratio(span["value"])

@@ -24,19 +24,29 @@ ALNUM[128:] = True
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     ALNUM[_a:_b] = True
 
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+_powers: dict[str, np.ndarray] = {}
 
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1) modulo 2^64, kept for the next call."""
-    have = _powers[kind]
+    """base^0 ... base^(n-1) modulo 2^64; as many as a usual chunk needs are kept for the next call."""
+    have = _powers.get(kind, np.ones(1, dtype=np.uint64))
     while len(have) < n:
         step = np.uint64(pow(base, len(have), 1 << 64))
         have = np.concatenate([have, have * step])
-    _powers[kind] = have
+    if len(have) <= 2 * CHUNK_BYTES:
+        _powers[kind] = have
     return have[:n]
 
 
+#: Bytes of rows that go to a Python worker at a time, so that its memory doesn't grow with the texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark) -> None:
+    """Rows go to Python workers in batches of BATCH_BYTES, one longer text by itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

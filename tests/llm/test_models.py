@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -153,3 +154,49 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert all(out[i] == f"random:4:{4 + len(t)}" for i, t in enumerate(planted))
     assert all(out[len(planted) + i] == "" for i in range(len(plain)))
     assert secrets.log_ratios(secrets.labelled_samples(spark.createDataFrame([], "text string"))) == [0.0] * 128 * 128
+
+
+def brute_random(text, base, ratios, least_mean=0.7, least_total=14.0):
+    """Spans of kind random by a loop over each string's pairs."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        if any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        pairs = list(zip(m.group(), m.group()[1:]))
+        total = sum(round(ratios[ord(x) * 128 + ord(y)], 5) for x, y in pairs)
+        if total >= least_total and total >= least_mean * len(pairs):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_random_spans_equal_a_loop_over_pairs(spark):
+    draw = random.Random(6)
+    signs = "ABCDEFGHabcdefgh0123456789+/_-"
+    samples = [("".join(draw.choice(signs) for _ in range(30)), True) for _ in range(200)] + [(w, False) for w in ("ordinary_identifier_name", "some/path/of/words", "reader", "x")] * 40
+    ratios = secrets.log_ratios(spark.createDataFrame(samples, "token string, is_random boolean"))
+    counts: dict = {}
+    for token, label in samples:
+        for x, y in zip(token, token[1:]):
+            counts[label, ord(x), ord(y)] = counts.get((label, ord(x), ord(y)), 0) + 1
+    assert any(ratios) and all(ratios[x * 128 + y] == ratios[x * 128 + y] for _, x, y in counts)
+    texts = [f"say {''.join(draw.choice(signs) for _ in range(draw.randint(10, 40)))} and some_ordinary_identifier é {'ab' * draw.randint(5, 20)} token=abcdefg{k}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.find(df, ratios).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        base = [(s.start, s.end) for s in out[i].base]
+        got = [(s.start, s.end) for s in out[i].spans if s.kind == secrets.KINDS.index("random")]
+        assert got == brute_random(t, base, ratios)
+        found += len(got)
+    assert found > 10
+
+
+def test_a_token_of_a_million_characters(spark):
+    draw = random.Random(2)
+    blob = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz/+") for _ in range(1_000_000))
+    ratios = [1.0] * (128 * 128)
+    df = spark.createDataFrame([(1, f"x {blob} y")], "doc_id long, text string")
+    began = time.monotonic()
+    spans = secrets.find(df, ratios).first().spans
+    assert [(s.start, s.end, s.kind) for s in spans] == [(2, 1_000_002, secrets.KINDS.index("random"))]
+    assert time.monotonic() - began < 60

@@ -62,7 +62,7 @@ def test_boilerplate_lines_go_and_the_rest_stays(spark):
     assert lower[303].text == "something of its own that is long 2"
 
 
-def test_copies_of_one_text_are_one_occurrence(spark):
+def test_lines_of_one_text_only_stay(spark):
     rows = [(i, "a line\nanother line of it", "en", f"s{i}", 0) for i in range(12)] * 2
     out = line_dedup.dedupe_lines(frame(spark, rows), min_sites=3).collect()
     assert len(out) == 24 and {r.text for r in out} == {"a line\nanother line of it"}
@@ -258,8 +258,29 @@ def test_blocks_find_every_print_within_the_radius():
     assert {(i, i) for i in range(50)} <= found
 
 
-def test_many_boilerplate_lines_are_cut_by_a_join_alike(spark, monkeypatch):
-    df = frame(spark, line_rows())
-    few = sorted(map(repr, line_dedup.dedupe_lines(df, min_sites=7).collect()))
-    monkeypatch.setattr(line_dedup, "FEW_LINES", 0)
-    assert sorted(map(repr, line_dedup.dedupe_lines(df, min_sites=7).collect())) == few
+def test_a_hundred_thousand_boilerplate_lines(spark):
+    block = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda n: F.concat(F.lit("line "), (F.col("id") * 1000 + n).cast("string")))
+    docs = spark.range(100).crossJoin(spark.range(9).withColumnRenamed("id", "site"))
+    own = F.concat(F.lit("own "), F.col("id").cast("string"), F.lit(" "), F.col("site").cast("string"))
+    docs = docs.select(
+        (F.col("id") * 9 + F.col("site")).alias("doc_id"), F.array_join(F.concat(F.array(own), block), "\n").alias("text"),
+        F.concat(F.lit("s"), F.col("site").cast("string")).alias("source"),
+    )
+    out = line_dedup.dedupe_lines(docs, min_sites=8)
+    assert out.filter("n_lines = 1001 and n_removed = 1000 and text like 'own %' and length(text) < 12").count() == 900
+
+
+def test_near_copies_come_to_few_groups(spark):
+    draw = random.Random(12)
+    base = words(draw, 120)
+    rows = [(i, edited(draw, base, 1), "en", "s", 0) for i in range(120)] + [(500 + i, words(draw, 60), "en", "s", 0) for i in range(10)]
+    df = frame(spark, rows)
+    texts = df.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("rkey"))
+    profile = ngram_join._profile(texts.select("doc_id", "rkey", "text"), 5).filter("n > 0")
+    reps = profile.select("cid", "n", "mins", "bits", "fine", "rkey").dropDuplicates(["cid"]).cache()
+    links, grouped = ngram_join._groups(reps, texts, 5, 80)
+    groups = {r.cid: r.gid for r in grouped.collect()}
+    alone = reps.count() - 10 - len(groups)
+    assert len(set(groups.values())) + alone <= 12  # of about 120 classes
+    label = brute_components([(r.a, r.b) for r in links.collect()])
+    assert all(label[c] == label[g] for c, g in groups.items())  # every group is connected by verified links
