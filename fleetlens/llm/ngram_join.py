@@ -32,7 +32,7 @@ from .text import NOT_SPACE, SHINGLE, chunks, mix, texts_of
 COUNTERS = 1 << 23
 _BLOCKS = 32
 #: Rounds of grouping, each by a min-hash of its own.
-ROUNDS = 4
+ROUNDS = 3
 #: Bits of a group's hashed row of the matrix; a class has a finer one too, of twice its tokens.
 BITS = 2048
 _WORDS = BITS // 64
@@ -290,6 +290,9 @@ def _groups(reps: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[Dat
         keyed = heads.select("cid", F.col("mins")[round_].alias("key"))
         leaders = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("c")).filter("c > 1")
         meet = keyed.select("key", F.col("cid").alias("b")).join(leaders, "key").filter("a != b").select("a", "b")
+        meet = cut_lineage(meet)
+        if links is not None and meet.isEmpty():
+            continue
         found = _verified(meet, reps, rows, k, percent)
         links = found if links is None else links.union(found)
         if found.isEmpty():
