@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from fleetlens.llm.registry import QUALITY_FLOOR, quality_model
+from fleetlens.llm.text import bounded_batches
 from fleetlens.plans.fixpoint import cut_lineage
 from fleetlens.sources.tables import table
 
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
