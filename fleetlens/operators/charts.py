@@ -16,9 +16,9 @@ from ..functions.semantics import (
     KEY, MB, cents_to_mb, like_text, pages_to_cents, pages_to_mb,
 )
 from ..functions.states import state_code
-from ..plans.adjacent import previous_row
 from ..plans.listing import listed
 from ..plans.patterns import match_patterns
+from ..plans.segments import row_before
 
 _BYTES_PER_MB = 1048576
 
@@ -268,10 +268,9 @@ def counter_rate(counter_samples: DataFrame) -> DataFrame:
     )
     wanted = counter_samples.filter(F.col("cntr_type").isin(*RATED))
     based = wanted.withColumn("base_name", stem).join(base, at, "left")
-    stepped = previous_row(
-        based, [KEY, "object_name", "counter_name", "instance_name"], "sample_ts",
-        ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"], levels=["MINUTE", "DAY"],
-        sizing=counter_samples,
+    stepped = row_before(
+        based, [KEY, "object_name", "counter_name", "instance_name"],
+        ["sample_ts", "seq"], ["cntr_value", "ms_ticks", "base_value"],
     ).filter(F.col("previous").isNotNull())
 
     return stepped.withColumn("val", rate_value()).drop("previous", "base_name", "base_value")

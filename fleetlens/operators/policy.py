@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import KEY, instant, like_text, name_key
 from ..functions.states import STATES
-from ..plans.adjacent import previous_row
+from ..plans.segments import row_before
 
 # fixed values: parameter names and the types they are read as
 PARAMETER_TYPES = {
@@ -161,9 +161,7 @@ def policy_merge(
 
 def role_change_stamp(replica_snapshots: DataFrame) -> DataFrame:
     """Current role per group and the last time it changed (NULL if it never did)."""
-    stepped = previous_row(
-        replica_snapshots, [KEY, "ag_id"], "snapshot_ts", ["snapshot_ts", "seq"], ["role"]
-    )
+    stepped = row_before(replica_snapshots, [KEY, "ag_id"], ["snapshot_ts", "seq"], ["role"])
     changed = F.when(F.col("previous.role") != F.col("role"), F.col("snapshot_ts"))
     return stepped.groupBy(KEY, "ag_id").agg(
         F.max(F.struct("snapshot_ts", "seq", "role")).getField("role").alias("ag_role"),

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import KEY, MB, agent_timestamp, instant, name_key
-from ..plans.adjacent import previous_row
 from ..plans.fixpoint import cut_lineage
+from ..plans.segments import row_before
 
 # fixed values: marks of the report parameters
 FREQUENCY_MARK = "Database Backup Frequency (Days)"
@@ -140,9 +140,7 @@ def error_keyword_report(
         | text.ilike("%without errors%")
     )
     header = keyword & ~benign & text.ilike("%Error:%Severity:%State:%")
-    marked = previous_row(
-        recent.withColumn("header", header), [KEY], "log_date", ["log_date", "seq"], ["header"]
-    )
+    marked = row_before(recent.withColumn("header", header), [KEY], ["log_date", "seq"], ["header"])
     follows = F.coalesce(F.col("previous.header"), F.lit(False)) & ~keyword
     shown = marked.filter((keyword & ~benign) | follows).select(
         KEY, "log_date", "source",
