@@ -62,7 +62,7 @@ class _Open:
             if name == "hidden" or (name == "style" and _NO_DISPLAY.search(value)):
                 own.add("hidden")
             elif name != "style":
-                own.update(f"name:{t.lower()}" for t in _TOKEN.findall(value)[:20])
+                own.update(f"name:{t.lower()}" for t in _TOKEN.findall(value))
         self.stack.append(Node(tag, parent, around if own <= around else around | own))
         self.count[tag] = self.count.get(tag, 0) + 1
 

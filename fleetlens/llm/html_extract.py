@@ -43,13 +43,13 @@ def features(page: list[Block]) -> list[list[str]]:
         link = block.linked / size
         own.append("link:" + ("none" if not block.linked else "some" if link < 0.4 else "most" if link < 0.95 else "all"))
         own.append("ends:" + ("stop" if text[-1] in ".!?…:;\"'”»)" else "word"))
-        own.append(f"upper:{min(4, int(5 * sum(map(str.isupper, text[:400])) / min(size, 400)))}")
+        own.append(f"upper:{min(4, int(5 * sum(map(str.isupper, text)) / size))}")
         own.append(f"stops:{min(4, text.count('. ') + text.count(', '))}")
         if any(c in text for c in "©®™"):
             own.append("mark")
         if "|" in text or "»" in text or "·" in text:
             own.append("separator")
-        if any(map(str.isdigit, text[:200])):
+        if any(map(str.isdigit, text)):
             own.append("digits")
         if len(words) <= 25:
             own.extend({f"cue:{w}" for w in (x.strip(".,:;!?()[]…").lower() for x in words) if w in CUES})
@@ -268,8 +268,15 @@ def _given(page: list[Block]) -> list[bool]:
     return [b.node is not None and "in:article" in b.node.names for b in page]
 
 
-def learn(pages: DataFrame, html: str = "html", most: int = 200, layouts: int = 3, seed: int = 17) -> Model:
-    """Train on a bounded sample of about `most` pages, even by the page's hash.
+def learn(
+    pages: DataFrame, html: str = "html", most: int = 200, layouts: int = 3, seed: int = 17, fill_blocks: int = 40, title_chars: int = 60
+) -> Model:
+    """Train on a bounded sample of about `most` distinct pages, even by the page's hash.
+
+    A page counts once, however many copies it has; copies fall out on Spark.
+    The layouts that a page's text fills take its first `fill_blocks` blocks,
+    and as their title the first `title_chars` characters of it; the pages
+    themselves are learned from whole.
 
     Pages with one article element are labelled by it.  Their text also fills
     `layouts` labelled pages each of our own, in many layouts, with menus,
@@ -277,14 +284,14 @@ def learn(pages: DataFrame, html: str = "html", most: int = 200, layouts: int =
     so that no single tag or name decides.  Without pages the layouts are
     filled with words of a fixed list.
     """
-    rows = pages.select(F.col(html).alias("h")).filter(F.length("h") > 0)
-    n = rows.count()
-    spread = F.xxhash64("h", F.lit(23)) / F.lit(2.0**64) + F.lit(0.5)
-    texts = sorted({r.h for r in rows.filter(spread * n < most).collect()})
+    rows = pages.select(F.col(html).alias("h")).filter(F.length("h") > 0).withColumn("k", F.xxhash64("h", F.lit(23)))
+    n = rows.select("k").distinct().count()
+    drawn = rows.filter((F.col("k") / F.lit(2.0**64) + F.lit(0.5)) * n < most)
+    texts = sorted(r.h for r in drawn.dropDuplicates(["k"]).collect())
     parsed = [p for p in map(blocks, texts) if p]
     given = [(p, _given(p)) for p in parsed]
     given = [(p, labels) for p, labels in given if any(labels)]
-    bodies = [[b.text for b, main in zip(p, labels, strict=True) if main][:40] for p, labels in given]
+    bodies = [[b.text for b, main in zip(p, labels, strict=True) if main][:fill_blocks] for p, labels in given]
     if len(bodies) < 20:
         words = sorted(CUES)
         draw = random.Random(seed)
@@ -294,7 +301,7 @@ def learn(pages: DataFrame, html: str = "html", most: int = 200, layouts: int =
     for i in range(len(bodies) * layouts):
         body = bodies[i % len(bodies)]
         others = [t for _ in range(4) for t in draw.choice(bodies)]
-        made.append(labelled(layout(draw, body[0][:60], body[1:] or body, others)))
+        made.append(labelled(layout(draw, body[0][:title_chars], body[1:] or body, others)))
     return train(given + made)
 
 

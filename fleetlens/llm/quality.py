@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.fixpoint import cut_lineage
 from .text import NOT_SPACE, Chunk, chunks, texts_of
 
 #: Bins of the byte histogram: ASCII one by one, all other bytes together.
@@ -60,29 +61,38 @@ def features_of(chunk: Chunk) -> np.ndarray:
 
 
 def _features(df: DataFrame, text: str) -> DataFrame:
-    """(features) of each text, as the bytes of its row of doubles."""
+    """(features, weight) of each text, as the bytes of its row of doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, chunk in chunks(texts_of(batch.column(0)), NOT_SPACE):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.tobytes() for r in features_of(chunk)], pa.binary())], names=["features"]
-                )
+            for first, chunk in chunks(texts_of(batch.column(0)), NOT_SPACE):
+                found = pa.array([r.tobytes() for r in features_of(chunk)], pa.binary())
+                yield pa.RecordBatch.from_arrays([found, batch.column(1).slice(first, len(found))], names=["features", "weight"])
 
-    return df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "features binary")
+    return df.select(F.col(text).alias("text"), "weight").mapInArrow(run, "features binary, weight long")
 
 
 def _sample(df: DataFrame, text: str, most: int) -> DataFrame:
-    """At most about `most` rows with a text, evenly by the text's hash; copies weigh as they come."""
-    rows = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    n = rows.count()
-    spread = F.xxhash64("text", F.lit(11)) / F.lit(2.0**64) + F.lit(0.5)
-    return rows.filter(spread * n < most)
+    """(text, weight): distinct texts drawn evenly by their hash, with weights that add up to about `most` rows at most.
+
+    A text of n copies weighs its share of `most`, rounded up or down by its
+    hash, and is one row however many copies it has.  So the rows are at most
+    as many as the weights add up to, also where one text is a third of all.
+    """
+    rows = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text", F.lit(11)))
+    counts = cut_lineage(rows.groupBy("h").agg(F.count("*").alias("n")))
+    share = min(1.0, most / max(counts.agg(F.sum("n")).first()[0] or 0, 1))
+    place = F.lit(0.5) - F.col("h") / F.lit(2.0**64)
+    weight = F.col("n") if share == 1.0 else F.floor(F.col("n") * share + place)
+    drawn = counts.select("h", weight.cast("long").alias("weight")).filter("weight > 0")
+    return rows.join(F.broadcast(drawn), "h").dropDuplicates(["h"]).select("text", "weight")
 
 
 def _matrix(df: DataFrame) -> np.ndarray:
-    got = [np.frombuffer(r.features) for r in _features(df, "text").collect()]
-    return np.stack(got) if got else np.zeros((0, BINS + 9))
+    """Features of a sample, a text as often as it weighs."""
+    got = _features(df, "text").collect()
+    rows = np.stack([np.frombuffer(r.features) for r in got]) if got else np.zeros((0, BINS + 9))
+    return np.repeat(rows, [r.weight for r in got], axis=0)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -128,7 +138,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 def learn(
     positives: DataFrame, unlabelled: DataFrame, text: str = "text", most: int = 6000, steps: int = 600
 ) -> Model:
-    """Fit on bounded samples: at most about `most` positives and `most` unlabelled texts.
+    """Fit on bounded samples: at most about `most` positives and `most` unlabelled texts, copies counted by weight.
 
     A first fit, on half of the positives as if all unlabelled text were bad,
     gives scores from which the class prior is estimated; the second minimises the
