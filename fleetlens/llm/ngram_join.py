@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,20 +160,19 @@ def _token_order(profile: DataFrame) -> np.ndarray:
     return order.ravel()
 
 
-def _prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
+def _prefixes(rows: DataFrame, order: Broadcast, k: int, percent: int) -> DataFrame:
     """Per text its size, and in order the tokens one of which any partner must have: all but the last 0.8 n - 1.
 
     `frequent` is how many of them are of a frequency class above 0; those come last.
     """
     schema = "cid long, n long, frequent long, prefix array<long>"
-    held = rows.sparkSession.sparkContext.broadcast(order)  # a fixed 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
             for _, tokens in _sets(texts_of(batch.column(0)), k):
                 if n := len(tokens):
-                    keys = (held.value[tokens & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
+                    keys = (order.value[tokens & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
                     p = n - -(-percent * n // 100) + 1
                     first = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys).view(np.int64)
                     found.append((_class(tokens), n, int((first >= 1 << _TOKEN_BITS).sum()), first))
@@ -192,7 +192,7 @@ def _prefixes(rows: DataFrame, order: np.ndarray, k: int, percent: int) -> DataF
 
 
 def _needed_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cid, tokens) of the wanted (cid, rkey), read from the texts again.
+    """(cid, tokens) of the wanted (cid, rkey), read from the texts again and written.
 
     A filter of fixed size names the texts; a text that passes without being
     wanted only costs its row.
@@ -219,7 +219,9 @@ def _needed_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "tokens"])
 
     found = rows.select("rkey", "text").mapInArrow(run, "cid long, tokens binary")
-    return found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    sets = cut_lineage(found.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+    held.unpersist()
+    return sets
 
 
 def _popcount(a: Column, b: Column, how) -> Column:
@@ -252,7 +254,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
     likely = sided.mapInArrow(bound, "a long, b long, rkeya long, rkeyb long")
     likely = cut_lineage(likely)
     wanted = likely.selectExpr("a as cid", "rkeya as rkey").union(likely.selectExpr("b", "rkeyb")).distinct()
-    sets = cut_lineage(_needed_sets(rows, wanted, k))
+    sets = _needed_sets(rows, wanted, k)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +317,7 @@ def classes_and_links(
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("rkey", F.xxhash64("doc_id", "text"))
     profile = cut_lineage(_profile(rows.select("doc_id", "rkey", "text"), k))
-    order = _token_order(profile)
+    order = rows.sparkSession.sparkContext.broadcast(_token_order(profile))  # a fixed 8 MB
     members = profile.filter("block is null").select("doc_id", "rkey", "n", "cid")
     reps = profile.filter("n > 0").select("cid", "n", "mins", "bits", "fine", "rkey").dropDuplicates(["cid"])
     reps = cut_lineage(reps)
@@ -344,6 +346,7 @@ def classes_and_links(
     )
     pairs = meet.groupBy("a", "b").agg(F.count_if(F.expr(ordinary)).alias("c"), F.max(F.least("fa", "fb")).alias("f"))
     pairs = cut_lineage(pairs)
+    order.unpersist()
 
     # groups whose sizes and common deciding tokens allow a link: the leaders first.  A pair shares its deciding tokens
     # up to where one of the two ends, the counted ones and the frequent ones of either at most, and then no more than
