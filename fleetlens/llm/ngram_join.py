@@ -40,6 +40,8 @@ _WORDS = BITS // 64
 #: Bits of the filter that names the texts whose sets a step needs; a fixed 2^23.
 _FILTER = 1 << 23
 _TOKEN_BITS = 58
+#: Bits of a class's parity row: a bit tells whether an odd number of its tokens fall on it.
+PARITY = 256
 #: Sizes are kept in 21 bits.
 _PART = (1 << 21) - 1
 
@@ -75,6 +77,12 @@ def _fine(tokens: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bits that differ between two of these are at most as many as the tokens in one of the two sets only."""
+    at = (tokens >> np.uint64(_TOKEN_BITS - 8)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _differing(a: bytes, b: bytes) -> int:
     """Bits that differ, after the wider row is folded to the other's width: so many tokens are in one set only."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
@@ -165,7 +173,7 @@ def _prefixes(rows: DataFrame, order: Broadcast, k: int, percent: int) -> DataFr
 
     `frequent` is how many of them are of a frequency class above 0; those come last.
     """
-    schema = "cid long, n long, frequent long, prefix array<long>"
+    schema = "cid long, n long, frequent long, parity array<long>, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +183,7 @@ def _prefixes(rows: DataFrame, order: Broadcast, k: int, percent: int) -> DataFr
                     keys = (order.value[tokens & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
                     p = n - -(-percent * n // 100) + 1
                     first = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys).view(np.int64)
-                    found.append((_class(tokens), n, int((first >= 1 << _TOKEN_BITS).sum()), first))
+                    found.append((_class(tokens), n, int((first >= 1 << _TOKEN_BITS).sum()), _parity(tokens), first))
                 if len(found) == 2000:
                     yield columns(found)
                     found = []
@@ -183,9 +191,9 @@ def _prefixes(rows: DataFrame, order: Broadcast, k: int, percent: int) -> DataFr
                 yield columns(found)
 
     def columns(found: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=["cid", "n", "frequent", "prefix"]
+            [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=["cid", "n", "frequent", "parity", "prefix"]
         )
 
     return rows.select("text").mapInArrow(run, schema)
@@ -327,22 +335,27 @@ def classes_and_links(
     # the matrix: (token, group), with the sizes of the members that have the token, and how many of a member's tokens
     # are left from it on at most; 21 bits each, which only makes sizes from 2^21 on look alike
     prefixes = _prefixes(rows, order, k, percent).dropDuplicates(["cid"]).join(grouped, "cid", "left")
-    entries = prefixes.select("cid", "gid", "n", "frequent", F.posexplode("prefix").alias("at", "tok"))
-    entries = entries.select("tok", F.coalesce("gid", "cid").alias("gid"), F.col("gid").isNull().alias("alone"), "n", (F.col("n") - F.col("at")).alias("left"), "frequent")
-    alone = entries.filter("alone").select("tok", "gid", F.col("n").alias("lo"), F.col("n").alias("hi"), "left", "frequent")
+    entries = prefixes.select("cid", "gid", "n", "frequent", "parity", F.posexplode("prefix").alias("at", "tok"))
+    entries = entries.select("tok", F.coalesce("gid", "cid").alias("gid"), F.col("gid").isNull().alias("alone"), "n", (F.col("n") - F.col("at")).alias("left"), "frequent", "parity")
+    common = F.when(F.col("tok") >= 1 << _TOKEN_BITS, F.col("parity")).alias("parity")
+    alone = entries.filter("alone").select("tok", "gid", F.col("n").alias("lo"), F.col("n").alias("hi"), "left", "frequent", common)
     united = entries.filter("not alone").groupBy("tok", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("left").alias("left"), F.max("frequent").alias("frequent"))
     part = lambda c, by: F.shiftleft(F.least(F.col(c), F.lit(_PART)), by)
     sizes = part("lo", 42).bitwiseOR(part("hi", 21)).bitwiseOR(F.least(F.col("left"), F.lit(_PART)))
-    matrix = alone.union(united).select("tok", "gid", sizes.alias("sizes"), "frequent")
+    united = united.withColumn("parity", F.lit(None).cast("array<long>"))
+    matrix = alone.union(united).select("tok", "gid", sizes.alias("sizes"), "frequent", "parity")
 
     # groups meet in a token if their sizes allow it; in a frequent one only where enough tokens are left on both sides,
-    # as must be where the first token that a linked pair shares is frequent.  Common ordinary tokens are counted
-    end = lambda x: matrix.select("tok", F.col("gid").alias(x), F.col("sizes").alias("s" + x), F.col("frequent").alias("f" + x))
+    # as must be where the first token that a linked pair shares is frequent, and where the parity rows of two classes
+    # without a group differ in no more bits than the tokens of a linked pair may.  Common ordinary tokens are counted
+    end = lambda x: matrix.select("tok", F.col("gid").alias(x), F.col("sizes").alias("s" + x), F.col("frequent").alias("f" + x), F.col("parity").alias("p" + x))
     lo, hi, left = (lambda x: f"shiftright(s{x}, 42)"), (lambda x: f"(shiftright(s{x}, 21) & {_PART})"), (lambda x: f"(s{x} & {_PART})")
     ordinary = f"tok < {1 << _TOKEN_BITS}"
+    differ = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(PARITY // 64))
     meet = end("a").join(end("b"), "tok").filter(
         f"a < b and {lo('a')} * {percent} <= {hi('b')} * 100 and {lo('b')} * {percent} <= {hi('a')} * 100 and ({ordinary} or "
-        f"least({left('a')}, {left('b')}) * {100 + percent} >= {percent} * ({lo('a')} + {lo('b')}))"
+        f"(least({left('a')}, {left('b')}) * {100 + percent} >= {percent} * ({lo('a')} + {lo('b')}) and "
+        f"coalesce(({differ}) * {100 + percent} <= {100 - percent} * ({lo('a')} + {lo('b')}), true)))"
     )
     pairs = meet.groupBy("a", "b").agg(F.count_if(F.expr(ordinary)).alias("c"), F.max(F.least("fa", "fb")).alias("f"))
     pairs = cut_lineage(pairs)
