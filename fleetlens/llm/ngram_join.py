@@ -34,6 +34,8 @@ COUNTERS = 1 << 23
 _BLOCKS = 32
 #: Rounds of grouping, each by a min-hash of its own.
 ROUNDS = 3
+#: Min-hashes of a class; those that aren't its round's key tell how central it is among those of one key.
+HASHES = 16
 #: Bits of a group's hashed row of the matrix; a class has a finer one too, of twice its tokens.
 BITS = 2048
 _WORDS = BITS // 64
@@ -103,7 +105,7 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int32)
-        salts = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64))
+        salts = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
         schema = pa.schema(
             [("doc_id", pa.int64()), ("rkey", pa.int64()), ("n", pa.int32()), ("cid", pa.int64()), ("mins", pa.list_(pa.int64())),
              ("bits", pa.list_(pa.int64())), ("fine", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())]
@@ -287,19 +289,33 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
     return cut_lineage(full.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, shared long"))
 
 
+def _leaders(heads: DataFrame, round_: int) -> DataFrame:
+    """(key, a): of the heads with one min-hash the most central, where there are several; the smallest of equals.
+
+    That is the one whose other min-hashes most of them have too.  The copies of an
+    original agree with it more than with each other, so it links with most.
+    """
+    keyed = heads.select("cid", F.col("mins")[round_].alias("key"), "mins")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    each = keyed.join(shared, "key").select("key", "cid", F.posexplode("mins").alias("at", "min")).filter(F.col("at") != round_)
+    each = cut_lineage(each)
+    common = each.groupBy("key", "at", "min").agg(F.count("*").alias("c")).filter("c > 1")
+    central = each.join(common, ["key", "at", "min"], "left").groupBy("key", "cid").agg(F.sum(F.coalesce("c", F.lit(1))).alias("c"))
+    return central.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "cid")).getField("cid").alias("a"))
+
+
 def _groups(reps: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, (cid, gid) of the groups with more than their leader).
 
     In each round the leaders left, those of one class included, meet by a min-hash
-    of that round; those that link with the smallest of their min-hash join its group.
+    of that round; those that link with the most central of their min-hash join its group.
     So a cluster of near copies comes to few groups, and every group is connected.
     """
     heads = reps.select("cid", "mins")
     links, of = None, reps.select("cid", F.col("cid").alias("gid"))
     for round_ in range(ROUNDS):
-        keyed = heads.select("cid", F.col("mins")[round_].alias("key"))
-        leaders = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("c")).filter("c > 1")
-        meet = keyed.select("key", F.col("cid").alias("b")).join(leaders, "key").filter("a != b").select("a", "b")
+        keyed = heads.select(F.col("mins")[round_].alias("key"), F.col("cid").alias("b"))
+        meet = keyed.join(_leaders(heads, round_), "key").filter("a != b").select("a", "b")
         meet = cut_lineage(meet)
         if links is not None and meet.isEmpty():
             continue
