@@ -158,12 +158,13 @@ def error_keyword_report(
 
 
 def job_failure_report(
-    job_history: DataFrame, instances: DataFrame, *, as_of: datetime | str, days: int = 0
+    job_history: DataFrame, instances: DataFrame, *, as_of: datetime | str, days: int = 0, until_as_of: bool = True
 ) -> DataFrame:
     """Failed steps since 06:00, and failed jobs that show no failed step.
 
-    `days` moves the start back.  Job-level rows reach one day further.  Runs after
-    `as_of` aren't known yet.  Messages are given whole; cutting them is for who shows them.
+    `days` moves the start back.  Job-level rows reach one day further.  With `until_as_of`
+    runs after `as_of` aren't known yet; without it every run since the start is reported.
+    Messages are given whole; cutting them is for who shows them.
     The history is scanned once: what may be shown is written, and steps, jobs and
     quiet instances are told from that.
     """
@@ -171,8 +172,11 @@ def job_failure_report(
     since = F.date_trunc("DAY", now) + F.expr("INTERVAL 6 HOUR") - F.expr(f"INTERVAL {int(days)} DAY")
     # whole days as numbers, for the scan; the exact instants follow
     first_day = F.date_format(since - F.expr("INTERVAL 1 DAY"), "yyyyMMdd").cast("long")
-    last_day = F.date_format(now, "yyyyMMdd").cast("long")
-    timed = job_history.filter(F.col("run_date").between(first_day, last_day)).withColumn(
+    days_read, known = F.col("run_date") >= first_day, F.lit(True)
+    if until_as_of:
+        days_read = days_read & (F.col("run_date") <= F.date_format(now, "yyyyMMdd").cast("long"))
+        known = F.col("run_at") <= now
+    timed = job_history.filter(days_read).withColumn(
         "run_at", agent_timestamp(F.col("run_date"), F.col("run_time"))
     )
     is_step = ~F.col("run_status").isin(1, 4) & (F.col("step_id") != 0) & (F.col("run_at") >= since)
@@ -180,7 +184,7 @@ def job_failure_report(
         (F.col("run_status") != 1) & (F.col("step_id") == 0) & (F.col("run_at") >= since - F.expr("INTERVAL 1 DAY"))
     )
     recent = cut_lineage(
-        timed.filter((F.col("run_at") <= now) & (is_step | is_outcome)).select(
+        timed.filter(known & (is_step | is_outcome)).select(
             KEY, "job_name", "step_id", "step_name", "run_status", "run_at", "message"
         )
     )

@@ -387,7 +387,7 @@ query("job_failure_report")(
 )
 query("job_failure_report_daily")(
     lambda i: reports.job_failure_report(
-        i("job_history"), i("instances"), as_of="2001-08-01 18:00:00"
+        i("job_history"), i("instances"), as_of="2001-08-01 18:00:00", until_as_of=False
     )
 )
 query("version_report")(lambda i: reports.version_report(i("instances")))

@@ -38,11 +38,12 @@ s AS (SELECT instance_guid, {ts('log_date')} AS log_date, source, replace(replac
 SELECT * FROM s UNION ALL SELECT instance_guid, {ts(NOW_EV)}, '', 'There are no error log messages' FROM instances WHERE instance_guid NOT IN (SELECT instance_guid FROM s)""")
 
 
-def failures(now: str, days: int) -> str:
+def failures(now: str, days: int, open_end: bool = False) -> str:
+    until = "" if open_end else f" AND run_at <= {now}"
     return f"""
 , t AS (SELECT *, make_timestamp(run_date // 10000, run_date // 100 % 100, run_date % 100, run_time // 10000, run_time // 100 % 100, CAST(run_time % 100 AS DOUBLE)) AS run_at FROM job_history),
-a AS (SELECT *, message AS msg FROM t WHERE run_status NOT IN (1, 4) AND step_id <> 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days} DAY AND run_at <= {now}),
-b AS (SELECT *, message AS msg FROM t WHERE run_status <> 1 AND step_id = 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days + 1} DAY AND run_at <= {now}
+a AS (SELECT *, message AS msg FROM t WHERE run_status NOT IN (1, 4) AND step_id <> 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days} DAY{until}),
+b AS (SELECT *, message AS msg FROM t WHERE run_status <> 1 AND step_id = 0 AND run_at >= date_trunc('day', {now}) + INTERVAL 6 HOUR - INTERVAL {days + 1} DAY{until}
   AND NOT EXISTS (SELECT 1 FROM a WHERE a.instance_guid = t.instance_guid AND a.job_name = t.job_name)),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT instance_guid, replace(job_name, '"', '''') AS job_name, step_id, replace(step_name, '"', '''') AS step_name,
@@ -53,7 +54,7 @@ WHERE instance_guid NOT IN (SELECT instance_guid FROM u)"""
 
 
 sql("job_failure_report", "job_history instances", failures(NOW, 3000))
-sql("job_failure_report_daily", "job_history instances", failures("TIMESTAMP '2001-08-01 18:00:00'", 0))
+sql("job_failure_report_daily", "job_history instances", failures("TIMESTAMP '2001-08-01 18:00:00'", 0, open_end=True))
 
 sql("version_report", "instances", """
 , v AS (SELECT *, tenant || ',' || machine_name || '#' || coalesce(instance_name, 'MSSQLSERVER') || ',Microsoft SQL Server ' ||

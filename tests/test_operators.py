@@ -460,6 +460,26 @@ def test_job_failures_prefer_steps(spark):
     ]
 
 
+def test_the_daily_job_failures_have_no_end(spark, tmp_path):
+    from datetime import datetime
+
+    from fleetlens.plans.registry import all_queries
+
+    spark.sql("select 0L as n_nationkey, 'NATION_0' as n_name, 0L as n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.sql("select 0L as r_regionkey, 'R' as r_name").write.parquet(str(tmp_path / "region.parquet"))
+    # steps of 17:17 and 21:21 of the report's day and one of the next day; a job's outcome at 20:20
+    orders = [(17, 25, 1), (21, 50, 1), (45, 75, 2), (20, 100, 1)]
+    spark.createDataFrame(
+        [(k, c, datetime(2001, 8, d), "1-URGENT") for k, c, d in orders],
+        "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    out = all_queries()["job_failure_report_daily"](spark, str(tmp_path))
+    assert rows(out, "job_name", "step_id", "date", "time") == [
+        ("job 100", 0, "01/08/2001", "20:20:20"), ("job 25", 1, "01/08/2001", "17:17:17"),
+        ("job 50", 1, "01/08/2001", "21:21:21"), ("job 75", 1, "02/08/2001", "21:45:45"),
+    ]
+
+
 # ---- facts
 
 SCHEDULE = (
