@@ -44,6 +44,9 @@ _FILTER = 1 << 23
 _TOKEN_BITS = 58
 #: Bits of a class's parity row: a bit tells whether an odd number of its tokens fall on it.
 PARITY = 256
+#: A large group is asked by shares of its members: the first of so many to so many times that, the next so many times as large.
+FIRST_SHARE = 64
+SHARES = 8
 #: Sizes are kept in 21 bits.
 _PART = (1 << 21) - 1
 
@@ -234,10 +237,39 @@ def _needed_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return sets
 
 
+def _within(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of two sorted sets: which of the first are in the second."""
+    at = np.searchsorted(t, s)
+    return t[np.minimum(at, len(t) - 1)] == s
+
+
 def _popcount(a: Column, b: Column, how) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(how(x, y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the (a, b) those whose sets link, with `shared`, the size of the intersection."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, shared = [], [], []
+            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
+                both = int(_within(s, t).sum())
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    a.append(x)
+                    b.append(y)
+                    shared.append(both)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+
+    full = (
+        pairs.select("a", "b")
+        .join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), "a")
+        .join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")), "b")
+    )
+    return cut_lineage(full.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, shared long"))
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the (a, b) those that link, with `shared`, the size of the intersection.
 
@@ -266,27 +298,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percen
     wanted = likely.selectExpr("a as cid", "rkeya as rkey").union(likely.selectExpr("b", "rkeyb")).distinct()
     sets = _needed_sets(rows, wanted, k)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, shared = [], [], []
-            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    a.append(x)
-                    b.append(y)
-                    shared.append(both)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
-
-    full = (
-        likely.select("a", "b")
-        .join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")), "b")
-    )
-    return cut_lineage(full.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, shared long"))
+    return _compared(likely.select("a", "b"), sets, percent)
 
 
 def _leaders(heads: DataFrame, round_: int) -> DataFrame:
@@ -330,6 +342,90 @@ def _groups(reps: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[Dat
     return links, cut_lineage(of.join(many, "gid", "left_semi").select("cid", "gid"))
 
 
+def _differences(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per (gid, cid, asks): how many of the leader's tokens the class lacks, how many others it has, and all these tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lacks, more, size, diff = [], [], [], []
+            for s, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
+                r, a = t[~_within(t, s)], s[~_within(s, t)]
+                lacks.append(len(r))
+                more.append(len(a))
+                size.append(len(t))
+                diff.append(np.concatenate([r, a]).view(np.int64))
+            found = [*(pa.array(c, pa.int64()) for c in (lacks, more, size)), pa.array(diff, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], names=["gid", "cid", "asks", "lacks", "more", "size", "diff"])
+
+    sided = asked.join(sets, "cid").join(sets.select(F.col("cid").alias("gid"), F.col("tokens").alias("leader")), "gid")
+    sided = sided.select("gid", "cid", "asks", "tokens", "leader")
+    return cut_lineage(sided.mapInArrow(run, "gid long, cid long, asks boolean, lacks long, more long, size long, diff array<long>"))
+
+
+def _opened(queries: DataFrame, grouped: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b, shared) of the queries (q, q_gid, gid) with members of the groups: some, where there is one.
+
+    A class is its group's leader, less tokens it lacks, and more tokens.  So two classes have in common what is left
+    of the leader, and the tokens in which both differ from it: how many of those a link needs follows from the
+    numbers alone, (100 + p) * c >= w(q) + w(m) - (100 - p) * size of the leader, with w = 100 * lacks + p * more.  Of a query
+    that doesn't link with the leader, w exceeds (100 - p) * size, so any member must share more than about half of
+    its own differences with it.  Queries and members meet in the rarest of the differences both sides have, as many as
+    decide that; the members that a query has nothing rare in common with are never paired with it.
+    """
+    own, more = 100 - percent, 100 + percent
+    members = join_checked(grouped, cut_lineage(queries.select("gid").distinct()), ["gid"], "left_semi")
+    asked = queries.select("gid", F.col("q").alias("cid"), F.lit(True).alias("asks")).union(members.select("gid", "cid", F.lit(False)))
+    asked = cut_lineage(asked)
+    wanted = cut_lineage(asked.select("cid").distinct())
+    sets = _needed_sets(rows, join_checked(reps.select("cid", "rkey"), wanted, ["cid"], "left_semi"), k)
+    apart = _differences(asked, sets).withColumn("w", F.expr(f"100 * lacks + {percent} * more - {own} * size"))
+
+    def unanswered(queries: DataFrame, found: DataFrame) -> DataFrame:
+        told = queries.join(found.select("q", "gid"), ["q", "gid"], "left_semi").select("q_gid", "gid").distinct()
+        return cut_lineage(queries.join(cut_lineage(told), ["q_gid", "gid"], "left_anti").select("q", "q_gid", "gid"))
+
+    # the leaders first: what links with one needs no member
+    direct = cut_lineage(apart.filter("asks and w <= 0").selectExpr("cid as q", "gid", "size - lacks as shared"))
+    links = direct.selectExpr("q as a", "gid as b", "shared")
+    queries = unanswered(queries, direct)
+    asking = apart.filter("asks").join(queries.select("gid", F.col("q").alias("cid")), ["gid", "cid"], "left_semi")
+    # a member shares all its differences at most, so w of a query has a bound per group; and the other way around
+    room = F.expr(f"{percent} * lacks + 100 * more")
+    bounds = asking.groupBy("gid").agg(F.min("w").alias("least")).join(apart.filter("not asks").groupBy("gid").agg(F.max(room).alias("most")), "gid")
+    bounds = cut_lineage(bounds)
+    sides = asking.unionByName(apart.filter("not asks and lacks + more > 0"))
+    sides = sides.join(bounds, "gid").filter(F.when(F.col("asks"), F.col("w") <= F.col("most")).otherwise(room >= F.col("least")))
+    # a member's w counts the leader's size too: the need of a pair is the sum of both and that once more
+    sides = sides.withColumn("w", F.when(F.col("asks"), F.col("w")).otherwise(F.col("w") + own * F.col("size")))
+    sides = cut_lineage(sides.select("gid", "cid", "asks", "w", F.explode("diff").alias("tok")))
+    both = sides.groupBy("gid", "tok").agg(F.count("*").alias("c"), F.count_if("asks").alias("q")).filter("q > 0 and q < c").select("gid", "tok", "c")
+    ordered = sides.join(both, ["gid", "tok"]).groupBy("gid", "cid", "asks", "w").agg(F.array_sort(F.collect_list(F.struct("c", "tok"))).alias("diff"))
+    ordered = ordered.select("gid", "cid", "asks", "w", F.size("diff").alias("all"), F.posexplode("diff").alias("at", "d"))
+    ordered = ordered.select("gid", "cid", "asks", "w", F.col("d.tok").alias("tok"), (F.col("all") - F.col("at")).alias("left"))
+    # a pair is found at its first common token, where what is left on either side still suffices
+    ordered = cut_lineage(ordered.filter(f"{more} * left >= w"))
+    side = lambda asks, x: ordered.filter(F.col("asks") == asks).select("gid", "tok", *[F.col(c).alias(c + x) for c in ("cid", "w", "left")])
+    # a query that links with many members is told by a small share of them: shares grow, and each asks for the rest only
+    largest, share, chance = members.groupBy("gid").count().agg(F.max("count")).first()[0] or 0, 1, F.xxhash64("cidm")
+    while largest // share >= FIRST_SHARE * SHARES:
+        share *= SHARES
+    first = share
+    while share:
+        these = F.pmod(chance, F.lit(share)) == 0
+        if share < first:
+            these = these & (F.pmod(chance, F.lit(share * SHARES)) != 0)
+        some = side(True, "q").join(queries.select("gid", F.col("q").alias("cidq")), ["gid", "cidq"], "left_semi")
+        meet = some.join(side(False, "m").filter(these), ["gid", "tok"]).filter(f"{more} * least(leftq, leftm) >= wq + wm")
+        meet = cut_lineage(meet.select("gid", F.col("cidq").alias("a"), F.col("cidm").alias("b")).distinct())
+        found = _compared(meet, sets, percent)
+        links = links.union(found)
+        share //= SHARES
+        if share:
+            queries = unanswered(queries, meet.join(found, ["a", "b"]).select(F.col("a").alias("q"), "gid"))
+    return links
+
+
 def classes_and_links(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = 80
 ) -> tuple[DataFrame, DataFrame]:
@@ -407,9 +503,8 @@ def classes_and_links(
     queries = join_checked(reps.select(F.col("cid").alias("q"), F.col("n").alias("nq"), F.col("bits").alias("bq")), queries, ["q"])
     bounded = queries.join(spans.select("gid", "union"), "gid")
     outside = _popcount(F.col("bq"), F.col("union"), lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
-    bounded = bounded.filter(100 * (F.col("nq") - outside) >= percent * F.col("nq")).select("q", "gid")
-    opened = bounded.join(grouped.select(F.col("cid").alias("b"), "gid"), "gid").select(F.col("q").alias("a"), "b")
-    return members, links.union(_verified(opened, reps, rows, k, percent))
+    bounded = bounded.filter(100 * (F.col("nq") - outside) >= percent * F.col("nq")).select("q", "q_gid", "gid")
+    return members, links.union(_opened(cut_lineage(bounded), grouped, reps, rows, k, percent))
 
 
 def near_duplicates(

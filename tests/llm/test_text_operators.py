@@ -197,6 +197,46 @@ def test_join_of_nothing_and_of_null_ids(spark):
     assert kept == [(7, "a b c d e f"), (None, "z z z z z"), (None, None)]
 
 
+def cluster_rows(draw, near, apart, kin):
+    """Near copies of one text; copies too far from it and from each other; and copies of near ones, that only link with these."""
+    base = words(draw, 200, 10**6)
+    close = [edited(draw, base, draw.randrange(1, 4)) for _ in range(near)]
+    rows = [base, *close, *(edited(draw, base, draw.randrange(7, 10)) for _ in range(apart))]
+    rows += [edited(draw, draw.choice(close), draw.randrange(3, 6)) for _ in range(kin)]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_queries_of_a_large_group_are_compared_with_few_of_its_members(spark, monkeypatch):
+    rows, pairs = cluster_rows(random.Random(5), 150, 60, 30), []
+
+    def counting(name):
+        plain = getattr(ngram_join, name)
+
+        def run(given, *others):
+            pairs.append(given.count())
+            return plain(given, *others)
+
+        monkeypatch.setattr(ngram_join, name, run)
+
+    for name in {"_verified", "_compared"} & set(vars(ngram_join)):
+        counting(name)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+    assert pairs[-1] < 3 * len(rows)  # the last step opens the groups: each query with each member were several thousand
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shares_of_a_group_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_join, "FIRST_SHARE", 1)
+    monkeypatch.setattr(ngram_join, "SHARES", 2)
+    draw = random.Random(seed)
+    rows = [t for n in (40, 25) for _, t in cluster_rows(draw, n, 15, 20)]
+    rows += [" ".join(words(draw, 30, 12)) for _ in range(10)] + ["", None]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+
+
 # -- decontamination ---------------------------------------------------------------
 
 
