@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from itertools import chain
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -150,14 +152,22 @@ def latest_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- counter rates ------------------------------------------------------------------
 
-_SAMPLE = "sample_micros long, seq long, cntr_value long, ms_ticks long, base_value long"
+KEYS = (KEY, "object_name", "instance_name")
+#: Per series its last sample, as lists side by side, and the newest base.
+_KEPT = (
+    "names array<string>, micros array<long>, seqs array<long>, cntr_values array<long>, ticks array<long>, "
+    "base_values array<long>, base_seq long, base_value long"
+)
+#: Samples in one row that the processor gives, at most.
+GIVEN = 4096
 
 
 class _Rates(StatefulProcessor):
     """The last sample of each counter of one stem, and of the base counter they share.
 
     Samples of a key come in any order within a batch; those not later than the last
-    sample of their series are left out.
+    sample of their series are left out.  A key's state is one value, read and written once a
+    batch, and its rated samples leave as lists, one for each column: what a key and a row of Python cost is most of the run.
     """
 
     def __init__(self, columns: list[str], ttl_ms: int | None):
@@ -165,49 +175,54 @@ class _Rates(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getMapState("last", "counter_name string", _SAMPLE)
-        self.base = handle.getMapState("base", "seq long", "cntr_value long")
+        self.kept = handle.getValueState("kept", _KEPT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        samples = sorted(rows, key=lambda r: (r.sample_micros, r.seq))
-        bases = {r.seq: r.cntr_value for r in samples if r.cntr_type == BASE}
-        if not bases and self.base.exists():
-            bases = {k[0]: v[0] for k, v in self.base.iterator()}
-        before: dict[str, tuple] = {}
-        rated = Row(*self.columns, "base_value", "was_value", "was_ticks", "was_base")
+        first = next(rows)
+        at = [first.__fields__.index(c) for c in self.columns]
+        micros, seq, kind, name, value, ticks = (
+            first.__fields__.index(c) for c in ("sample_micros", "seq", "cntr_type", "counter_name", "cntr_value", "ms_ticks")
+        )
+        samples = sorted(map(tuple, chain([first], rows)), key=itemgetter(micros, seq))
+        kept = self.kept.get()
+        *series, base_seq, base_value = kept if kept is not None else ([], [], [], [], [], [], None, None)
+        last = {s[0]: s[1:] for s in zip(*series, strict=True)}
+        bases = {r[seq]: r[value] for r in samples if r[kind] == BASE}
+        if bases:  # the newest base is kept, for counters whose batch comes without it
+            base_seq = max(bases)
+            base_value = bases[base_seq]
+        elif base_seq is not None:
+            bases = {base_seq: base_value}
+        has_base = key[3] is not None and key[3].startswith("b:")
+        rated = Row(*KEYS, *self.columns, "base_value", "was_value", "was_ticks", "was_base")
+        out: list[tuple] = []
         for r in samples:
-            if r.cntr_type not in RATED:
+            if r[kind] not in RATED:
                 continue
-            name = r.counter_name
-            if name not in before:
-                before[name] = self.last.getValue((name,)) if self.last.containsKey((name,)) else None
-            was = before[name]
-            if was is not None and (r.sample_micros, r.seq) <= (was[0], was[1]):
+            was = last.get(r[name])
+            if was is not None and (r[micros], r[seq]) <= was[:2]:
                 continue
-            if was is not None and self.ttl_ms is not None and r.sample_micros - was[0] > self.ttl_ms * 1000:
+            if was is not None and self.ttl_ms is not None and r[micros] - was[0] > self.ttl_ms * 1000:
                 was = None  # forgotten, whether or not the timer has run
-            now = (r.sample_micros, r.seq, r.cntr_value, r.ms_ticks, bases.get(r.seq) if r.has_base else None)
+            base = bases.get(r[seq]) if has_base else None
             if was is not None:
-                yield rated(*[r[c] for c in self.columns], now[4], was[2], was[3], was[4])
-            before[name] = now
-        for name, sample in before.items():
-            if sample is not None:
-                self.last.updateValue((name,), sample)
-        if bases:  # the newest base, for counters whose batch came without it
-            newest_seq = max(bases)
-            if self.base.exists():
-                self.base.clear()
-            self.base.updateValue((newest_seq,), (bases[newest_seq],))
+                out.append((*[r[i] for i in at], base, *was[2:]))
+                if len(out) == GIVEN:
+                    yield rated(*key[:3], *map(list, zip(*out, strict=True)))
+                    out = []
+            last[r[name]] = (r[micros], r[seq], r[value], r[ticks], base)
+        if out:
+            yield rated(*key[:3], *map(list, zip(*out, strict=True)))
+        series = [list(c) for c in zip(*((n, *s) for n, s in last.items()), strict=True)] or [[] for _ in range(6)]
+        self.kept.update((*series, base_seq, base_value))
         if self.ttl_ms is not None:
             for due in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due)
-            self.handle.registerTimer(samples[-1].sample_micros // 1000 + self.ttl_ms)
+            self.handle.registerTimer(samples[-1][micros] // 1000 + self.ttl_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Nothing came for the time to live: the stem is forgotten."""
-        for state in (self.last, self.base):
-            if state.exists():
-                state.clear()
+        self.kept.clear()
         return iter([])
 
     def close(self) -> None:
@@ -227,17 +242,18 @@ def stream_counter_rate(
     """
     keyed_state(samples.sparkSession)
     stem = base_stem(F.col("counter_name"), F.col("cntr_type"))
-    keys = [KEY, "object_name", "instance_name", "stem"]
     rows = samples.withColumn("stem", F.coalesce(F.concat(F.lit("b:"), stem), F.concat(F.lit("c:"), "counter_name")))
-    rows = rows.withColumn("has_base", stem.isNotNull()).withColumn("sample_micros", F.unix_micros("sample_ts"))
+    rows = rows.withColumn("sample_micros", F.unix_micros("sample_ts"))
     rows = rows.drop("sample_ts") if ttl_days is None else rows.withWatermark("sample_ts", watermark)
-    columns = [c for c in rows.columns if c not in ("stem", "has_base", "sample_ts")]
+    columns = [c for c in rows.columns if c not in (*KEYS, "stem", "sample_ts")]
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", base_value long, was_value long, was_ticks long, was_base long"
+    lists = {c: kinds[c] for c in columns} | dict.fromkeys(("base_value", "was_value", "was_ticks", "was_base"), "bigint")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in KEYS), *(f"`{c}` array<{kind}>" for c, kind in lists.items())])
     ttl = None if ttl_days is None else int(timedelta(days=ttl_days).total_seconds() * 1000)
-    stepped = rows.groupBy(*keys).transformWithState(
+    given = rows.groupBy(*KEYS, "stem").transformWithState(
         _Rates(columns, ttl), schema, "Append", "None" if ttl is None else "EventTime"
     )
+    stepped = given.select(*KEYS, F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in lists])))
     previous = F.struct(
         F.col("was_value").alias("cntr_value"), F.col("was_ticks").alias("ms_ticks"), F.col("was_base").alias("base_value")
     )

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -279,6 +280,58 @@ def test_counter_state_follows_the_keys_touched(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "run/out")), "counter_name", "val") == [("N7", Decimal("4.00"))]
 
 
+class CountingHandle:
+    """State of one key that counts the calls to it; each is a round trip to the state store."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def _state(self, *args):
+        handle, held = self, {}
+
+        class State:
+            def __getattr__(self, name):
+                def call(*given):
+                    handle.calls += 1
+                    if name in ("update", "updateValue"):
+                        held[given[:-1]] = given[-1]
+                    elif name in ("get", "getValue"):
+                        return held.get(given)
+                    elif name == "containsKey":
+                        return given in held
+                    elif name == "exists":
+                        return bool(held)
+                    elif name == "iterator":
+                        return iter([(k[0], v) for k, v in held.items()])
+                    else:
+                        held.clear()
+
+                return call
+
+        return State()
+
+    getValueState = getMapState = _state  # noqa: N815
+
+
+def test_a_key_of_counters_costs_two_state_calls_and_a_row(monkeypatch):
+    monkeypatch.setattr(streams, "GIVEN", 6, raising=False)
+    names = ["seq", "counter_name", "cntr_value", "cntr_type", "ms_ticks", "sample_micros"]
+    row = Row("instance_guid", "object_name", "instance_name", "stem", *names, "has_base")
+    sample = lambda n, name, kind, value: row("i", "o", "", "b:x", n, name, value, kind, 10 * n, 100 * n, True)
+    batch = lambda lo, hi: iter(
+        [sample(n, name, kind, v) for n in range(lo, hi) for name, kind, v in (("X Ratio", charts.RATIO, n), ("X Ratio Base", charts.BASE, 50 + n))]
+    )
+    rates, handle = streams._Rates(names, None), CountingHandle()
+    rates.init(handle)
+    seen = []
+    for lo, hi, given in ((0, 6, 1), (6, 16, 2), (3, 5, 0)):
+        handle.calls = 0
+        got = list(rates.handleInputRows(("i", "o", "", "b:x"), batch(lo, hi), None))
+        assert (len(got), handle.calls) == (given, 2)
+        seen += [s for g in got for s in zip(g.seq, g.base_value, g.was_value, g.was_ticks, g.was_base, strict=True)]
+    assert seen == [(n, 50 + n, n - 1, 10 * n - 10, 49 + n) for n in range(1, 16)]
+
+
 def test_silent_series_are_forgotten(spark, tmp_path):
     sample = lambda n, name, value: ("i", n, START + timedelta(hours=n), "o", name, "", value, charts.INSTANT, n)
     batches = [[sample(0, "a", 1), sample(0, "b", 1)], [sample(20, "b", 2)], [sample(30, "b", 3)], [sample(31, "a", 4), sample(31, "b", 4)]]
