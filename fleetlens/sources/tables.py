@@ -9,6 +9,9 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Bytes of files one task reads; of shuffled rows, half as many.
+TASK_READS = 32 << 20
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings every operator relies on; all are runtime settings."""
@@ -18,6 +21,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # split a skewed join side even where that costs a further shuffle
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # a task's hash maps and sorts grow with what it reads: a quarter of the default sizes, of files and of shuffles
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(TASK_READS))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_READS // 2))
     return spark
 
 

@@ -769,3 +769,19 @@ def test_event_documents(spark):
     )
     raw = spark.createDataFrame([("i", xml.format("0x0000001c")), ("i", xml.format("0x00000002"))], "instance_guid string, event_xml string")
     assert rows(exchange.shred_events_xml(raw), "event_ts", "login_name") == [(datetime(2024, 1, 2, 3, 4, 5, 678000), "a.b'c")]
+
+
+def test_a_task_reads_a_bounded_share_of_files_and_shuffles(spark, tmp_path):
+    held = {"spark.sql.files.minPartitionNum": "1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    spark.range(0, 6_000_000, 1, 1).select(F.xxhash64("id").alias("x")).write.parquet(str(tmp_path / "t"))  # 48 MB
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        read = spark.read.parquet(str(tmp_path / "t"))
+        assert read.rdd.getNumPartitions() >= 2
+        told = read.distinct().groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert max(r["count"] for r in told) <= 2_500_000 and sum(r["count"] for r in told) == 6_000_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
